@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """``(ssis_file_path, ssis_file_name, content)`` of every file under a folder or glob."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    # as an argument: text() sets the option of this name itself and would undo one set before
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.col("_metadata.file_path").alias("ssis_file_path"),
         F.col("_metadata.file_name").alias("ssis_file_name"),
