@@ -13,8 +13,9 @@ for folder in (ROOT, ROOT / "tests"):
 
 @pytest.fixture(scope="session")
 def spark():
-    # workers import the package to run its functions
-    os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
+    # workers import the modules of the functions they run
+    paths = [str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")]
+    os.environ["PYTHONPATH"] = os.pathsep.join(paths)
     session = (
         SparkSession.builder.master("local[8]")
         .appName("colweave-tests")
