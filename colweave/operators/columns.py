@@ -105,14 +105,23 @@ def config_tables(config: DataFrame) -> DataFrame:
     )
 
 
-def attach_source_table(rows: DataFrame, config: DataFrame) -> DataFrame:
+def attach_source_table(
+    rows: DataFrame, config: DataFrame, spread_by: str | None = "custom_column_mapping_id", salts: int = 8
+) -> DataFrame:
     """Each row with the table of its configuration and, if there is none, the reason.
 
     The config side has one row per configuration and grows with them, so it carries no broadcast
-    hint: the optimizer broadcasts it when its measured size allows, and otherwise splits the
-    partitions of a large configuration (adaptive skew join).
+    hint; the optimizer broadcasts it when its measured size allows. Otherwise rows meet it under
+    ``(config_id, salt)``, the salt taken from ``spread_by``: a configuration of very many rows
+    goes to several tasks, and since both sides are exchanged for the join, adaptive execution can
+    split its partitions further. ``spread_by=None`` is for rows that are one per configuration.
     """
+    tables, keys = config_tables(config), ["config_id"]
+    if spread_by is not None:
+        keys.append("_salt")
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+        tables = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     reason = F.when(
         F.col("source_table").isNull(), F.coalesce(F.col("table_reject"), F.lit("no_config"))
     )
-    return rows.join(config_tables(config), "config_id", "left").withColumn("table_reject", reason)
+    return rows.join(tables, keys, "left").withColumn("table_reject", reason).drop("_salt")

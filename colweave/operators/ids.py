@@ -44,5 +44,9 @@ def ids_of(marked: DataFrame, after: int | Column = 0, id_column: str = "id") ->
 
 
 def allocate_ids(rows: DataFrame, *order: str, after: int = 0, id_column: str = "id") -> DataFrame:
-    """``rows`` with dense ids in the given order, first ``after`` + 1."""
+    """``rows`` with dense ids in the given order, first ``after`` + 1.
+
+    Finding the ranges computes ``rows`` once more, so rows that are costly to compute should be
+    staged before.
+    """
     return ids_of(stage(lay_out(rows, *order)), after, id_column)

@@ -100,7 +100,9 @@ def mapping_rejects(mapping: DataFrame, config: DataFrame, config_id: int | None
         .select("config_id", "custom_column_mapping_id", "target_column_name", "reason")
     )
     configs = (
-        attach_source_table(active.select("config_id").distinct(), _config(config, config_id))
+        attach_source_table(
+            active.select("config_id").distinct(), _config(config, config_id), spread_by=None
+        )
         .filter(F.col("table_reject").isNotNull())
         .select(
             "config_id",

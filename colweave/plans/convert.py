@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 from ..operators.checks import refuse_violations
-from ..operators.components import NAMESPACE, TAG, component_rejects, explode_components
+from ..operators.components import NAMESPACE, TAG, components_of, parse_packages, rejects_of
 from ..operators.enrich import BatchFunction, conversion_rows, enrich_rows, render_prompts
 from ..operators.ids import MARK, lay_out
 from ..sources.log import ConversionLog
@@ -15,6 +16,9 @@ from ..sources.staging import stage
 
 
 class Conversion(NamedTuple):
+    """All three frames read staged rows, which stay until ``ConversionLog.release(run)``."""
+
+    run: str
     appended: DataFrame  # the new log rows with their ids
     failures: DataFrame  # components whose response is an error; logged without a response
     rejects: DataFrame  # packages that are no XML
@@ -37,16 +41,17 @@ def convert_packages(
 ) -> Conversion:
     """Send every component of every package to ``function`` and append one log row for each.
 
+    Documents are parsed once, into staged rows, since putting rows in order reads them twice.
     Components are laid out in (file, index) order before the calls and written once after them,
     so the calls run in ``partitions`` parallel tasks however the components are spread over
     files, are not repeated by later passes, and leave the rows in id order without moving them
     again. With a ``run`` name a repeated call takes up what was written before.
     """
     order = ("ssis_file_path", "ssis_file_name", "component_index")
-    components = refuse_violations(
-        explode_components(packages, tag, namespace), ("ssis_file_path", "ssis_file_name")
-    )
-    placed = lay_out(components, *order, partitions=partitions)
+    run = run or uuid.uuid4().hex
+    named = refuse_violations(packages, ("ssis_file_path", "ssis_file_name"))
+    parsed = stage(parse_packages(named, tag, namespace), f"{run}-parsed")
+    placed = lay_out(components_of(parsed), *order, partitions=partitions)
     prompts = render_prompts(placed, "ssis_component", prompt_prefix, system_prompt)
     answered = enrich_rows(prompts.drop("system_prompt"), function, batch_size=batch_size)
     rows = conversion_rows(
@@ -57,6 +62,6 @@ def convert_packages(
         prompt_prefix=prompt_prefix,
         carry=("component_index", "error", MARK),
     )
-    staged = stage(rows, run and f"{run}-rows")
+    staged = stage(rows, f"{run}-rows")
     failures = staged.filter("error is not null").select(*order, "error")
-    return Conversion(log.append_marked(staged, run), failures, component_rejects(packages, tag, namespace))
+    return Conversion(run, log.append_marked(staged, run), failures, rejects_of(parsed))

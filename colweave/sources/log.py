@@ -12,7 +12,7 @@ from ..operators.checks import refuse_violations
 from ..operators.ids import MARK, ids_of, lay_out
 from ..schemas import CONVERSION_LOG, CONVERSION_ROW, conform
 from .mapping import is_path
-from .staging import is_staged, stage
+from .staging import is_staged, stage, unstage
 
 
 @dataclass(frozen=True)
@@ -82,3 +82,8 @@ class ConversionLog:
         writer = missing.write.mode("append").format(self.format)
         writer.save(self.location) if is_path(self.location) else writer.saveAsTable(self.location)
         return numbered
+
+    def release(self, run: str) -> None:
+        """Delete the staged rows of a finished run. It cannot be taken up or read from after that."""
+        for part in ("parsed", "rows", "mark"):
+            unstage(self.spark, f"{run}-{part}")

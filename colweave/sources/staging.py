@@ -45,5 +45,16 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
 
 def is_staged(spark: SparkSession, name: str) -> bool:
     """Whether the write under ``name`` was committed; one that broke off does not count."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(staging_path(spark, name), "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    files, marker = _file_system(spark, f"{staging_path(spark, name)}/_SUCCESS")
+    return files.exists(marker)
+
+
+def unstage(spark: SparkSession, name: str) -> None:
+    """Delete what was written under ``name``, if anything."""
+    files, folder = _file_system(spark, staging_path(spark, name))
+    files.delete(folder, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location

@@ -16,7 +16,7 @@ from colweave import (
 from colweave.operators.checks import log_violations, refuse_violations, split_violations
 from colweave.operators.ids import MARK, lay_out
 from colweave.schemas import CONVERSION_ROW, PACKAGES
-from colweave.sources.staging import stage, staging_path
+from colweave.sources.staging import is_staged, stage, staging_path
 
 NS = "www.microsoft.com/SqlServer/Dts"
 NESTED = (
@@ -174,6 +174,8 @@ def test_convert_packages(spark):
     assert result.failures.count() == 0
     assert [r.ssis_file_name for r in result.rejects.collect()] == ["bad"]
     assert result.appended.count() == 3
+    log.release(result.run)
+    assert not is_staged(spark, f"{result.run}-rows") and log.read().count() == 3
 
 
 def test_a_repeated_run_makes_no_second_call(spark, tmp_path):

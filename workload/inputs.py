@@ -49,7 +49,7 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Config rows from ``orders``."""
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as config_id",
-        "if(o_orderkey % 11 = 0, 0, 1) as active_ind",
+        "cast(o_orderkey % 11 <> 0 as int) as active_ind",
         "concat('db', o_custkey % 3) as source_database_name",
         "lower(o_orderstatus) as source_schema_name",
         "concat('t_', o_custkey) as source_table_name",

@@ -10,7 +10,7 @@ import colweave as cw
 from colweave.functions import binding, text, types
 from colweave.operators import checks, columns, enrich, items, lists, rows
 from colweave.plans.compile import collect_mapping
-from colweave.sources.staging import staging_path
+from colweave.sources.staging import stage, staging_path
 
 from . import inputs
 
@@ -83,8 +83,9 @@ def log_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def allocate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    components = cw.explode_components(inputs.packages(spark, sf_dir)).select("ssis_file_name", "component_index")
-    return cw.allocate_ids(components, "ssis_file_name", "component_index", after=1000)
+    components = cw.explode_components(inputs.packages(spark, sf_dir))
+    keys = stage(components.select("ssis_file_name", "component_index"))
+    return cw.allocate_ids(keys, "ssis_file_name", "component_index", after=1000)
 
 
 @query
