@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-PLACEHOLDER = r"\bi(?:0|[1-9][0-9]*)\b"
-PARAMETER_PLACEHOLDER = r"\bi[1-9][0-9]*\b"
+# Letters and digits of any script, spelled out: what \b makes of them depends on the Java version.
+_WORD = r"[\p{L}\p{N}_]"
+PLACEHOLDER = rf"(?<!{_WORD})i(?:0|[1-9][0-9]*)(?!{_WORD})"
+PARAMETER_PLACEHOLDER = rf"(?<!{_WORD})i[1-9][0-9]*(?!{_WORD})"
 PARAMETER_SEPARATOR = r"\|"
 
 

@@ -44,14 +44,17 @@ def enrich_rows(
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                answers = _answers(function, part.column(position).to_pylist())
-                responses, errors = zip(*answers)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(responses, pa.string()), pa.array(errors, pa.string())],
-                    names=schema.names,
-                )
+            prompts = batch.column(position).to_pylist()
+            answers = [
+                answer
+                for start in range(0, len(prompts), batch_size)
+                for answer in _answers(function, prompts[start : start + batch_size])
+            ]
+            responses, errors = zip(*answers) if answers else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(responses, pa.string()), pa.array(errors, pa.string())],
+                names=schema.names,
+            )
 
     return rows.mapInArrow(call, schema)
 

@@ -1,5 +1,8 @@
 """Placeholders: whole words, bound at the same time, parameters taken literally."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +40,20 @@ def test_bind_parameters(spark):
 def test_bind_source_column(spark, definition, expected):
     frame = spark.createDataFrame([(definition, "A")], "d string, s string")
     assert frame.select(bind_source_column(F.col("d"), F.col("s"))).first()[0] == expected
+
+
+def test_bind_parameters_like_one_pass_of_a_regular_expression(spark):
+    chance = random.Random(7)
+    pieces = ["i0", "i1", "i2", "i3", "i12", "i01", "bi1", "f(", ")", ",", " ", "'", "$1", "\\", "|", "_i1", "é"]
+    word = lambda n: "".join(chance.choice(pieces) for _ in range(chance.randrange(n)))
+    rows = [(word(12), f"c{n}", None if n % 9 == 0 else word(6)) for n in range(3000)]
+
+    def expected(definition, source, parameters):
+        values = [source, *(parameters.split("|") if parameters is not None else [])]
+        place = lambda m: values[int(m[1])] if int(m[1]) < len(values) else m[0]
+        return re.sub(r"\bi(0|[1-9][0-9]*)\b", place, definition)
+
+    frame = spark.createDataFrame(rows, "d string, s string, p string")
+    bound = frame.withColumn("bound", bind_parameters(F.col("d"), F.col("s"), F.col("p")))
+    for row in bound.collect():
+        assert row.bound == expected(row.d, row.s, row.p), row

@@ -405,8 +405,8 @@ from (select distinct config_id from active) left join tables using (config_id)
 where n is null or n > 1""",
     ),
     "apply_mapping": """
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity,
-  l_returnflag, l_suppkey % 7 = 0 as is_near,
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag,
+  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate, l_suppkey % 7 = 0 as is_near,
   strftime(l_shipdate::date + 2, '%Y-%m-%d') as ship_day,
   strftime(date_trunc('hour', l_shipdate), '%Y-%m-%d %H:%M') as ship_hour,
   (l_extendedprice::decimal(18, 4) * 2)::decimal(18, 2)::double as net_price,

@@ -368,6 +368,7 @@ def apply_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     applied = cw.apply_mapping(inputs.lineitem_mapping(spark), inputs.source(spark, sf_dir), 1)
     return applied.withColumns(
         {
+            "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"),
             "ship_day": F.date_format("ship_day", "yyyy-MM-dd"),
             "ship_hour": F.date_format("ship_hour", "yyyy-MM-dd HH:mm"),
             "net_price": F.col("net_price").cast("decimal(18,2)").cast("double"),
