@@ -35,7 +35,7 @@ RECORD_COLUMNS = (
 
 def compile_source_query(
     mapping: DataFrame,
-    config: DataFrame,
+    config: DataFrame | None = None,
     config_id: int | None = None,
     order: str = "name",
     style: str = "backtick",
@@ -43,17 +43,19 @@ def compile_source_query(
     """``(config_id, source_query)`` for every configuration with an active mapping row.
 
     The query is NULL for a configuration without columns, or without exactly one source table.
+    Without a config table the mapping rows name the source table themselves.
     """
     active = _active(mapping, config_id)
     collected = collect_items(bind_items(last_item_wins(column_items(active))))
-    return _with_source_query(collected, config, config_id, order, style).select(
+    tables = _tables(mapping, config, config_id)
+    return _with_source_query(collected, tables, order, style).select(
         "config_id", "source_query"
     )
 
 
 def compile_mapping_arrays(
     mapping: DataFrame,
-    config: DataFrame,
+    config: DataFrame | None = None,
     config_id: int | None = None,
     return_length: int = DEFAULT_LENGTH,
     *,
@@ -66,10 +68,12 @@ def compile_mapping_arrays(
     """The compiled record, one row per configuration with an active mapping row.
 
     ``key="source"`` names entries by source column and keeps every one of them; with ``"target"``
-    the last mapping of a target and type wins. No job runs until the caller asks for rows.
+    the last mapping of a target and type wins. Without a config table the mapping rows name the
+    source table themselves. No job runs until the caller asks for rows.
     """
     collected = collect_mapping(mapping, config_id, key)
-    lists = typed_lists(_with_source_query(collected, config, config_id, order, style))
+    tables = _tables(mapping, config, config_id)
+    lists = typed_lists(_with_source_query(collected, tables, order, style))
     padded = padded_lists(lists, return_length, "source_query")
     if quote:
         padded = quoted_lists(padded)
@@ -86,7 +90,9 @@ def collect_mapping(mapping: DataFrame, config_id: int | None = None, key: str =
     return collect_items(bind_items(columns.unionByName(entries)))
 
 
-def mapping_rejects(mapping: DataFrame, config: DataFrame, config_id: int | None = None) -> DataFrame:
+def mapping_rejects(
+    mapping: DataFrame, config: DataFrame | None = None, config_id: int | None = None
+) -> DataFrame:
     """``(config_id, custom_column_mapping_id, target_column_name, reason)``.
 
     A row reason keeps one mapping row out of the lists. A configuration reason leaves
@@ -101,7 +107,9 @@ def mapping_rejects(mapping: DataFrame, config: DataFrame, config_id: int | None
     )
     configs = (
         attach_source_table(
-            active.select("config_id").distinct(), _config(config, config_id), spread_by=None
+            active.select("config_id").distinct(),
+            _tables(mapping, config, config_id),
+            spread_by=None,
         )
         .filter(F.col("table_reject").isNotNull())
         .select(
@@ -118,14 +126,14 @@ def _active(mapping: DataFrame, config_id: int | None) -> DataFrame:
     return active_mapping(conform(mapping, MAPPING, "mapping"), config_id)
 
 
-def _config(config: DataFrame, config_id: int | None) -> DataFrame:
-    declared = conform(config, SOURCE_CONFIG, "source config")
+def _tables(mapping: DataFrame, config: DataFrame | None, config_id: int | None) -> DataFrame:
+    """Rows that name source tables, under the schema of the config table."""
+    named = mapping if config is None else config
+    declared = conform(named, SOURCE_CONFIG, "mapping" if config is None else "source config")
     return declared if config_id is None else declared.filter(F.col("config_id") == config_id)
 
 
-def _with_source_query(
-    collected: DataFrame, config: DataFrame, config_id: int | None, order: str, style: str
-) -> DataFrame:
+def _with_source_query(collected: DataFrame, tables: DataFrame, order: str, style: str) -> DataFrame:
     # both sides are already laid out by config_id, so the join adds no exchange
     text = F.concat(
         F.lit("select "),
@@ -134,6 +142,6 @@ def _with_source_query(
         F.col("source_table"),
         F.lit(f" WHERE {ACTIVE_ROW_COLUMN}='Y'"),
     )
-    named = collected.join(config_tables(_config(config, config_id)), "config_id", "left")
+    named = collected.join(config_tables(tables), "config_id", "left")
     has_columns = F.exists("items", lambda item: item["slot"].isin(RAW, DERIVED))
     return named.withColumn("source_query", F.when(has_columns, text))

@@ -48,6 +48,8 @@ def convert_packages(
     again. With a ``run`` name a repeated call takes up what was written before.
     """
     order = ("ssis_file_path", "ssis_file_name", "component_index")
+    if api_provider is None or model_name is None:
+        raise ValueError("api_provider and model_name are required columns of the log")
     run = run or uuid.uuid4().hex
     named = refuse_violations(packages, ("ssis_file_path", "ssis_file_name"))
     parsed = stage(parse_packages(named, tag, namespace), f"{run}-parsed")

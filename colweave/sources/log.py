@@ -61,6 +61,7 @@ class ConversionLog:
         ``order`` may name columns beside the eight of a log row; they are not stored. A row
         without a required column fails the append before anything is written.
         """
+        conform(rows, CONVERSION_ROW, "log rows")
         wanted = [*CONVERSION_ROW.names, *(name for name in order if name not in CONVERSION_ROW.names)]
         marked = lay_out(refuse_violations(rows.select(*wanted)), *order)
         return self.append_marked(stage(marked, run and f"{run}-rows"), run)

@@ -154,6 +154,14 @@ def test_no_single_table_means_no_query(spark):
     assert reasons == {(2, None): "many_source_tables", (3, None): "no_config", (4, None): "no_config"}
 
 
+def test_the_mapping_can_name_the_table(spark):
+    frame = mapping(spark, {}, {}, {"config_id": 2}, {"config_id": 2, "source_table_name": "u"})
+    queries = {row.config_id: row.source_query for row in compile_source_query(frame).collect()}
+    assert queries == {1: "select `A` from db.s.t WHERE AUDIT_ACTIVE_ROW_IND='Y'", 2: None}
+    assert compile_mapping_arrays(frame, config_id=1).first().source_query == queries[1]
+    assert [(r.config_id, r.reason) for r in mapping_rejects(frame).collect()] == [(2, "many_source_tables")]
+
+
 def test_row_rejects(spark):
     frame = mapping(
         spark,

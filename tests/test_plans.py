@@ -54,6 +54,12 @@ def test_compile_has_two_exchanges_of_the_mapping_and_no_python(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 3
 
 
+def test_compile_joins_without_a_further_exchange(spark, sf_dir, settings):
+    settings(spark_sql_autoBroadcastJoinThreshold="-1")
+    plan = plan_of(compile_mapping_arrays(inputs.mapping(spark, sf_dir), inputs.config(spark, sf_dir)))
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 3
+
+
 def test_apply_reads_only_what_it_needs(spark, sf_dir, tmp_path):
     inputs.source(spark, sf_dir).write.parquet(f"{tmp_path}/source")
     source = spark.read.parquet(f"{tmp_path}/source")
