@@ -106,22 +106,44 @@ def config_tables(config: DataFrame) -> DataFrame:
 
 
 def attach_source_table(
-    rows: DataFrame, config: DataFrame, spread_by: str | None = "custom_column_mapping_id", salts: int = 8
+    rows: DataFrame,
+    config: DataFrame,
+    broadcast_rows: int = 100_000,
+    spread_by: str = "custom_column_mapping_id",
+    salts: int = 8,
 ) -> DataFrame:
     """Each row with the table of its configuration and, if there is none, the reason.
 
-    The config side has one row per configuration and grows with them, so it carries no broadcast
-    hint; the optimizer broadcasts it when its measured size allows. Otherwise rows meet it under
-    ``(config_id, salt)``, the salt taken from ``spread_by``: a configuration of very many rows
-    goes to several tasks, and since both sides are exchanged for the join, adaptive execution can
-    split its partitions further. ``spread_by=None`` is for rows that are one per configuration.
+    The config table grows with the configurations, so its active rows are counted first, no
+    further than the bound: up to ``broadcast_rows`` of them are broadcast and ``rows`` stay where
+    they are. Beyond it both sides are exchanged under ``(config_id, salt)``, the salt taken from
+    ``spread_by``. A configuration of very many rows then goes to several tasks, and adaptive
+    execution can split its partitions further.
+    """
+    tables = config_tables(config)
+    if _at_most(config.filter(F.col("active_ind") == 1), broadcast_rows):
+        return _with_reject(rows.join(F.broadcast(tables), "config_id", "left"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    every_salt = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = salted.join(every_salt.hint("merge"), ["config_id", "_salt"], "left")
+    return _with_reject(joined.drop("_salt"))
+
+
+def join_tables(per_config: DataFrame, config: DataFrame) -> DataFrame:
+    """The same for a frame with one row per configuration, laid out by ``config_id`` already.
+
+    The merge join uses that layout and exchanges the config rows alone. Its hint keeps the
+    optimizer from a broadcast by the size of the files, which says little of the rows in them.
     """
-    tables, keys = config_tables(config), ["config_id"]
-    if spread_by is not None:
-        keys.append("_salt")
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-        tables = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return _with_reject(per_config.join(config_tables(config).hint("merge"), "config_id", "left"))
+
+
+def _with_reject(joined: DataFrame) -> DataFrame:
     reason = F.when(
         F.col("source_table").isNull(), F.coalesce(F.col("table_reject"), F.lit("no_config"))
     )
-    return rows.join(tables, keys, "left").withColumn("table_reject", reason).drop("_salt")
+    return joined.withColumn("table_reject", reason)
+
+
+def _at_most(rows: DataFrame, bound: int) -> bool:
+    return rows.limit(bound + 1).count() <= bound

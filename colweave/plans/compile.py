@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.columns import attach_source_table, config_tables, source_columns
+from ..operators.columns import join_tables, source_columns
 from ..operators.items import (
     DERIVED,
     RAW,
@@ -106,11 +106,7 @@ def mapping_rejects(
         .select("config_id", "custom_column_mapping_id", "target_column_name", "reason")
     )
     configs = (
-        attach_source_table(
-            active.select("config_id").distinct(),
-            _tables(mapping, config, config_id),
-            spread_by=None,
-        )
+        join_tables(active.select("config_id").distinct(), _tables(mapping, config, config_id))
         .filter(F.col("table_reject").isNotNull())
         .select(
             "config_id",
@@ -134,7 +130,6 @@ def _tables(mapping: DataFrame, config: DataFrame | None, config_id: int | None)
 
 
 def _with_source_query(collected: DataFrame, tables: DataFrame, order: str, style: str) -> DataFrame:
-    # both sides are already laid out by config_id, so the join adds no exchange
     text = F.concat(
         F.lit("select "),
         F.array_join(source_columns(order, style), ", "),
@@ -142,6 +137,5 @@ def _with_source_query(collected: DataFrame, tables: DataFrame, order: str, styl
         F.col("source_table"),
         F.lit(f" WHERE {ACTIVE_ROW_COLUMN}='Y'"),
     )
-    named = collected.join(config_tables(tables), "config_id", "left")
     has_columns = F.exists("items", lambda item: item["slot"].isin(RAW, DERIVED))
-    return named.withColumn("source_query", F.when(has_columns, text))
+    return join_tables(collected, tables).withColumn("source_query", F.when(has_columns, text))

@@ -79,7 +79,7 @@ class ConversionLog:
         missing = numbered
         if retried:
             present = self.read().filter(F.col("id") > after).select("id")
-            missing = numbered.join(present, "id", "left_anti").select(*CONVERSION_LOG.names)
+            missing = numbered.join(present.hint("merge"), "id", "left_anti").select(*CONVERSION_LOG.names)
         writer = missing.write.mode("append").format(self.format)
         writer.save(self.location) if is_path(self.location) else writer.saveAsTable(self.location)
         return numbered

@@ -54,10 +54,9 @@ def test_compile_has_two_exchanges_of_the_mapping_and_no_python(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 3
 
 
-def test_compile_joins_without_a_further_exchange(spark, sf_dir, settings):
-    settings(spark_sql_autoBroadcastJoinThreshold="-1")
+def test_compile_joins_without_a_further_exchange_or_a_broadcast(spark, sf_dir):
     plan = plan_of(compile_mapping_arrays(inputs.mapping(spark, sf_dir), inputs.config(spark, sf_dir)))
-    assert "SortMergeJoin" in plan and plan.count("Exchange") == 3
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange") == 3
 
 
 def test_apply_reads_only_what_it_needs(spark, sf_dir, tmp_path):
@@ -77,10 +76,16 @@ def test_a_hot_configuration_compiles_like_any_other(spark, sf_dir):
     assert len(record.nkeys.split(";")) == len(set(record.nkeys.split(";"))) > 250
 
 
+def test_the_config_side_is_broadcast_up_to_a_bound_only(spark, sf_dir):
+    frame, tables = inputs.mapping(spark, sf_dir), inputs.config(spark, sf_dir)
+    active = tables.filter("active_ind = 1").count()
+    assert "BroadcastHashJoin" in plan_of(attach_source_table(frame, tables, broadcast_rows=active))
+    beyond = plan_of(attach_source_table(frame, tables, broadcast_rows=active - 1))
+    assert "SortMergeJoin" in beyond and "Broadcast" not in beyond
+
+
 def test_a_hot_configuration_is_split_in_the_join(spark, sf_dir, settings):
     settings(
-        spark_sql_autoBroadcastJoinThreshold="-1",
-        spark_sql_adaptive_autoBroadcastJoinThreshold="-1",
         spark_sql_adaptive_advisoryPartitionSizeInBytes="64k",
         spark_sql_adaptive_skewJoin_skewedPartitionThresholdInBytes="64k",
         spark_sql_adaptive_skewJoin_skewedPartitionFactor="1.5",
@@ -88,11 +93,11 @@ def test_a_hot_configuration_is_split_in_the_join(spark, sf_dir, settings):
     )
     # a partition is split along the tasks that wrote it, so there must be several
     frame, tables = hot(spark, sf_dir).repartition(8), inputs.config(spark, sf_dir)
-    one_salt = attach_source_table(frame, tables, salts=1)
+    one_salt = attach_source_table(frame, tables, broadcast_rows=0, salts=1)
     assert "skew=true" in plan_of(one_salt, final=True)
     key = ["config_id", "custom_column_mapping_id", "source_table", "table_reject"]
-    salted = attach_source_table(frame, tables).select(*key)
+    salted = attach_source_table(frame, tables, broadcast_rows=0).select(*key)
     tasks = salted.filter("config_id = 7").groupBy(F.spark_partition_id()).count().count()
     assert tasks > 3
-    plain = attach_source_table(frame, tables, spread_by=None).select(*key)
-    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    small = attach_source_table(frame, tables).select(*key)
+    assert salted.exceptAll(small).count() == 0 and small.exceptAll(salted).count() == 0
