@@ -47,7 +47,7 @@ def ordered_text(
     joined = F.expr(_listagg("_item", sep, ", ".join([*names, "_item"])))
     if chunk is None:
         return ordered.groupBy(by).agg(joined.alias(alias))
-    stretch = F.floor(F.col(names[0]) / chunk).alias("_stretch")
+    stretch = F.expr(f"{names[0]} div {chunk}").alias("_stretch")
     stretches = ordered.groupBy(by, stretch).agg(joined.alias("_item"))
     return stretches.groupBy(by).agg(F.expr(_listagg("_item", sep, "_stretch")).alias(alias))
 

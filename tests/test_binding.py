@@ -44,7 +44,8 @@ def test_bind_source_column(spark, definition, expected):
 
 def test_bind_parameters_like_one_pass_of_a_regular_expression(spark):
     chance = random.Random(7)
-    pieces = ["i0", "i1", "i2", "i3", "i12", "i01", "bi1", "f(", ")", ",", " ", "'", "$1", "\\", "|", "_i1", "é"]
+    pieces = ["i0", "i1", "i2", "i3", "i12", "i01", "bi1", "_i1", "é"]
+    pieces += ["f(", ")", ",", " ", "'", "$1", "\\", "|"]
     word = lambda n: "".join(chance.choice(pieces) for _ in range(chance.randrange(n)))
     rows = [(word(12), f"c{n}", None if n % 9 == 0 else word(6)) for n in range(3000)]
 

@@ -68,7 +68,8 @@ def test_failures_stay_with_their_rows(spark):
     def picky(prompts):
         if any("boom" in prompt for prompt in prompts):
             raise RuntimeError("boom seen")
-        return [None if prompt == "none" else KeyError("k") if prompt == "bad" else prompt.upper() for prompt in prompts]
+        special = {"none": None, "bad": KeyError("k")}
+        return [special[prompt] if prompt in special else prompt.upper() for prompt in prompts]
 
     rows = [(1, "a"), (2, "boom"), (3, "bad"), (4, None), (5, "none"), (6, "b")]
     frame = spark.createDataFrame(rows, "n int, prompt string").coalesce(1)
@@ -87,7 +88,8 @@ def test_wrong_number_of_responses_is_an_error(spark):
 
 def test_ids_are_dense_in_order_and_hot_keys_are_split(spark):
     # one file holds nearly all rows
-    frame = spark.range(20_000).selectExpr("if(id < 19000, 'hot', concat('f', id % 7)) as f", "20000 - id as n")
+    file = "if(id < 19000, 'hot', concat('f', id % 7)) as f"
+    frame = spark.range(20_000).selectExpr(file, "20000 - id as n")
     found = allocate_ids(frame, "f", "n", after=5)
     rows = found.orderBy("id").collect()
     assert [r.id for r in rows] == list(range(6, 20_006))
@@ -147,7 +149,8 @@ def test_a_half_written_run_is_completed(spark):
     whole.append(rows_of(spark, "a", "b", "c"), ["ssis_file_name"], run=run)
     whole.read().filter("id = 3").write.mode("append").parquet(log.location)
     log.append(rows_of(spark, "ignored"), ["ssis_file_name"], run=run)
-    assert [(r.id, r.ssis_file_name) for r in log.since(0).collect()] == [(1, "z"), (2, "a"), (3, "b"), (4, "c")]
+    found = [(r.id, r.ssis_file_name) for r in log.since(0).collect()]
+    assert found == [(1, "z"), (2, "a"), (3, "b"), (4, "c")]
 
 
 def test_a_row_without_a_required_column_fails_the_append(spark):

@@ -150,7 +150,8 @@ def test_no_single_table_means_no_query(spark):
     queries = {row.config_id: row.source_query for row in compile_source_query(frame, tables).collect()}
     assert queries.pop(1) == "select `A` from a.b.c WHERE AUDIT_ACTIVE_ROW_IND='Y'"
     assert queries == {2: None, 3: None, 4: None}
-    reasons = {(r.config_id, r.custom_column_mapping_id): r.reason for r in mapping_rejects(frame, tables).collect()}
+    rejects = mapping_rejects(frame, tables).collect()
+    reasons = {(r.config_id, r.custom_column_mapping_id): r.reason for r in rejects}
     assert reasons == {(2, None): "many_source_tables", (3, None): "no_config", (4, None): "no_config"}
 
 

@@ -270,7 +270,8 @@ def typed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def padded_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists.joined_lists(lists.padded_lists(items.typed_lists(collect_mapping(inputs.mapping(spark, sf_dir))), 3))
+    typed = items.typed_lists(collect_mapping(inputs.mapping(spark, sf_dir)))
+    return lists.joined_lists(lists.padded_lists(typed, 3))
 
 
 @query
