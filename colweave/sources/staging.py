@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "colweave-staging"
 
 
-def staging_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which every executor reaches.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
 
-    Where it is unset a local session gets a folder of its own; on a cluster that is an error,
-    because a folder of one machine would lose rows with it.
+    Every executor reaches both on a cluster.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        root = _local_root(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/{FOLDER}"
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/_colweave").rstrip("/")
 
 
-@lru_cache
-def _local_root(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="colweave-")
+def staging_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{FOLDER}"
 
 
 def staging_path(spark: SparkSession, name: str | None = None) -> str:
@@ -35,11 +27,17 @@ def staging_path(spark: SparkSession, name: str | None = None) -> str:
 
 
 def stage(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Write ``df`` and return the written rows. Under a ``name`` already written, only read them."""
+    """Write ``df`` and return the written rows. Under a ``name`` already written, only read them.
+
+    A copy without a name belongs to the application and goes when that ends.
+    """
     spark = df.sparkSession
     path = staging_path(spark, name)
     if name is None or not is_staged(spark, name):
         df.write.mode("overwrite").parquet(path)
+    if name is None:
+        files, folder = _file_system(spark, path)
+        files.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
