@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.staging import shared_folder
-from . import exact_dedup, simhash, token_files
+from . import exact_dedup, secrets, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +37,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
