@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.staging import shared_folder
-from . import exact_dedup, quality, secrets, simhash, token_files, toxicity
+from . import decontamination, exact_dedup, mixing, quality, secrets, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels(spark, sf_dir)))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op4_mixing": op4_mixing,
+    "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,

@@ -20,6 +20,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,23 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
+class Pieces(dict):
+    """Ids of pieces, encoded when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [byte for byte in range(256) if byte not in printed]
+        self.shown = {byte: chr(256 + k) for k, byte in enumerate(rest)}  # byte-level alphabet
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        byte_form = piece.encode().decode("latin-1").translate(self.shown)
+        encoded = array("I", [token.id for token in self.tokenize(byte_form)]).tobytes()
+        self[piece] = encoded
+        return encoded
+
+
 class PieceEncoder:
     """Whole texts to ids with the tokenizers library.
 
@@ -78,7 +96,7 @@ class PieceEncoder:
             form = json.load(f)["pre_tokenizer"]
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.tokenizer.model)
         self.simple = form.get("type") == "ByteLevel" and form["use_regex"] and not form["add_prefix_space"]
         kinds: dict[str, str] = {"L": "", "N": ""}
         for code in range(0x250):
@@ -91,25 +109,15 @@ class PieceEncoder:
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+"
         )
         self.odd_space = re.compile("[\x1c-\x1f]")  # white space for re, not for the tokenizer
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [byte for byte in range(256) if byte not in printed]
-        self.shown = {byte: chr(256 + k) for k, byte in enumerate(rest)}  # byte-level alphabet
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.simple or self.unsettled.search(text) or self.odd_space.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        known, found = self.known, self.pieces.findall(text)
-        model = self.tokenizer.model
-        for piece in set(found):
-            if piece not in known:
-                byte_form = piece.encode().decode("latin-1").translate(self.shown)
-                ids = [token.id for token in model.tokenize(byte_form)]
-                known[piece] = np.array(ids, "<u4").tobytes()
-        encoded = b"".join([known[piece] for piece in found])
-        if len(known) > PIECE_CACHE:
-            known.clear()
+        encoded = b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
+        if len(self.known) > PIECE_CACHE:
+            self.known.clear()
         return encoded
 
 
