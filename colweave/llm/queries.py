@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.staging import shared_folder
-from . import decontamination, exact_dedup, mixing, quality, secrets, simhash, token_files, toxicity
+from . import decontamination, exact_dedup, language_model, mixing, quality, secrets, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_language_model": op3_language_model,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
