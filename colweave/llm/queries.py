@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.staging import shared_folder
-from . import decontamination, exact_dedup, language_model, mixing, quality, secrets, simhash, token_files, toxicity
+from . import decontamination, exact_dedup, html_extraction, language_model, mixing, quality, secrets, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,12 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(documents(spark, sf_dir))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
     "op3_language_model": op3_language_model,
     "op4_mixing": op4_mixing,
