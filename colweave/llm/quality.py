@@ -176,4 +176,6 @@ def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
 def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of ``docs`` whose text scores at least THRESHOLD, with their columns."""
     stats = with_statistics(docs, "text", [F.struct(*docs.columns).alias("_row")])
-    return stats.where(model.column() >= THRESHOLD).select("_row.*")
+    # not a filter: pushed below the statistics, it would work them out again for every rule
+    kept = F.explode(F.when(model.column() >= THRESHOLD, F.array("_row"))).alias("_kept")
+    return stats.select(kept).select("_kept.*")

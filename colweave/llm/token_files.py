@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import whole_text
@@ -81,6 +81,23 @@ class Pieces(dict):
         return encoded
 
 
+class Chunks(dict):
+    """Ids of what stands between two spaces, the space before it included."""
+
+    def __init__(self, pieces: Pieces, find):
+        super().__init__()
+        self.pieces, self.find = pieces, find
+
+    def of(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise KeyError(word)
+        encoded = self[word] = self.of(" " + word)
+        return encoded
+
+
 class PieceEncoder:
     """Whole texts to ids with the tokenizers library.
 
@@ -108,6 +125,7 @@ class PieceEncoder:
         self.pieces = re.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+"
         )
+        self.chunks = Chunks(self.known, self.pieces.findall)
         self.odd_space = re.compile("[\x1c-\x1f]")  # white space for re, not for the tokenizer
 
     def encode(self, text: str) -> bytes:
@@ -115,9 +133,17 @@ class PieceEncoder:
         if not self.simple or self.unsettled.search(text) or self.odd_space.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        encoded = b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
-        if len(self.known) > PIECE_CACHE:
-            self.known.clear()
+        # a space between two characters that are none starts a piece
+        first, *words = text.split(" ")
+        try:
+            if first[-1:].isspace():
+                raise KeyError(first)
+            encoded = self.chunks.of(first) + b"".join(map(self.chunks.__getitem__, words))
+        except KeyError:  # white space next to white space: cut the text as a whole
+            encoded = self.chunks.of(text)
+        for cache in (self.chunks, self.known):
+            if len(cache) > PIECE_CACHE:
+                cache.clear()
         return encoded
 
 
@@ -216,11 +242,13 @@ def write_token_files(
     end_id: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order_by: list[Column] | None = None,
 ) -> DataFrame:
-    """Encode every whole text, append ``end_id``, and write the files in ascending id order.
+    """Encode every whole text, append ``end_id``, and write the files in ascending id order, or in that
+    of ``order_by``.
 
     Returns one row per file: part, path, n_docs, n_tokens, start (ids in the files before it).
-    Documents are dealt out by ranges of the id and each task writes the file of its range, so no
+    Documents are dealt out by ranges of the order and each task writes the file of its range, so no
     task holds more than a block of ids and its index. Only this table of files, two numbers for
     each, passes the driver. A null text is empty and has the end id alone; null ids come first;
     rows that share an id stay, next to each other in any order. ``folder`` must be a folder that
@@ -249,12 +277,14 @@ def write_token_files(
         n_docs, n_tokens = _write_file(target, _chain(first, written), bits)
         yield pd.DataFrame({"part": [part], "path": [target], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
+    order = order_by or [F.col(id_col)]  # nulls come first
+    by = [f"order_{k}" for k in range(len(order))]
     rows = docs.select(
         F.col(id_col).isNull().alias("missing"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         whole_text(text_col).alias("text"),
+        *(c.alias(name) for c, name in zip(order, by, strict=True)),
     )
-    by = [F.col("missing").desc(), F.col("id")]
     files = (
         rows.repartitionByRange(*by)
         .sortWithinPartitions(*by)
