@@ -25,7 +25,7 @@ BASE = (
 )
 #: Weak parts: a kind is the role it plays. A plain ``access`` plays id, a plain ``assign`` secret.
 WEAK = (
-    ("id", f"({_either_case('client|user|account|key')}[_-]?{_either_case('id|name')}){_BETWEEN}([A-Za-z0-9@._-]+)", 2, 3),
+    ("id", f"((?:{_either_case('client|user|account|key')})[_-]?(?:{_either_case('id|name')})){_BETWEEN}([A-Za-z0-9@._-]+)", 2, 3),
     ("secret", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", 0, 40),
     ("endpoint", r"https?://[A-Za-z0-9.-]+(:[0-9]+)?", 0, 10),
 )
