@@ -114,9 +114,10 @@ def _grow(x, bounds, gradient, rows, columns, depth, path, found) -> np.ndarray:
 
 def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 0) -> RuleModel:
     """Rules from boosted trees of random parts of the rows and statistics, weighted by lasso logistic."""
+    score = constant_score(y)
+    constant = RuleModel(float(np.log(score / (1 - score))))
     if not len(y) or y.min() == y.max():
-        score = constant_score(y)
-        return RuleModel(float(np.log(score / (1 - score))))
+        return constant
     draw = np.random.default_rng(seed)
     bounds = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
     margin, found = np.zeros(len(y)), []
@@ -132,12 +133,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 0) -> RuleModel:
             inside = leaf.holds(x)
             if inside.any():
                 margin[inside] += 4 * (y - sigmoid(margin))[inside].mean()
-    rules, columns = [], {}
+    columns = {}
     for rule in dict.fromkeys(found):
         held = rule.holds(x)
         if 0 < held.sum() < len(y):
             columns.setdefault(held.tobytes(), (len(rule.parts), rule, held))
     kept = list(columns.values())
+    if not kept:  # too few rows to tell anything apart
+        return constant
     rules = [rule for _, rule, _ in kept]
     matrix = np.column_stack([held for *_, held in kept]).astype(float)
     intercept, weights = lasso_logistic(matrix, y, PENALTY)
