@@ -7,8 +7,9 @@ from .plans.apply import apply_mapping
 from .plans.compile import compile_mapping_arrays, compile_source_query, mapping_rejects
 from .plans.convert import Conversion, convert_packages
 from .sources.log import ConversionLog
-from .sources.mapping import read_mapping, read_mapping_csv, read_source_config
+from .sources.mapping import mapping_of_csv, read_mapping, read_mapping_csv, read_source_config
 from .sources.packages import read_packages
+from .sources.staging import release_staged
 
 __all__ = [
     "Conversion",
@@ -21,10 +22,12 @@ __all__ = [
     "convert_packages",
     "enrich_rows",
     "explode_components",
+    "mapping_of_csv",
     "mapping_rejects",
     "read_mapping",
     "read_mapping_csv",
     "read_packages",
     "read_source_config",
+    "release_staged",
     "render_prompts",
 ]

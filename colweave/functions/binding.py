@@ -35,10 +35,9 @@ def bind_parameters(definition: Column, source_column: Column, parameters: Colum
     values = F.split(parameters, PARAMETER_SEPARATOR)
 
     def replacement(token: Column) -> Column:
-        ordinal = F.substring(token, 2, 10).try_cast("int")
-        # a placeholder too long for the substring must not pass for its own beginning
-        in_range = F.length(token) <= 11
-        return F.when(token == "i0", source_column).when(in_range, F.get(values, ordinal - 1))
+        # an ordinal beyond the numbers has no parameter, like any other without one
+        ordinal = F.substr(token, F.lit(2)).try_cast("int")
+        return F.when(token == "i0", source_column).otherwise(F.get(values, ordinal - 1))
 
     return _rebuild(definition, replacement)
 

@@ -27,29 +27,21 @@ def distinct_columns(active: DataFrame) -> DataFrame:
 
 
 def ordered_text(
-    rows: DataFrame,
-    by: str,
-    order: Sequence[str],
-    item: Column,
-    sep: str,
-    alias: str,
-    chunk: int | None = 1 << 12,
+    rows: DataFrame, by: str, order: Sequence[str], item: Column, sep: str, alias: str
 ) -> DataFrame:
-    """Text of all items of a group in the order of whole-number columns, duplicates kept.
+    """Text of all items of a group in the order of the ``order`` columns, duplicates kept.
 
-    Groups are put together in two steps, first over stretches of ``chunk`` values of the leading
-    order column, so a group of very many rows is sorted and joined in many tasks and the last
-    one only joins finished stretches. ``chunk=None`` takes one step.
+    Rows are laid out over ranges of group and order, the text of a group is made in each partition
+    that holds some of it, and the finished texts are joined in the order of the partitions. A group
+    of very many rows is so cut by their number, and the last step only joins its few texts.
     """
     names = [f"_order{n}" for n in range(len(order))]
     keys = [F.col(column).alias(name) for column, name in zip(order, names)]
-    ordered = rows.select(by, *keys, item.alias("_item"))
-    joined = F.expr(_listagg("_item", sep, ", ".join([*names, "_item"])))
-    if chunk is None:
-        return ordered.groupBy(by).agg(joined.alias(alias))
-    stretch = F.expr(f"{names[0]} div {chunk}").alias("_stretch")
-    stretches = ordered.groupBy(by, stretch).agg(joined.alias("_item"))
-    return stretches.groupBy(by).agg(F.expr(_listagg("_item", sep, "_stretch")).alias(alias))
+    laid = rows.select(by, *keys, item.alias("_item")).repartitionByRange(by, *names, "_item")
+    placed = laid.withColumn("_part", F.spark_partition_id())
+    inside = F.expr(_listagg("_item", sep, ", ".join([*names, "_item"])))
+    parts = placed.groupBy(by, "_part").agg(inside.alias("_item"))
+    return parts.groupBy(by).agg(F.expr(_listagg("_item", sep, "_part")).alias(alias))
 
 
 def _listagg(item: str, sep: str, order: str) -> str:
@@ -86,56 +78,65 @@ def single_source_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def config_tables(config: DataFrame) -> DataFrame:
-    """One row per configuration of the config table: its table, or why it has none.
+def table_of(least: Column, greatest: Column, unnamed: Column) -> tuple[Column, Column]:
+    """The one table between the least and the greatest name, and why there is none.
 
-    Whether there is one name or several shows in the least and the greatest of them, so one
-    exchange does, where counting distinct names would need two.
+    One name or several shows in the two, so one exchange does, where counting distinct names would
+    need two. A row with a NULL part of its name is a reason of its own.
     """
+    many = least != greatest
+    reject = F.when(unnamed, "null_table_name").when(many, "many_source_tables")
+    return F.when(~unnamed & ~many, least), reject
+
+
+def config_tables(config: DataFrame) -> DataFrame:
+    """One row per configuration of the config table: its table, or why it has none."""
     name = source_table()
     names = (
         config.filter(F.col("active_ind") == 1)
         .groupBy("config_id")
-        .agg(F.min(name).alias("least"), F.max(name).alias("greatest"))
-    )
-    return names.select(
-        "config_id",
-        F.when(F.col("least") == F.col("greatest"), F.col("least")).alias("source_table"),
-        F.when(F.col("least") != F.col("greatest"), "many_source_tables").alias("table_reject"),
+        .agg(
+            F.min(name).alias("least"),
+            F.max(name).alias("greatest"),
+            F.bool_or(name.isNull()).alias("unnamed"),
+        )
     )
+    table, reject = table_of(F.col("least"), F.col("greatest"), F.col("unnamed"))
+    return names.select("config_id", table.alias("source_table"), reject.alias("table_reject"))
 
 
 def attach_source_table(
     rows: DataFrame,
     config: DataFrame,
-    broadcast_rows: int = 100_000,
     spread_by: str = "custom_column_mapping_id",
     salts: int = 8,
 ) -> DataFrame:
     """Each row with the table of its configuration and, if there is none, the reason.
 
-    The config table grows with the configurations, so its active rows are counted first, no
-    further than the bound: up to ``broadcast_rows`` of them are broadcast and ``rows`` stay where
-    they are. Beyond it both sides are exchanged under ``(config_id, salt)``, the salt taken from
-    ``spread_by``. A configuration of very many rows then goes to several tasks, and adaptive
-    execution can split its partitions further.
+    The config table grows with the configurations, so both sides are exchanged under
+    ``(config_id, salt)``, the salt taken from ``spread_by``. A configuration of very many rows then
+    goes to several tasks, and adaptive execution can split its partitions further.
     """
     tables = config_tables(config)
-    if _at_most(config.filter(F.col("active_ind") == 1), broadcast_rows):
-        return _with_reject(rows.join(F.broadcast(tables), "config_id", "left"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     every_salt = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = salted.join(every_salt.hint("merge"), ["config_id", "_salt"], "left")
     return _with_reject(joined.drop("_salt"))
 
 
-def join_tables(per_config: DataFrame, config: DataFrame) -> DataFrame:
+def join_tables(per_config: DataFrame, config: DataFrame, salt: str | None = None) -> DataFrame:
     """The same for a frame with one row per configuration, laid out by ``config_id`` already.
 
+    With a ``salt`` column the rows of salt 0 are those; others find no table and are spread by it.
+
     The merge join uses that layout and exchanges the config rows alone. Its hint keeps the
     optimizer from a broadcast by the size of the files, which says little of the rows in them.
     """
-    return _with_reject(per_config.join(config_tables(config).hint("merge"), "config_id", "left"))
+    tables = config_tables(config)
+    keys = ["config_id"]
+    if salt is not None:
+        tables, keys = tables.withColumn(salt, F.lit(0)), ["config_id", salt]
+    return _with_reject(per_config.join(tables.hint("merge"), keys, "left"))
 
 
 def _with_reject(joined: DataFrame) -> DataFrame:
@@ -144,6 +145,3 @@ def _with_reject(joined: DataFrame) -> DataFrame:
     )
     return joined.withColumn("table_reject", reason)
 
-
-def _at_most(rows: DataFrame, bound: int) -> bool:
-    return rows.limit(bound + 1).count() <= bound

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import render_prompt
 
-# Takes prompts, gives as many responses; an exception object in place of one fails that row only.
-BatchFunction = Callable[[Sequence[str]], Sequence["str | Exception | None"]]
+# Takes one prompt, gives its response; with a batch size: prompts, gives as many responses, where an
+# exception object in place of one fails that row only.
+PromptFunction = Callable[..., "str | None"]
+BatchFunction = Callable[..., Sequence["str | Exception | None"]]
 
 
 def render_prompts(rows: DataFrame, source: str, prefix: str, system_prompt: str) -> DataFrame:
@@ -30,26 +32,39 @@ def spread(rows: DataFrame, partitions: int, *keys: str) -> DataFrame:
 
 
 def enrich_rows(
-    rows: DataFrame, function: BatchFunction, prompt: str = "prompt", batch_size: int = 64
+    rows: DataFrame,
+    function: PromptFunction | BatchFunction,
+    prompt: str = "prompt",
+    batch_size: int | None = None,
+    resend: bool = False,
+    **arguments: str | None,
 ) -> DataFrame:
     """``rows`` with ``response`` and ``error``, exactly one of them NULL for a prompt that is not.
 
-    The function runs in the tasks, on at most ``batch_size`` prompts at a time; the partitions of
-    ``rows`` are the degree of parallelism. Should it raise, the batch is tried row by row, and
-    only the rows that fail alone carry an error. A NULL prompt is not sent and has neither.
+    The function runs in the tasks; the partitions of ``rows`` are the degree of parallelism. It
+    takes one prompt, and what it raises is the error of that row. With a ``batch_size`` it takes up
+    to so many prompts; what it raises is the error of all of them, since nothing is known of what a
+    broken batch did, unless ``resend`` lets each be sent again alone. ``arguments`` are passed to it
+    by name. A response that is no text is the error of its row. A NULL prompt is not sent and has
+    neither.
     """
     fields = [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     schema = T.StructType([*rows.schema.fields, *fields])
     position = rows.columns.index(prompt)
 
+    def send(prompts: list[str]) -> list:
+        if batch_size is None:
+            return [function(prompts[0], **arguments)]
+        return list(function(prompts, **arguments))
+
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prompts = batch.column(position).to_pylist()
-            answers = [
-                answer
-                for start in range(0, len(prompts), batch_size)
-                for answer in _answers(function, prompts[start : start + batch_size])
-            ]
+            sent = [text for text in prompts if text is not None]
+            size = batch_size or 1
+            parts = (sent[start : start + size] for start in range(0, len(sent), size))
+            found = iter([answer for part in parts for answer in _call(send, part, resend)])
+            answers = [(None, None) if text is None else next(found) for text in prompts]
             responses, errors = zip(*answers) if answers else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(responses, pa.string()), pa.array(errors, pa.string())],
@@ -59,21 +74,15 @@ def enrich_rows(
     return rows.mapInArrow(call, schema)
 
 
-def _answers(function: BatchFunction, prompts: list[str | None]) -> list[tuple]:
-    sent = [prompt for prompt in prompts if prompt is not None]
-    answers = iter(_call(function, sent) if sent else ())
-    return [(None, None) if prompt is None else next(answers) for prompt in prompts]
-
-
-def _call(function: BatchFunction, prompts: list[str]) -> list[tuple]:
+def _call(send: Callable[[list[str]], list], prompts: list[str], resend: bool) -> list[tuple]:
     try:
-        results = list(function(prompts))
+        results = send(prompts)
         if len(results) != len(prompts):
             raise ValueError(f"{len(results)} responses to {len(prompts)} prompts")
     except Exception as error:
-        if len(prompts) == 1:
-            return [_failed(error)]
-        return [answer for prompt in prompts for answer in _call(function, [prompt])]
+        if resend and len(prompts) > 1:
+            return [answer for prompt in prompts for answer in _call(send, [prompt], False)]
+        return [_failed(error)] * len(prompts)
     return [_answer(result) for result in results]
 
 
@@ -82,6 +91,8 @@ def _answer(result) -> tuple:
         return _failed(result)
     if result is None:
         return None, "no response"
+    if not isinstance(result, str):
+        return None, f"TypeError: a response of type {type(result).__name__}"
     return result, None
 
 

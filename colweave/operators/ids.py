@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.staging import stage
 
 MARK = "_mark"
-_PLACE_BITS = 33  # monotonically_increasing_id: partition above, place within it below
+PLACE_BITS = 33  # monotonically_increasing_id: partition above, place within it below
 
 
 def lay_out(rows: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
@@ -28,8 +28,8 @@ def lay_out(rows: DataFrame, *order: str, partitions: int | None = None) -> Data
 
 def ids_of(marked: DataFrame, after: int | Column = 0, id_column: str = "id") -> DataFrame:
     """The rows of a written ``lay_out`` with ids ``after`` + 1, + 2, ... in its order."""
-    partition = F.shiftright(F.col(MARK), _PLACE_BITS)
-    place = F.col(MARK) - F.shiftleft(partition, _PLACE_BITS)
+    partition = F.shiftright(F.col(MARK), PLACE_BITS)
+    place = F.col(MARK) - F.shiftleft(partition, PLACE_BITS)
     sizes = marked.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_rows"))
     # one row per partition of the layout, so this window and the broadcast are small by nature
     before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)

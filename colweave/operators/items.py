@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.binding import bind_parameters
 from ..functions.text import quote_identifier
 from ..functions.types import TYPE_NAMES, normalize_type
-from .rows import is_derived, is_raw, is_transformed, reject_reason
+from .rows import is_derived, is_raw, is_transformed, reject_reason, source_table
 
-RAW, DERIVED, NEITHER = "raw", "derived", "neither"
+RAW, DERIVED, NEITHER, TABLE = "raw", "derived", "neither", "table"
 KEYS = ("target", "source")
 
 
@@ -38,7 +38,8 @@ def _item(slot: Column, name: Column, *text_parts: Column) -> Column:
 
 def _column_item() -> Column:
     """Item of the source query; a row that is neither raw nor derived only marks its configuration."""
-    slot = F.when(is_raw(), RAW).when(is_derived(), DERIVED).otherwise(NEITHER)
+    named = F.col("source_column_name").isNotNull()
+    slot = F.when(is_raw() & named, RAW).when(is_derived() & named, DERIVED).otherwise(NEITHER)
     return _item(slot, F.when(slot != NEITHER, F.col("source_column_name")))
 
 
@@ -56,18 +57,25 @@ def _entry_item(key: str) -> Column:
     )
 
 
-def column_items(active: DataFrame) -> DataFrame:
-    return active.select("config_id", F.inline(F.array(_column_item())))
+def _table_item() -> Column:
+    """Item of the source table that the row names; the name is NULL where a part of it is."""
+    return _item(F.lit(TABLE), source_table())
+
+
+def column_items(active: DataFrame, tables: bool = False) -> DataFrame:
+    """Column items, and with ``tables`` those of the source tables, of one scan."""
+    found = [_column_item(), *([_table_item()] if tables else [])]
+    return active.select("config_id", F.inline(F.array(*found)))
 
 
 def entry_items(active: DataFrame, key: str = "target") -> DataFrame:
     return active.select("config_id", F.inline(F.array(_entry_item(key)))).filter("slot is not null")
 
 
-def all_items(active: DataFrame) -> DataFrame:
-    """Column and entry items of one scan."""
-    both = F.array(_column_item(), _entry_item("target"))
-    return active.select("config_id", F.inline(both)).filter("slot is not null")
+def all_items(active: DataFrame, tables: bool = False) -> DataFrame:
+    """Column and entry items, and with ``tables`` those of the source tables, of one scan."""
+    found = [_column_item(), _entry_item("target"), *([_table_item()] if tables else [])]
+    return active.select("config_id", F.inline(F.array(*found))).filter("slot is not null")
 
 
 def last_item_wins(items: DataFrame) -> DataFrame:

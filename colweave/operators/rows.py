@@ -71,11 +71,14 @@ def null_cast_items(mapping: DataFrame, style: str = "backtick") -> DataFrame:
 
 
 def reject_reason() -> Column:
-    """Why a transformed row cannot be used; NULL when it can."""
+    """Why a row cannot be used; NULL when it can. All but the first concern transformed rows."""
     definition = F.col("transformation_function_def")
     parameters = F.col("transformation_parameter_text")
     return (
-        F.when(~is_known_type(normalize_type(F.col("transform_func_data_type"))), "unknown_type")
+        F.when(F.col("source_column_name").isNull(), "null_source_column")
+        .when(~is_transformed(), None)
+        .when(F.col("target_column_name").isNull(), "null_target_column")
+        .when(~is_known_type(normalize_type(F.col("transform_func_data_type"))), "unknown_type")
         .when(definition.isNull(), "null_definition")
         .when(parameters.isNull() & has_parameters(definition), "null_parameters")
     )

@@ -7,12 +7,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.types import LOGICAL_TYPES, typed_null
-from ..operators.items import DERIVED, RAW, all_items, bind_items, last_item_wins
-from ..operators.rows import active_mapping, active_source_rows
-from ..schemas import MAPPING, conform
-
-# What one projection can hold. A mapping beyond it is refused, never cut.
-MAX_COLUMNS = 20_000
+from ..operators.items import DERIVED, RAW
+from ..operators.rows import active_source_rows
+from .compile import collect_mapping
 
 
 def apply_mapping(
@@ -24,49 +21,48 @@ def apply_mapping(
 ) -> DataFrame:
     """The current rows of ``source`` with the raw columns and the targets of one configuration.
 
-    Definitions are Spark SQL expressions over the columns of the source. A derived column that
-    the source lacks is a null string to them. A target takes the place of a raw column of its
-    name. ``strict=False`` turns a failing cast into NULL. ``return_length`` adds the typed null
+    Definitions are Spark SQL expressions over what the compiled query selects: the raw columns,
+    and the derived ones as null strings, also where the source has a column of that name; a derived
+    column that no target takes the place of is given as such. Other columns of the source can be
+    used too. A target takes the place of a column of its name. ``strict=False`` turns a failing cast into NULL. ``return_length`` adds the typed null
     columns that fill each list up to that length.
 
     The reduced mapping rows of the one configuration are read when the plan is made; the source
     stays on the executors and is read only in the columns that are used.
     """
-    active = active_mapping(conform(mapping, MAPPING, "mapping"), config_id)
-    items = _plan_items(active)
+    items = _plan_items(mapping, config_id)
     raw = sorted({item.name for item in items if item.slot == RAW})
-    have = {name.lower() for name in source.columns}
-    absent = sorted(
-        {item.name for item in items if item.slot == DERIVED and item.name.lower() not in have}
-    )
+    derived = sorted({item.name for item in items if item.slot == DERIVED} - set(raw))
     by_type = {kind.name: [] for kind in LOGICAL_TYPES}
     for item in items:
         if item.slot in by_type:
             by_type[item.slot].append(item)
 
     targets: dict[str, Column] = {}
+    pads: list[str] = []
     for kind in LOGICAL_TYPES:
         for item in sorted(by_type[kind.name], key=lambda entry: entry.pos):
             targets[item.name] = _typed(item.text, kind.sql_type, strict).alias(item.name)
         for n in range(len(by_type[kind.name]) + 1, return_length + 1):
             pad = f"_{kind.prefix}{n}"
+            pads.append(pad)
             targets[pad] = typed_null(kind).alias(pad)
-    _refuse_repeats(config_id, [item.name for entries in by_type.values() for item in entries])
+    named = [item.name for entries in by_type.values() for item in entries]
+    _refuse_repeats(config_id, "targets with more than one type", named)
+    _refuse_repeats(config_id, "columns with the name of a padding", [*{*named, *raw, *derived}, *pads])
 
     current = active_source_rows(source).withColumns(
-        {name: F.lit(None).cast("string") for name in absent}
+        {name: F.lit(None).cast("string") for name in derived}
     )
     replaced = {name.lower() for name in targets}
-    kept = [F.col(_quoted(name)) for name in raw if name.lower() not in replaced]
+    kept = [F.col(_quoted(name)) for name in [*raw, *derived] if name.lower() not in replaced]
     return current.select(*kept, *targets.values())
 
 
-def _plan_items(active: DataFrame) -> list[Row]:
-    items = bind_items(last_item_wins(all_items(active)), style="backtick")
-    rows = items.limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} columns and targets in one configuration")
-    return rows
+def _plan_items(mapping: DataFrame, config_id: int) -> list[Row]:
+    """The items of the one grouped row of the configuration, the row that a compile gives too."""
+    row = collect_mapping(mapping, config_id, bind_style="backtick").first()
+    return row["items"] if row else []
 
 
 def _typed(text: str, sql_type: str, strict: bool) -> Column:
@@ -74,10 +70,10 @@ def _typed(text: str, sql_type: str, strict: bool) -> Column:
     return value.cast(sql_type) if strict else value.try_cast(sql_type)
 
 
-def _refuse_repeats(config_id: int, names: list[str]) -> None:
+def _refuse_repeats(config_id: int, what: str, names: list[str]) -> None:
     repeated = sorted(name for name, n in Counter(map(str.lower, names)).items() if n > 1)
     if repeated:
-        raise ValueError(f"configuration {config_id}: targets with more than one type: {repeated}")
+        raise ValueError(f"configuration {config_id}: {what}: {repeated}")
 
 
 def _quoted(name: str) -> str:

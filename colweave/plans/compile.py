@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.columns import join_tables, source_columns
+from ..operators.columns import join_tables, source_columns, table_of
 from ..operators.items import (
     DERIVED,
     RAW,
+    TABLE,
     all_items,
     bind_items,
     collect_items,
@@ -16,12 +17,12 @@ from ..operators.items import (
     last_item_wins,
     typed_lists,
 )
-from ..operators.lists import joined_lists, padded_lists, quoted_lists
+from ..operators.lists import LIST_COLUMNS, joined_lists, padded_lists, quoted_lists
 from ..operators.rows import (
     ACTIVE_ROW_COLUMN,
     active_mapping,
-    is_transformed,
     reject_reason,
+    source_table,
 )
 from ..schemas import MAPPING, SOURCE_CONFIG, conform
 
@@ -29,7 +30,7 @@ DEFAULT_LENGTH = 8
 RECORD_COLUMNS = (
     "config_id",
     "source_query",
-    *("bkeys", "bvals", "dkeys", "dvals", "dtkeys", "dtvals", "nkeys", "nvals", "skeys", "svals"),
+    *LIST_COLUMNS,
 )
 
 
@@ -46,9 +47,8 @@ def compile_source_query(
     Without a config table the mapping rows name the source table themselves.
     """
     active = _active(mapping, config_id)
-    collected = collect_items(bind_items(last_item_wins(column_items(active))))
-    tables = _tables(mapping, config, config_id)
-    return _with_source_query(collected, tables, order, style).select(
+    collected = collect_items(bind_items(last_item_wins(column_items(active, config is None))))
+    return _with_source_query(collected, config, config_id, order, style).select(
         "config_id", "source_query"
     )
 
@@ -71,23 +71,34 @@ def compile_mapping_arrays(
     the last mapping of a target and type wins. Without a config table the mapping rows name the
     source table themselves. No job runs until the caller asks for rows.
     """
-    collected = collect_mapping(mapping, config_id, key)
-    tables = _tables(mapping, config, config_id)
-    lists = typed_lists(_with_source_query(collected, tables, order, style))
+    collected = collect_mapping(mapping, config_id, key, tables=config is None)
+    lists = typed_lists(_with_source_query(collected, config, config_id, order, style))
     padded = padded_lists(lists, return_length, "source_query")
     if quote:
         padded = quoted_lists(padded)
     return joined_lists(padded, sep).select(*RECORD_COLUMNS)
 
 
-def collect_mapping(mapping: DataFrame, config_id: int | None = None, key: str = "target") -> DataFrame:
-    """One row per configuration with the items of its columns and entries."""
+def collect_mapping(
+    mapping: DataFrame,
+    config_id: int | None = None,
+    key: str = "target",
+    *,
+    tables: bool = False,
+    bind_style: str = "none",
+) -> DataFrame:
+    """One row per configuration with the items of its columns and entries.
+
+    With ``tables`` the source tables that its mapping rows name are items too. ``bind_style``
+    quotes the column put in for ``i0``. With ``key="source"`` no entry supersedes another, so all
+    rows of a configuration meet in its one output row.
+    """
     active = _active(mapping, config_id)
     if key == "target":
-        return collect_items(bind_items(last_item_wins(all_items(active))))
-    columns = last_item_wins(column_items(active))
+        return collect_items(bind_items(last_item_wins(all_items(active, tables)), bind_style))
+    columns = last_item_wins(column_items(active, tables))
     entries = entry_items(active, key).withColumnRenamed("id", "pos")
-    return collect_items(bind_items(columns.unionByName(entries)))
+    return collect_items(bind_items(columns.unionByName(entries), bind_style))
 
 
 def mapping_rejects(
@@ -98,38 +109,75 @@ def mapping_rejects(
     A row reason keeps one mapping row out of the lists. A configuration reason leaves
     ``source_query`` NULL and is given once, without a mapping id.
     """
-    active = _active(mapping, config_id)
-    rows = (
-        active.filter(is_transformed())
-        .withColumn("reason", reject_reason())
-        .filter(F.col("reason").isNotNull())
-        .select("config_id", "custom_column_mapping_id", "target_column_name", "reason")
+    # one scan: a row for each rejected mapping row, and salt 0 for its configuration as a whole
+    rejected = F.struct(
+        F.col("custom_column_mapping_id").alias("id"),
+        F.col("target_column_name").alias("target"),
+        reject_reason().alias("reason"),
+        (F.pmod(F.xxhash64("custom_column_mapping_id"), F.lit(8)) + 1).cast("int").alias("salt"),
+    )
+    whole = F.struct(
+        F.lit(None).cast("bigint").alias("id"),
+        F.lit(None).cast("string").alias("target"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(0).alias("salt"),
+    )
+    name = source_table()
+    found = (
+        _active(mapping, config_id)
+        .select("config_id", name.alias("name"), F.inline(F.array(rejected, whole)))
+        .filter("salt = 0 or reason is not null")
+        .groupBy("config_id", "id", "target", "reason", "salt")
+        .agg(
+            F.count("*").cast("int").alias("n"),
+            F.min("name").alias("least"),
+            F.max("name").alias("greatest"),
+            F.bool_or(F.col("name").isNull()).alias("unnamed"),
+        )
     )
-    configs = (
-        join_tables(active.select("config_id").distinct(), _tables(mapping, config, config_id))
-        .filter(F.col("table_reject").isNotNull())
+    if config is None:
+        _, reject = table_of(F.col("least"), F.col("greatest"), F.col("unnamed"))
+        told = found.withColumn("table_reject", reject)
+    else:
+        # row rejects have no partner here and are spread by their salt
+        told = join_tables(found, _config(config, config_id), salt="salt")
+    reason = F.when(F.col("salt") == 0, F.col("table_reject")).otherwise(F.col("reason"))
+    times = F.when(F.col("salt") == 0, 1).otherwise(F.col("n"))
+    return (
+        told.select("config_id", "id", "target", reason.alias("reason"), times.alias("n"))
+        .filter(F.col("reason").isNotNull())
         .select(
             "config_id",
-            F.lit(None).cast("bigint").alias("custom_column_mapping_id"),
-            F.lit(None).cast("string").alias("target_column_name"),
-            F.col("table_reject").alias("reason"),
+            F.col("id").alias("custom_column_mapping_id"),
+            F.col("target").alias("target_column_name"),
+            "reason",
+            F.explode(F.sequence(F.lit(1), "n")).alias("n"),
         )
+        .drop("n")
     )
-    return rows.unionByName(configs)
 
 
 def _active(mapping: DataFrame, config_id: int | None) -> DataFrame:
     return active_mapping(conform(mapping, MAPPING, "mapping"), config_id)
 
 
-def _tables(mapping: DataFrame, config: DataFrame | None, config_id: int | None) -> DataFrame:
-    """Rows that name source tables, under the schema of the config table."""
-    named = mapping if config is None else config
-    declared = conform(named, SOURCE_CONFIG, "mapping" if config is None else "source config")
+def _config(config: DataFrame, config_id: int | None) -> DataFrame:
+    declared = conform(config, SOURCE_CONFIG, "source config")
     return declared if config_id is None else declared.filter(F.col("config_id") == config_id)
 
 
-def _with_source_query(collected: DataFrame, tables: DataFrame, order: str, style: str) -> DataFrame:
+def _with_source_query(
+    collected: DataFrame, config: DataFrame | None, config_id: int | None, order: str, style: str
+) -> DataFrame:
+    if config is None:
+        names = F.transform(
+            F.filter("items", lambda item: item["slot"] == TABLE), lambda item: item["name"]
+        )
+        unnamed = F.exists(names, lambda name: name.isNull())
+        table, reject = table_of(F.array_min(names), F.array_max(names), unnamed)
+        tabled = collected.withColumns({"source_table": table, "table_reject": reject})
+    else:
+        tabled = join_tables(collected, _config(config, config_id))
     text = F.concat(
         F.lit("select "),
         F.array_join(source_columns(order, style), ", "),
@@ -138,4 +186,4 @@ def _with_source_query(collected: DataFrame, tables: DataFrame, order: str, styl
         F.lit(f" WHERE {ACTIVE_ROW_COLUMN}='Y'"),
     )
     has_columns = F.exists("items", lambda item: item["slot"].isin(RAW, DERIVED))
-    return join_tables(collected, tables).withColumn("source_query", F.when(has_columns, text))
+    return tabled.withColumn("source_query", F.when(has_columns, text))

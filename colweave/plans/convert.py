@@ -3,67 +3,109 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.checks import refuse_violations
 from ..operators.components import NAMESPACE, TAG, components_of, parse_packages, rejects_of
-from ..operators.enrich import BatchFunction, conversion_rows, enrich_rows, render_prompts
-from ..operators.ids import MARK, lay_out
+from ..operators.enrich import (
+    BatchFunction,
+    PromptFunction,
+    conversion_rows,
+    enrich_rows,
+    render_prompts,
+    spread,
+)
+from ..operators.ids import MARK, PLACE_BITS, lay_out
+from ..schemas import CONVERSION_ROW
 from ..sources.log import ConversionLog
 from ..sources.staging import stage
 
 
 class Conversion(NamedTuple):
-    """All three frames read staged rows, which stay until ``ConversionLog.release(run)``."""
+    """All three frames read staged rows, which stay until ``ConversionLog.release(run)``; without a
+    log until the application ends."""
 
     run: str
-    appended: DataFrame  # the new log rows with their ids
+    appended: DataFrame  # the new log rows with their ids; without a log the rows alone
     failures: DataFrame  # components whose response is an error; logged without a response
     rejects: DataFrame  # packages that are no XML
 
 
 def convert_packages(
     packages: DataFrame,
-    function: BatchFunction,
-    log: ConversionLog,
+    function: PromptFunction | BatchFunction,
+    log: ConversionLog | None,
     *,
     api_provider: str,
     model_name: str,
     prompt_prefix: str,
     system_prompt: str,
     partitions: int | None = None,
-    batch_size: int = 64,
+    waves: int = 8,
+    batch_size: int | None = None,
     tag: str = TAG,
     namespace: str = NAMESPACE,
     run: str | None = None,
 ) -> Conversion:
     """Send every component of every package to ``function`` and append one log row for each.
 
-    Documents are parsed once, into staged rows, since putting rows in order reads them twice.
-    Components are laid out in (file, index) order before the calls and written once after them,
-    so the calls run in ``partitions`` parallel tasks however the components are spread over
-    files, are not repeated by later passes, and leave the rows in id order without moving them
-    again. With a ``run`` name a repeated call takes up what was written before.
+    ``function`` takes a prompt, or with a ``batch_size`` prompts, and ``system_prompt`` and
+    ``model_name`` by name. Components are laid out in (file, index) order and staged before the
+    calls, so the calls run in ``partitions`` parallel tasks however the components are spread over
+    files. The calls are made in ``waves`` of those partitions, each written when it ends. With a
+    ``run`` name a repeated call takes up what was written: no prompt of a written wave is sent
+    again. Without a log nothing is saved.
     """
     order = ("ssis_file_path", "ssis_file_name", "component_index")
     if api_provider is None or model_name is None:
         raise ValueError("api_provider and model_name are required columns of the log")
-    run = run or uuid.uuid4().hex
+    if log is None:
+        part = lambda name: None  # copies without a name
+        run = ""
+    else:
+        run = run or uuid.uuid4().hex
+        part = lambda name: log.part(run, name)
+        log.claim(
+            run,
+            api_provider=api_provider,
+            model_name=model_name,
+            prompt_prefix=prompt_prefix,
+            system_prompt=system_prompt,
+            tag=tag,
+            namespace=namespace,
+            waves=str(waves),
+        )
     named = refuse_violations(packages, ("ssis_file_path", "ssis_file_name"))
-    parsed = stage(parse_packages(named, tag, namespace), f"{run}-parsed")
-    placed = lay_out(components_of(parsed), *order, partitions=partitions)
-    prompts = render_prompts(placed, "ssis_component", prompt_prefix, system_prompt)
-    answered = enrich_rows(prompts.drop("system_prompt"), function, batch_size=batch_size)
-    rows = conversion_rows(
-        answered,
-        api_provider=api_provider,
-        model_name=model_name,
-        system_prompt=system_prompt,
-        prompt_prefix=prompt_prefix,
-        carry=("component_index", "error", MARK),
-    )
-    staged = stage(rows, f"{run}-rows")
-    failures = staged.filter("error is not null").select(*order, "error")
-    return Conversion(run, log.append_marked(staged, run), failures, rejects_of(parsed))
+    parsed = stage(parse_packages(named, tag, namespace), part("parsed"))
+    rejects = stage(rejects_of(parsed), part("rejects"))
+    placed = stage(lay_out(components_of(parsed), *order, partitions=partitions), part("placed"))
+    staged = []
+    for wave in range(waves):
+        # whole partitions of the layout, told apart by the upper part of the mark
+        own = placed.filter(F.pmod(F.shiftright(MARK, PLACE_BITS), F.lit(waves)) == wave)
+        size = max(1, (partitions or placed.rdd.getNumPartitions()) // waves)
+        prompts = render_prompts(own, "ssis_component", prompt_prefix, system_prompt)
+        answered = enrich_rows(
+            spread(prompts.drop("system_prompt"), size, MARK),
+            function,
+            batch_size=batch_size,
+            system_prompt=system_prompt,
+            model_name=model_name,
+        )
+        rows = conversion_rows(
+            answered,
+            api_provider=api_provider,
+            model_name=model_name,
+            system_prompt=system_prompt,
+            prompt_prefix=prompt_prefix,
+            carry=("component_index", "error", MARK),
+        )
+        staged.append(stage(rows, part(f"wave{wave}")))
+    answers = reduce(DataFrame.unionByName, staged)
+    failures = answers.filter("error is not null").select(*order, "error")
+    if log is None:
+        return Conversion(run, answers.select(*CONVERSION_ROW.names), failures, rejects)
+    return Conversion(run, log.append_marked(answers, run), failures, rejects)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.checks import refuse_violations
 from ..operators.ids import MARK, ids_of, lay_out
 from ..schemas import CONVERSION_LOG, CONVERSION_ROW, conform
 from .mapping import is_path
-from .staging import is_staged, stage, unstage
+from .staging import is_staged, stage, staged_names, unstage
+
+ATTEMPT = T.StructType([*CONVERSION_LOG.fields, T.StructField(MARK, T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -64,27 +69,79 @@ class ConversionLog:
         conform(rows, CONVERSION_ROW, "log rows")
         wanted = [*CONVERSION_ROW.names, *(name for name in order if name not in CONVERSION_ROW.names)]
         marked = lay_out(refuse_violations(rows.select(*wanted)), *order)
-        return self.append_marked(stage(marked, run and f"{run}-rows"), run)
+        return self.append_marked(stage(marked, run and self.part(run, "rows")), run)
 
     def append_marked(self, marked: DataFrame, run: str | None = None) -> DataFrame:
         """Append rows that were laid out in order and staged; gives the appended rows.
 
-        A ``run`` name makes a retry exact: the mark below the first id of the run is recorded
-        before the write, and a retry writes only those ids that are not in the log yet.
+        A ``run`` name makes a retry exact. The ids of every attempt are recorded before its write.
+        A row counts as written where the log holds it, all eight columns of it, under an id that an
+        attempt gave it. What is absent keeps its ids where they are free; where another writer went
+        on above the mark, it is numbered after the new maximum. A finished run is recorded and only
+        read after that.
         """
-        retried = run is not None and is_staged(self.spark, f"{run}-mark")
-        after = self.max_id() if run is None else stage(self.high_water_mark(), f"{run}-mark").first()[0]
+        if run is None:
+            numbered = ids_of(marked.select(*CONVERSION_ROW.names, MARK), self.max_id())
+            return self._write(numbered.select(*CONVERSION_LOG.names))
+        done = self.part(run, "done")
+        if is_staged(self.spark, done):
+            return stage(self._none(), done)
         rows = marked.select(*CONVERSION_ROW.names, MARK)
-        numbered = ids_of(rows, after).select(*CONVERSION_LOG.names)
-        missing = numbered
-        if retried:
-            present = self.read().filter(F.col("id") > after).select("id")
-            missing = numbered.join(present.hint("merge"), "id", "left_anti").select(*CONVERSION_LOG.names)
-        writer = missing.write.mode("append").format(self.format)
+        attempts = []
+        while is_staged(self.spark, self.part(run, f"try{len(attempts)}")):
+            attempts.append(stage(self._none(), self.part(run, f"try{len(attempts)}"), ATTEMPT))
+        if not attempts:
+            wanted = self._attempt(run, 0, rows.withColumn("_key", F.col(MARK)))
+        else:
+            given = reduce(DataFrame.unionByName, attempts)
+            log = self.read().select([F.col(name).alias(f"_{name}") for name in CONVERSION_LOG.names])
+            # text is compared where the ids meet, in a retry only
+            met = given.join(log.hint("merge"), F.col("id") == F.col("_id"))
+            same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"_{n}")) for n in CONVERSION_ROW.names))
+            written = stage(met.filter(same).select(MARK, "id").groupBy(MARK).agg(F.min("id").alias("id")))
+            absent = attempts[-1].join(written.select(MARK), MARK, "left_anti")
+            before = attempts[0].agg(F.min("id")).first()[0]
+            others = self.read().filter(F.col("id") >= (before or 0)).select("id")
+            others = others.join(written.select("id"), "id", "left_anti")
+            if others.isEmpty() or absent.isEmpty():
+                wanted = absent
+            else:
+                again = absent.drop("id").withColumnRenamed(MARK, "_key")
+                wanted = self._attempt(run, len(attempts), stage(lay_out(again, "_key")))
+        self._write(wanted.select(*CONVERSION_LOG.names))
+        final = wanted.select(MARK, "id")
+        if attempts:
+            final = final.unionByName(written)
+        return stage(rows.join(final, MARK).select(*CONVERSION_LOG.names), done)
+
+    def _attempt(self, run: str, n: int, rows: DataFrame) -> DataFrame:
+        """Number rows after the log as it is and record it; ``_key`` holds their marks in the run."""
+        numbered = ids_of(rows, self.max_id())
+        named = numbered.select(*CONVERSION_LOG.names, F.col("_key").alias(MARK))
+        return stage(named, self.part(run, f"try{n}"))
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        writer = rows.write.mode("append").format(self.format)
         writer.save(self.location) if is_path(self.location) else writer.saveAsTable(self.location)
-        return numbered
+        return rows
+
+    def _none(self) -> DataFrame:
+        return self.spark.createDataFrame([], CONVERSION_LOG)
+
+    def part(self, run: str, name: str) -> str:
+        """The name of a staged part of a run; runs of different logs share nothing."""
+        return f"{hashlib.md5(self.location.encode()).hexdigest()}-{run}-{name}"
+
+    def claim(self, run: str, **settings: str | None) -> None:
+        """Record what a run is made of; raises where it was begun with other settings."""
+        rows = [(key, value) for key, value in sorted(settings.items())]
+        declared = self.spark.createDataFrame(rows, "setting string, value string")
+        begun = {r["setting"]: r["value"] for r in stage(declared, self.part(run, "settings")).collect()}
+        changed = sorted(key for key, value in rows if begun.get(key) != value)
+        if changed:
+            raise ValueError(f"run {run!r} was begun with other settings: {changed}")
 
     def release(self, run: str) -> None:
-        """Delete the staged rows of a finished run. It cannot be taken up or read from after that."""
-        for part in ("parsed", "rows", "mark"):
-            unstage(self.spark, f"{run}-{part}")
+        """Delete the staged parts of a finished run. It cannot be taken up or read from after that."""
+        for name in staged_names(self.spark, self.part(run, "")):
+            unstage(self.spark, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.checks import refuse_violations
 from ..schemas import MAPPING, MAPPING_CSV, SOURCE_CONFIG, conform
@@ -28,6 +28,32 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     return refuse_violations(rows.fillna("", texts), numbers)
 
 
+def mapping_of_csv(rows: DataFrame) -> DataFrame:
+    """Rows of the CSV form as mapping rows, in the form that a compile by source column takes.
+
+    Every row is active and transformed; its source column is its target too. The file keeps no
+    mapping ids, so entries are in the order of source column and definition.
+    """
+    order = F.xxhash64("config_id", *(f.name for f in MAPPING_CSV.fields[1:]))
+    return conform(
+        rows.select(
+            F.col("config_id").cast("bigint").alias("config_id"),
+            order.alias("custom_column_mapping_id"),
+            *(F.lit(None).cast("string").alias(f"source_{part}_name") for part in ("database", "schema", "table")),
+            "source_column_name",
+            F.col("source_column_name").alias("target_column_name"),
+            F.lit(1).alias("active_ind"),
+            F.lit(0).alias("derived_ind"),
+            F.lit(1).cast("bigint").alias("transformation_function_id"),
+            F.col("f_definition").alias("transformation_function_def"),
+            F.col("f_parameter_text").alias("transformation_parameter_text"),
+            F.col("transform_data_type").alias("transform_func_data_type"),
+        ),
+        MAPPING,
+        "mapping csv",
+    )
+
+
 def is_path(source: str) -> bool:
     """Whether a location is a path and not the name of a table."""
     return "/" in source

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """``(ssis_file_path, ssis_file_name, content)`` of every file under a folder or glob."""
+    """``(ssis_file_path, ssis_file_name, content)`` of every file under a folder or glob.
+
+    The path is that of the folder; both are names as a file system lists them.
+    """
     # as an argument: text() sets the option of this name itself and would undo one set before
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    whole = F.regexp_replace(_decoded(F.col("_metadata.file_path")), "^file:/+", "/")
     return files.select(
-        F.col("_metadata.file_path").alias("ssis_file_path"),
-        F.col("_metadata.file_name").alias("ssis_file_name"),
+        F.regexp_replace(whole, "/[^/]*$", "").alias("ssis_file_path"),
+        _decoded(F.col("_metadata.file_name")).alias("ssis_file_name"),
         F.col("value").alias("content"),
     )
+
+
+def _decoded(encoded: Column) -> Column:
+    """A name without its percent signs; a plus sign stands for itself in a path."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))

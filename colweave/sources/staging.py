@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 FOLDER = "colweave-staging"
+_unnamed: dict[str, list[str]] = {}  # by application
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,8 +27,9 @@ def staging_path(spark: SparkSession, name: str | None = None) -> str:
     return f"{staging_root(spark)}/{name or uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Write ``df`` and return the written rows. Under a ``name`` already written, only read them.
+def stage(df: DataFrame, name: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Write ``df`` and return the written rows. Under a ``name`` already written, only read them,
+    with ``schema`` where it is not that of ``df``.
 
     A copy without a name belongs to the application and goes when that ends.
     """
@@ -38,7 +40,8 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     if name is None:
         files, folder = _file_system(spark, path)
         files.deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+        _unnamed.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def is_staged(spark: SparkSession, name: str) -> bool:
@@ -53,6 +56,22 @@ def unstage(spark: SparkSession, name: str) -> None:
     files.delete(folder, True)
 
 
+def staged_names(spark: SparkSession, prefix: str) -> list[str]:
+    """The staged names that begin with ``prefix``."""
+    files, folder = _file_system(spark, staging_root(spark))
+    if not files.exists(folder):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(folder))
+    return [name for name in names if name.startswith(prefix)]
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete the copies without a name now. What reads them cannot be read after that."""
+    for path in _unnamed.pop(spark.sparkContext.applicationId, []):
+        files, folder = _file_system(spark, path)
+        files.delete(folder, True)
+
+
 def _file_system(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location

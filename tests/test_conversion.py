@@ -12,11 +12,12 @@ from colweave import (
     explode_components,
     read_mapping_csv,
     read_packages,
+    release_staged,
 )
 from colweave.operators.checks import log_violations, refuse_violations, split_violations
 from colweave.operators.ids import MARK, lay_out
 from colweave.schemas import CONVERSION_ROW, PACKAGES
-from colweave.sources.staging import is_staged, stage, staging_path
+from colweave.sources.staging import staged_names, staging_path, unstage
 
 NS = "www.microsoft.com/SqlServer/Dts"
 NESTED = (
@@ -31,8 +32,9 @@ def packages(spark, **documents):
     return spark.createDataFrame(rows, PACKAGES)
 
 
-def echo(prompts):
-    return [f"<{prompt[-20:]}>" for prompt in prompts]
+def echo(prompt, system_prompt, model_name):
+    assert (system_prompt, model_name) == ("sys", "m")
+    return f"<{prompt[-20:]}>"
 
 
 def test_nested_components_in_document_order(spark):
@@ -61,7 +63,14 @@ def test_package_files_are_read_whole(spark, tmp_path):
     found = {r.ssis_file_name: r for r in read_packages(spark, f"{tmp_path}/*.dtsx").collect()}
     assert set(found) == {"a.dtsx", "b.dtsx"}
     assert found["a.dtsx"].content == NESTED and found["b.dtsx"].content == "one\r\ntwo\n\n"
-    assert found["a.dtsx"].ssis_file_path.endswith("/a.dtsx")
+    assert found["a.dtsx"].ssis_file_path == str(tmp_path)
+
+
+def test_names_of_files_and_folders_are_decoded(spark, tmp_path):
+    (tmp_path / "my folder+").mkdir()
+    (tmp_path / "my folder+" / "ODS - Rows 5%+a.dtsx").write_text(NESTED)
+    row = read_packages(spark, str(tmp_path)).first()
+    assert (row.ssis_file_path, row.ssis_file_name) == (f"{tmp_path}/my folder+", "ODS - Rows 5%+a.dtsx")
 
 
 def test_failures_stay_with_their_rows(spark):
@@ -73,7 +82,7 @@ def test_failures_stay_with_their_rows(spark):
 
     rows = [(1, "a"), (2, "boom"), (3, "bad"), (4, None), (5, "none"), (6, "b")]
     frame = spark.createDataFrame(rows, "n int, prompt string").coalesce(1)
-    found = {r.n: (r.response, r.error) for r in enrich_rows(frame, picky, batch_size=4).collect()}
+    found = {r.n: (r.response, r.error) for r in enrich_rows(frame, picky, batch_size=4, resend=True).collect()}
     assert found[1] == ("A", None) and found[6] == ("B", None)
     assert found[2] == (None, "RuntimeError: boom seen")
     assert found[3] == (None, "KeyError: 'k'")
@@ -82,8 +91,34 @@ def test_failures_stay_with_their_rows(spark):
 
 def test_wrong_number_of_responses_is_an_error(spark):
     frame = spark.createDataFrame([("a",), ("b",)], "prompt string")
-    found = enrich_rows(frame, lambda prompts: []).collect()
-    assert all(r.response is None and "0 responses to 1 prompts" in r.error for r in found)
+    found = enrich_rows(frame.coalesce(1), lambda prompts: [], batch_size=2).collect()
+    assert all(r.response is None and "0 responses to 2 prompts" in r.error for r in found)
+
+
+def test_no_prompt_is_sent_twice(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def broken(prompts):
+        with open(calls, "a") as file:
+            file.write("".join(prompts))
+        raise RuntimeError("down")
+
+    frame = spark.createDataFrame([("a",), ("b",), ("c",)], "prompt string").coalesce(1)
+    found = enrich_rows(frame, broken, batch_size=2).collect()
+    assert open(calls).read() == "abc" and {r.error for r in found} == {"RuntimeError: down"}
+
+
+def test_one_prompt_and_responses_that_are_no_text(spark):
+    def one(prompt, model_name):
+        return {"dict": {}, "none": None}.get(prompt, f"{model_name}:{prompt}")
+
+    frame = spark.createDataFrame([("dict",), ("none",), ("x",)], "prompt string")
+    found = {r.prompt: (r.response, r.error) for r in enrich_rows(frame, one, model_name="m").collect()}
+    assert found == {
+        "dict": (None, "TypeError: a response of type dict"),
+        "none": (None, "no response"),
+        "x": ("m:x", None),
+    }
 
 
 def test_ids_are_dense_in_order_and_hot_keys_are_split(spark):
@@ -140,17 +175,99 @@ def test_a_run_is_appended_once(spark):
     assert [r.id for r in log.since(0).collect()] == [1, 2]
 
 
-def test_a_half_written_run_is_completed(spark):
+def breaking_off(monkeypatch, condition):
+    """The next write of a log keeps the rows of ``condition`` and fails."""
+    write = ConversionLog._write
+
+    def broken(log, rows):
+        monkeypatch.setattr(ConversionLog, "_write", write)
+        write(log, rows.filter(condition))
+        raise ConnectionError
+
+    monkeypatch.setattr(ConversionLog, "_write", broken)
+
+
+def test_a_half_written_run_is_completed(spark, monkeypatch):
     log = ConversionLog(spark, staging_path(spark))
-    run = staging_path(spark).rsplit("/", 1)[1]
     log.append(rows_of(spark, "z"), ["ssis_file_name"])
-    whole = ConversionLog(spark, staging_path(spark))
-    stage(log.high_water_mark(), f"{run}-mark")
-    whole.append(rows_of(spark, "a", "b", "c"), ["ssis_file_name"], run=run)
-    whole.read().filter("id = 3").write.mode("append").parquet(log.location)
-    log.append(rows_of(spark, "ignored"), ["ssis_file_name"], run=run)
+    breaking_off(monkeypatch, "id = 3")
+    with pytest.raises(ConnectionError):
+        log.append(rows_of(spark, "a", "b", "c"), ["ssis_file_name"], run="half")
+    for _ in range(2):
+        appended = log.append(rows_of(spark, "ignored"), ["ssis_file_name"], run="half")
     found = [(r.id, r.ssis_file_name) for r in log.since(0).collect()]
     assert found == [(1, "z"), (2, "a"), (3, "b"), (4, "c")]
+    assert sorted(r.ssis_file_name for r in appended.collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("kept", ["false", "id = 2"])
+def test_rows_of_another_run_do_not_count(spark, monkeypatch, kept):
+    log = ConversionLog(spark, staging_path(spark))
+    names = lambda: [r.ssis_file_name for r in log.since(0).collect()]
+    breaking_off(monkeypatch, kept)
+    with pytest.raises(ConnectionError):
+        log.append(rows_of(spark, "A1", "A2", "A3"), ["ssis_file_name"], run="a")
+    log.append(rows_of(spark, "B1", "B2"), ["ssis_file_name"])
+    breaking_off(monkeypatch, "ssis_file_name = 'A3'")
+    with pytest.raises(ConnectionError):
+        log.append(rows_of(spark, "A1", "A2", "A3"), ["ssis_file_name"], run="a")
+    log.append(rows_of(spark, "C1"), ["ssis_file_name"])
+    for _ in range(2):
+        log.append(rows_of(spark, "A1", "A2", "A3"), ["ssis_file_name"], run="a")
+    assert sorted(names()) == ["A1", "A2", "A3", "B1", "B2", "C1"]
+    ids = [r.id for r in log.since(0).collect()]
+    assert len(set(ids)) == 6
+
+
+def test_run_names_belong_to_a_log(spark):
+    one, two = (ConversionLog(spark, staging_path(spark)) for _ in range(2))
+    one.append(rows_of(spark, "a"), ["ssis_file_name"], run="day")
+    two.append(rows_of(spark, "b"), ["ssis_file_name"], run="day")
+    assert [r.ssis_file_name for r in two.since(0).collect()] == ["b"]
+    one.release("day")
+    assert staged_names(spark, one.part("day", "")) == [] and staged_names(spark, two.part("day", ""))
+
+
+def test_a_run_with_other_settings_is_refused(spark):
+    log = ConversionLog(spark, staging_path(spark))
+    frame = packages(spark, good=NESTED)
+    convert_packages(frame, echo, log, run="day", **RUN)
+    with pytest.raises(ValueError, match="model_name"):
+        convert_packages(frame, echo, log, run="day", **RUN | {"model_name": "m2"})
+    assert log.read().count() == 3
+
+
+def test_without_a_log_nothing_is_saved(spark):
+    result = convert_packages(packages(spark, good=NESTED, bad="<a>"), echo, None, **RUN)
+    assert result.appended.columns == CONVERSION_ROW.names and result.appended.count() == 3
+    assert result.rejects.count() == 1
+
+
+def test_a_stopped_run_resumes_with_the_written_waves(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def stops(prompt, **_):
+        with open(calls, "a") as file:
+            file.write(prompt[-12:-11])
+        return "ok"
+
+    log = ConversionLog(spark, staging_path(spark))
+    frame = packages(spark, **{f"f{n}": NESTED for n in range(20)})
+    convert_packages(frame, stops, log, partitions=4, waves=4, run="day", **RUN)
+    first = len(open(calls).read())
+    for name in ("wave2", "done", "try0"):  # as if it had stopped in the third wave
+        unstage(spark, log.part("day", name))
+    convert_packages(frame, stops, log, partitions=4, waves=4, run="day", **RUN)
+    assert first == 60 and 60 < len(open(calls).read()) < 100
+
+
+def test_unnamed_copies_are_released(spark):
+    before = set(staged_names(spark, ""))
+    allocate_ids(spark.range(10), "id", id_column="n").count()
+    ConversionLog(spark, staging_path(spark)).append(rows_of(spark, "a"), ["ssis_file_name"])
+    release_staged(spark)
+    after = set(staged_names(spark, "")) - before
+    assert len(after) <= 1  # the log itself
 
 
 def test_a_row_without_a_required_column_fails_the_append(spark):
@@ -178,16 +295,18 @@ def test_convert_packages(spark):
     assert [r.ssis_file_name for r in result.rejects.collect()] == ["bad"]
     assert result.appended.count() == 3
     log.release(result.run)
-    assert not is_staged(spark, f"{result.run}-rows") and log.read().count() == 3
+    assert staged_names(spark, log.part(result.run, "")) == [] and log.read().count() == 3
 
 
 def test_a_repeated_run_makes_no_second_call(spark, tmp_path):
     calls = str(tmp_path / "calls")
 
-    def counting(prompts):
+    def counting(prompt, **_):
         with open(calls, "a") as file:
-            file.write("x" * len(prompts))
-        return [ValueError("no") if 'a="2" />tail' == prompt[-12:] else "ok" for prompt in prompts]
+            file.write("x")
+        if 'a="2" />tail' == prompt[-12:]:
+            raise ValueError("no")
+        return "ok"
 
     log = ConversionLog(spark, staging_path(spark))
     run = staging_path(spark).rsplit("/", 1)[1]

@@ -3,9 +3,16 @@
 from itertools import count
 
 import pytest
-from pyspark.sql import functions as F
-
-from colweave import apply_mapping, compile_mapping_arrays, compile_source_query, mapping_rejects
+from pyspark.sql import functions as F, types as T
+
+from colweave import (
+    apply_mapping,
+    compile_mapping_arrays,
+    compile_source_query,
+    mapping_of_csv,
+    mapping_rejects,
+    read_mapping_csv,
+)
 from colweave.functions.text import quote_identifier
 from colweave.operators.columns import ordered_text, single_source_table
 from colweave.operators.items import entry_items, last_item_wins
@@ -34,7 +41,8 @@ def mapping(spark, *rows):
         "transform_func_data_type": "String",
     }
     full = [{**defaults, "custom_column_mapping_id": next(ids), **row} for row in rows]
-    return spark.createDataFrame([tuple(row[name] for name in MAPPING.names) for row in full], MAPPING)
+    nullable = T.StructType([T.StructField(field.name, field.dataType) for field in MAPPING.fields])
+    return spark.createDataFrame([tuple(row[name] for name in MAPPING.names) for row in full], nullable)
 
 
 def config(spark, *rows):
@@ -152,7 +160,7 @@ def test_no_single_table_means_no_query(spark):
     assert queries == {2: None, 3: None, 4: None}
     rejects = mapping_rejects(frame, tables).collect()
     reasons = {(r.config_id, r.custom_column_mapping_id): r.reason for r in rejects}
-    assert reasons == {(2, None): "many_source_tables", (3, None): "no_config", (4, None): "no_config"}
+    assert reasons == {(2, None): "many_source_tables", (3, None): "no_config", (4, None): "null_table_name"}
 
 
 def test_the_mapping_can_name_the_table(spark):
@@ -184,13 +192,65 @@ def test_single_source_table_reports_several(spark):
     assert found == {1: (2, None), 2: (1, "db.s.t")}
 
 
-def test_ordered_text_is_the_same_in_one_step_and_two(spark):
+def test_ordered_text(spark):
     frame = spark.range(5000).selectExpr("id % 3 as g", "5000 - id as n", "cast(id as string) as item")
-    one = ordered_text(frame, "g", ("n",), F.col("item"), "';", "text", chunk=None)
-    two = ordered_text(frame, "g", ("n",), F.col("item"), "';", "text", chunk=100)
-    as_dict = lambda df: {row.g: row.text for row in df.collect()}
-    assert as_dict(one) == as_dict(two)
-    assert as_dict(one)[0] == "';".join(str(n) for n in range(4998, -1, -3))
+    text = {r.g: r.text for r in ordered_text(frame, "g", ("n",), F.col("item"), "';", "text").collect()}
+    assert text[0] == "';".join(str(n) for n in range(4998, -1, -3)) and len(text) == 3
+
+
+def test_null_names_are_rejected_and_left_out(spark):
+    frame = mapping(
+        spark,
+        {"source_column_name": "B"},
+        {"source_column_name": None},
+        {"target_column_name": None, "source_column_name": "C"},
+        {"config_id": 2, "source_column_name": None},
+        {"config_id": 3, "source_schema_name": None},
+    )
+    records = {r.config_id: r for r in compile_mapping_arrays(frame, return_length=0).collect()}
+    assert records[1].source_query == "select `B`, `C` from db.s.t WHERE AUDIT_ACTIVE_ROW_IND='Y'"
+    assert records[2].source_query is None and records[3].source_query is None
+    assert "" not in records[1].skeys.split(";")
+    found = sorted((r.config_id, r.reason) for r in mapping_rejects(frame).collect())
+    assert found == [
+        (1, "null_source_column"), (1, "null_target_column"), (2, "null_source_column"), (3, "null_table_name")
+    ]
+
+
+def test_apply_is_what_the_compiled_texts_say(spark):
+    source = spark.createDataFrame([("x", 5, "Y"), ("y", 6, "N")], ["A", "D", "AUDIT_ACTIVE_ROW_IND"])
+    frame = mapping(
+        spark,
+        {"source_column_name": "A", "target_column_name": "up", "transformation_function_def": "upper(i0)"},
+        # the source has this derived column; the compiled query makes it a null string all the same
+        {"source_column_name": "D", "derived_ind": 1, "target_column_name": "filled",
+         "transformation_function_def": "coalesce(i0, 'none')"},
+    )
+    record = compile_mapping_arrays(frame, return_length=0).first()
+    source.createOrReplaceTempView("t_of_texts")
+    selected = spark.sql(record.source_query.replace("db.s.t", "t_of_texts"))
+    pairs = zip(record.skeys.split(";"), record.svals.split(";"))
+    by_text = selected.select("*", *[F.expr(value).alias(key) for key, value in pairs])
+    applied = apply_mapping(frame, source, 1)
+    assert by_text.select(*applied.columns).collect() == applied.collect()
+    assert applied.columns == ["A", "D", "up", "filled"] and applied.first().filled == "none"
+
+
+def test_apply_refuses_a_name_that_padding_takes(spark):
+    source = spark.createDataFrame([("x", "Y")], ["A", "AUDIT_ACTIVE_ROW_IND"])
+    frame = mapping(spark, {"target_column_name": "_s2", "transformation_function_def": "upper(i0)"})
+    assert apply_mapping(frame, source, 1).first()["_s2"] is not None
+    with pytest.raises(ValueError, match="padding"):
+        apply_mapping(frame, source, 1, return_length=2)
+
+
+def test_compile_from_the_csv_form(spark, tmp_path):
+    head = "config_id,source_column_name,f_definition,f_parameter_text,transform_data_type\n"
+    (tmp_path / "m.csv").write_text(head + "1,A,\"f(i0,i1)\",p,String\n1,B,g(i0),,Date\n")
+    rows = mapping_of_csv(read_mapping_csv(spark, f"{tmp_path}/m.csv"))
+    record = compile_mapping_arrays(rows, return_length=0, key="source").first()
+    assert (record.skeys, record.svals, record.dkeys, record.dvals) == ("A", "f(A,p)", "B", "g(B)")
+    assert record.source_query is None
 
 
 def test_lists_are_whole_and_keys_match_values(spark, sf_dir):
@@ -254,7 +314,7 @@ def test_apply_mapping(spark):
          "transformation_function_def": "coalesce(i0, 'i1')", "transformation_parameter_text": "none"},
     ]
     applied = apply_mapping(mapping(spark, *rows), source, 1, strict=False, return_length=2)
-    assert applied.columns == ["BR#", "_b1", "_b2", "_d1", "_d2", "_dt1", "_dt2", "n", "_n2", "BR", "G"]
+    assert applied.columns == ["BR#", "gone", "_b1", "_b2", "_d1", "_d2", "_dt1", "_dt2", "n", "_n2", "BR", "G"]
     found = sorted((r["BR#"], r.BR, r.n, r.G, r._b1) for r in applied.collect())
     assert [(a, b, None if n is None else int(n), g, p) for a, b, n, g, p in found] == [
         ("x", "X", 12, "none", None), ("y", "Y", None, "none", None)

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from colweave import apply_mapping, compile_mapping_arrays
-from colweave.operators.columns import attach_source_table
+from colweave import apply_mapping, compile_mapping_arrays, mapping_rejects
+from colweave.operators.columns import attach_source_table, ordered_text
 from workload import inputs
 
 
@@ -76,12 +76,33 @@ def test_a_hot_configuration_compiles_like_any_other(spark, sf_dir):
     assert len(record.nkeys.split(";")) == len(set(record.nkeys.split(";"))) > 250
 
 
-def test_the_config_side_is_broadcast_up_to_a_bound_only(spark, sf_dir):
+def test_the_config_join_has_one_plan(spark, sf_dir):
+    plan = plan_of(attach_source_table(inputs.mapping(spark, sf_dir), inputs.config(spark, sf_dir)))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_compile_from_the_mapping_alone_is_one_scan_and_two_exchanges(spark, sf_dir):
+    plan = plan_of(compile_mapping_arrays(inputs.mapping(spark, sf_dir)))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2 and "Python" not in plan
+
+
+def test_rejects_scan_the_mapping_once(spark, sf_dir):
     frame, tables = inputs.mapping(spark, sf_dir), inputs.config(spark, sf_dir)
-    active = tables.filter("active_ind = 1").count()
-    assert "BroadcastHashJoin" in plan_of(attach_source_table(frame, tables, broadcast_rows=active))
-    beyond = plan_of(attach_source_table(frame, tables, broadcast_rows=active - 1))
-    assert "SortMergeJoin" in beyond and "Broadcast" not in beyond
+    alone, joined = plan_of(mapping_rejects(frame)), plan_of(mapping_rejects(frame, tables))
+    assert alone.count("FileScan") == 1 and alone.count("Exchange") == 1
+    assert joined.count("FileScan") == 2 and "Broadcast" not in joined
+
+
+def test_the_text_of_a_hot_group_is_made_in_many_tasks(spark, settings):
+    settings(spark_sql_adaptive_coalescePartitions_enabled="false")
+    frame = spark.range(40_000).selectExpr("0 as g", "id as n", "cast(id as string) as item").repartition(8)
+    text = ordered_text(frame, "g", ("n",), F.col("item"), ",", "text")
+    assert text.first().text == ",".join(map(str, range(40_000)))
+    # the text of the group was put together from that of several partitions
+    plan = plan_of(text, final=True)
+    assert plan.count("ObjectHashAggregate") + plan.count("SortAggregate") >= 2
+    laid = frame.repartitionByRange("g", "n", "item").groupBy(F.spark_partition_id()).count()
+    assert laid.count() > 3
 
 
 def test_a_hot_configuration_is_split_in_the_join(spark, sf_dir, settings):
@@ -93,11 +114,11 @@ def test_a_hot_configuration_is_split_in_the_join(spark, sf_dir, settings):
     )
     # a partition is split along the tasks that wrote it, so there must be several
     frame, tables = hot(spark, sf_dir).repartition(8), inputs.config(spark, sf_dir)
-    one_salt = attach_source_table(frame, tables, broadcast_rows=0, salts=1)
+    one_salt = attach_source_table(frame, tables, salts=1)
     assert "skew=true" in plan_of(one_salt, final=True)
     key = ["config_id", "custom_column_mapping_id", "source_table", "table_reject"]
-    salted = attach_source_table(frame, tables, broadcast_rows=0).select(*key)
+    salted = attach_source_table(frame, tables).select(*key)
     tasks = salted.filter("config_id = 7").groupBy(F.spark_partition_id()).count().count()
     assert tasks > 3
-    small = attach_source_table(frame, tables).select(*key)
-    assert salted.exceptAll(small).count() == 0 and small.exceptAll(salted).count() == 0
+    alone = one_salt.select(*key)
+    assert salted.exceptAll(alone).count() == 0 and alone.exceptAll(salted).count() == 0

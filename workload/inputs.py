@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colweave.operators.columns import ordered_text
 from colweave.operators.enrich import conversion_rows
+from colweave.plans.convert import Conversion, convert_packages
 from colweave.schemas import MAPPING
 from colweave.sources.log import ConversionLog
+from colweave.sources.packages import read_packages
 from colweave.sources.staging import staging_path
 
 NAMESPACE = "www.microsoft.com/SqlServer/Dts"
@@ -63,11 +67,13 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packages(spark: SparkSession, sf_dir: str, key: str = "l_orderkey") -> DataFrame:
+def packages(
+    spark: SparkSession, sf_dir: str, key: str = "l_orderkey", cut: bool = False
+) -> DataFrame:
     """One XML document per order or supplier, two nested components per line of it.
 
-    The text of every 97th document is cut off, so it is no XML. A document is one value, as it is
-    one file in a folder of packages.
+    With ``cut`` the text of every 97th document is cut off, so it is no XML. A document is one
+    value, as it is one file in a folder of packages.
     """
     lines = table(spark, sf_dir, "lineitem").withColumn(
         "element",
@@ -77,31 +83,58 @@ def packages(spark: SparkSession, sf_dir: str, key: str = "l_orderkey") -> DataF
         ),
     )
     order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    whole = ordered_text(lines, key, order, F.col("element"), "", "body", chunk=None)
+    whole = ordered_text(lines, key, order, F.col("element"), "", "body")
     document = whole.select(
         key,
         F.concat(
             F.lit(f'<D:Executable xmlns:D="{NAMESPACE}">'), F.col("body"), F.lit("</D:Executable>")
         ).alias("document"),
     )
+    short = F.expr("substring(document, 1, length(document) - 5)")
+    content = F.when(F.col(key) % 97 == 0, short).otherwise(F.col("document")) if cut else F.col("document")
     return document.select(
         F.lit("packages").alias("ssis_file_path"),
         F.concat(F.lit("pkg_"), F.col(key)).alias("ssis_file_name"),
-        F.when(F.col(key) % 97 == 0, F.expr("substring(document, 1, length(document) - 5)"))
-        .otherwise(F.col("document"))
-        .alias("content"),
+        content.alias("content"),
     )
 
 
-def package_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The packages by supplier as files, one in a folder of its name each; gives the root."""
+FOLDER = "batch 1+"
+
+
+def package_folder(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
+    """The packages by supplier as files, in a folder and under names with signs; gives its parent."""
     root = staging_path(spark)
-    packages(spark, sf_dir, "l_suppkey").select("ssis_file_name", "content").write.partitionBy(
-        "ssis_file_name"
-    ).text(root)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(root)
+        system.create_dir(f"{path}/{FOLDER}", recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["ssis_file_name"], batch["content"]):
+                with system.open_output_stream(f"{path}/{FOLDER}/{name} 50%.dtsx") as file:
+                    file.write(content.encode())
+            yield batch[["ssis_file_name"]]
+
+    rows = packages(spark, sf_dir, "l_suppkey", cut).select("ssis_file_name", "content")
+    rows.mapInPandas(write, "ssis_file_name string").count()
     return root
 
 
+def converted(spark: SparkSession, sf_dir: str, log: ConversionLog | None, cut: bool = False) -> Conversion:
+    """The packages by supplier, converted by ``digest``."""
+    return convert_packages(
+        read_packages(spark, package_folder(spark, sf_dir, cut)),
+        digest,
+        log,
+        api_provider="local",
+        model_name="digest",
+        prompt_prefix="Digest this",
+        system_prompt="You digest.",
+        partitions=spark.sparkContext.defaultParallelism,
+        waves=2,
+    )
+
+
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows from ``documents``, with ``doc_id`` to order and split them by."""
     response = F.expr("concat(length(text), ':', md5(text))")
@@ -132,14 +165,48 @@ def two_batches(spark: SparkSession, sf_dir: str) -> tuple[ConversionLog, int]:
     return log, mark
 
 
-def digest(prompts: Sequence[str]) -> list[str | Exception]:
+def retried(spark: SparkSession, sf_dir: str) -> ConversionLog:
+    """A log whose first run wrote every third of its rows and broke off, before another run appended
+    and the first was taken up again."""
+    log = ConversionLog(spark, staging_path(spark))
+    rows = log_rows(spark, sf_dir)
+    even, odd = rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1")
+    broken = BreaksOff(spark, log.location)
+    try:
+        broken.append(even, LOG_ORDER, run="even")
+    except ConnectionError:
+        pass
+    log.append(odd, LOG_ORDER, run="odd")
+    log.append(even, LOG_ORDER, run="even")
+    return log
+
+
+class BreaksOff(ConversionLog):
+    """A log whose write breaks off in the middle."""
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        super()._write(rows.filter("id % 3 = 0"))
+        raise ConnectionError
+
+
+def digest(prompt: str, system_prompt: str | None = None, model_name: str | None = None) -> str:
     """The local stand-in for an external call: length and digest, and now and then a failure."""
-    return [
-        ValueError("length ends in 7")
-        if len(prompt) % 10 == 7
-        else f"{len(prompt)}:{hashlib.md5(prompt.encode()).hexdigest()}"
-        for prompt in prompts
-    ]
+    if len(prompt) % 10 == 7:
+        raise ValueError("length ends in 7")
+    return f"{len(prompt)}:{hashlib.md5(prompt.encode()).hexdigest()}"
+
+
+def faulty_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping with NULLs in the columns that a compile needs."""
+    lost = {
+        "source_column_name": "custom_column_mapping_id % 19 = 0",
+        "target_column_name": "custom_column_mapping_id % 23 = 0",
+        "transformation_function_def": "custom_column_mapping_id % 7 = 0",
+        "source_schema_name": "config_id % 41 = 0",
+    }
+    return mapping(spark, sf_dir).withColumns(
+        {name: F.expr(f"if({rule}, null, {name})") for name, rule in lost.items()}
+    )
 
 
 # Literal mapping rows of one configuration over the columns of ``source``: source column, target,

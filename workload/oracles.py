@@ -132,6 +132,14 @@ bare as (
 lists as (select config_id, {", ".join(padded)} from bare)"""
 
 
+MAPPING_TABLES = """
+tables as (
+  select config_id,
+    min(source_database_name || '.' || source_schema_name || '.' || source_table_name) as source_table,
+    count(distinct source_database_name || '.' || source_schema_name || '.' || source_table_name) as n
+  from active group by config_id
+)"""
+
 SOURCE_QUERY = """
 names as (
   select config_id, source_column_name as name, bool_or(is_raw) as raw, bool_or(is_derived) as derived
@@ -155,7 +163,9 @@ source_queries as (
 _RECORD = ", ".join(f"{prefix}{part}" for _, prefix, _ in _KINDS for part in ("keys", "vals"))
 
 
-def _packages(key: str) -> str:
+def _packages(key: str, cut: bool = False, name: str = "'pkg_' || package") -> str:
+    content = "case when package % 97 = 0 then document[:-6] else document end" if cut else "document"
+    whole = "package % 97 <> 0" if cut else "true"
     return f"""
 lines as (
   select {key} as package, l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -170,19 +180,28 @@ whole as (
   from lines group by package
 ),
 packages as (
-  select 'pkg_' || package as ssis_file_name,
-    case when package % 97 = 0 then document[:-6] else document end as content
+  select {name} as ssis_file_name, {content} as content
   from whole
 ),
 components as (
-  select 'pkg_' || package as ssis_file_name, 2 * line - 1 as component_index,
+  select {name} as ssis_file_name, 2 * line - 1 as component_index,
     '<ns0:Executable xmlns:ns0="{NAMESPACE}" n="' || l_linenumber || '" p="' || l_partkey
     || '"><ns0:Executable s="' || l_suppkey || '" /></ns0:Executable>' as ssis_component
-  from lines where package % 97 <> 0
+  from lines where {whole}
   union all
-  select 'pkg_' || package, 2 * line,
+  select {name}, 2 * line,
     '<ns0:Executable xmlns:ns0="{NAMESPACE}" s="' || l_suppkey || '" />'
-  from lines where package % 97 <> 0
+  from lines where {whole}
+)"""
+
+
+_FILE = "'pkg_' || package || ' 50%.dtsx'"
+_CUT_ERROR = "'unclosed token: line 1, column ' || length(document) - 15"
+PROMPTS = """
+prompts as (
+  select *, 'Digest this:' || ssis_component as prompt,
+    row_number() over (order by ssis_file_name, component_index) as id
+  from components
 )"""
 
 
@@ -240,7 +259,8 @@ ORACLES = {
         " from active where transformation_function_id is not null",
     ),
     "read_packages": _select(
-        _packages("l_suppkey"), "select ssis_file_name, content || chr(10) as content from packages"
+        _packages("l_suppkey", True, _FILE),
+        "select 'root/batch 1+' as ssis_file_path, ssis_file_name, content from packages",
     ),
     "append_conversion_log": _select(LOG_ROWS, "select * exclude (batch) from log"),
     "log_violations": """
@@ -298,6 +318,8 @@ from lineitem""",
         + " ".join(f"when '{kind}' then '{text}'" for kind, _, text in _KINDS)
         + " end as null_text, "
         + ", ".join(f"null::varchar as null_{prefix}" for _, prefix, _ in _KINDS)
+        + ", 'boolean' as type_b, 'date' as type_d, 'timestamp' as type_dt, 'decimal(38,18)' as type_n,"
+        " 'string' as type_s"
         + " from active",
     ),
     "render_prompts": "select doc_id, 'Digest this:' || text as prompt, 'You digest.' as system_prompt"
@@ -372,9 +394,7 @@ names as (
     "explode_components": _select(_packages("l_orderkey"), "select * from components"),
     "component_rejects": _select(
         _packages("l_orderkey"),
-        "select 'pkg_' || package as ssis_file_name,"
-        " 'unclosed token: line 1, column ' || length(document) - 15 as error"
-        " from whole where package % 97 = 0",
+        f"select 'pkg_' || package as ssis_file_name, {_CUT_ERROR} as error from whole where package % 97 = 0",
     ),
     "enrich_rows": "select conv_id, turn,"
     f" case when length(prompt) % 10 <> 7 then {_DIGEST} end as response,"
@@ -412,18 +432,104 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quanti
   (l_extendedprice::decimal(18, 4) * 2)::decimal(18, 2)::double as net_price,
   trunc(l_quantity)::bigint as whole_quantity,
   l_returnflag || '/' || l_linestatus as flags,
-  'none' as filled
+  null::varchar as "NOT_THERE", 'none' as filled
 from lineitem where l_linestatus = 'O'""",
     "convert_packages": _select(
-        _packages("l_suppkey")
-        + """,
-prompts as (
-  select *, 'Digest this:' || ssis_component as prompt,
-    row_number() over (order by ssis_file_name, component_index) as id
-  from components
-)""",
+        _packages("l_suppkey", False, _FILE) + "," + PROMPTS,
         "select id, 'local' as api_provider, 'digest' as model_name, ssis_file_name,"
         " 'You digest.' as system_prompt, 'Digest this' as prompt_prefix, ssis_component,"
         f" case when length(prompt) % 10 <> 7 then {_DIGEST} end as llm_response from prompts",
     ),
+    "convert_without_log": _select(
+        _packages("l_suppkey", False, _FILE) + "," + PROMPTS,
+        "select 'local' as api_provider, 'digest' as model_name, ssis_file_name,"
+        " 'You digest.' as system_prompt, 'Digest this' as prompt_prefix, ssis_component,"
+        f" case when length(prompt) % 10 <> 7 then {_DIGEST} end as llm_response from prompts",
+    ),
+    "convert_failures": _select(
+        _packages("l_suppkey", False, _FILE) + "," + PROMPTS,
+        "select ssis_file_name, component_index, 'ValueError: length ends in 7' as error"
+        " from prompts where length(prompt) % 10 = 7",
+    ),
+    "convert_rejects": _select(
+        _packages("l_suppkey", True, _FILE),
+        f"select {_FILE} as ssis_file_name, {_CUT_ERROR} as error from whole where package % 97 = 0",
+    ),
+    "retry_conversion_log": _select(
+        LOG_ROWS
+        + """,
+placed as (
+  select *, row_number() over (partition by batch order by ssis_file_name, doc_id) as n from (
+    select *, doc_id % 2 as batch from log_rows)
+),
+first_ids as (select max(n) // 3 * 3 as last, count(*) filter (where batch = 1) as odd from placed where batch = 0),
+odd_count as (select count(*) as odd from placed where batch = 1),
+numbered as (
+  select case
+      when batch = 0 and n % 3 = 0 then n
+      when batch = 1 then last + n
+      else last + odd_count.odd + n - n // 3
+    end as id, placed.* exclude (n, batch, doc_id)
+  from placed, first_ids, odd_count
+)""",
+        "select * from numbered",
+    ),
+    "compile_from_mapping": _select(
+        ENTRIES + "," + MAPPING_TABLES + "," + SOURCE_QUERY + "," + _lists(8, ";"),
+        f"select config_id, source_query, {_RECORD} from lists join source_queries using (config_id)",
+    ),
+    "mapping_rejects_from_mapping": _select(
+        ACTIVE + "," + MAPPING_TABLES,
+        """
+select config_id, custom_column_mapping_id, target_column_name,
+  case when kind not in ('Boolean', 'Date', 'Timestamp', 'Numeric', 'String') then 'unknown_type'
+    else 'null_parameters' end as reason
+from active
+where transformation_function_id is not null
+  and (kind not in ('Boolean', 'Date', 'Timestamp', 'Numeric', 'String')
+    or (transformation_parameter_text is null
+      and regexp_matches(transformation_function_def, '\\bi[1-9][0-9]*\\b')))
+union all
+select config_id, null, null, 'many_source_tables' from tables where n > 1""",
+    ),
+    "mapping_rejects_of_faults": _select(
+        ACTIVE
+        + """,
+faulty as (
+  select * replace (
+    case when custom_column_mapping_id % 19 <> 0 then source_column_name end as source_column_name,
+    case when custom_column_mapping_id % 23 <> 0 then target_column_name end as target_column_name,
+    case when custom_column_mapping_id % 7 <> 0 then transformation_function_def end
+      as transformation_function_def,
+    case when config_id % 41 <> 0 then source_schema_name end as source_schema_name)
+  from active
+),
+reasons as (
+  select *, case
+      when source_column_name is null then 'null_source_column'
+      when transformation_function_id is null then null
+      when target_column_name is null then 'null_target_column'
+      when kind not in ('Boolean', 'Date', 'Timestamp', 'Numeric', 'String') then 'unknown_type'
+      when transformation_function_def is null then 'null_definition'
+      when transformation_parameter_text is null
+        and regexp_matches(transformation_function_def, '\\bi[1-9][0-9]*\\b') then 'null_parameters'
+    end as reason
+  from faulty
+)""",
+        """
+select config_id, custom_column_mapping_id, target_column_name, reason from reasons where reason is not null
+union all
+select config_id, null, null, case when bool_or(source_schema_name is null) then 'null_table_name'
+  else 'many_source_tables' end
+from faulty group by config_id
+having bool_or(source_schema_name is null) or count(distinct source_table_name) > 1""",
+    ),
+    # the file holds empty text for NULL parameters, so no row is left out for them
+    "compile_from_csv": _select(
+        ACTIVE.replace("from mapping where active_ind = 1", "from (select * replace ("
+        "coalesce(transformation_parameter_text, '') as transformation_parameter_text) from mapping)"),
+        f"select config_id, kind as transform_data_type, source_column_name, {_bound(True)} as expression"
+        " from active where transformation_function_id is not null"
+        " and kind in ('Boolean', 'Date', 'Timestamp', 'Numeric', 'String')",
+    ),
 }

@@ -59,9 +59,9 @@ def read_mapping_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = cw.read_packages(spark, inputs.package_folder(spark, sf_dir))
-    name = F.regexp_extract("ssis_file_path", "ssis_file_name=([^/]+)/", 1)
-    return files.select(name.alias("ssis_file_name"), "content")
+    root = inputs.package_folder(spark, sf_dir, cut=True)
+    folder = F.replace("ssis_file_path", F.lit(root.removeprefix("file:").replace("//", "")), F.lit("root"))
+    return cw.read_packages(spark, root).withColumn("ssis_file_path", folder)
 
 
 @query
@@ -201,6 +201,7 @@ def typed_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "custom_column_mapping_id",
         types.null_text(kind).alias("null_text"),
         *[types.typed_null(k).cast("string").alias(f"null_{k.prefix}") for k in types.LOGICAL_TYPES],
+        *[F.typeof(types.typed_null(k)).alias(f"type_{k.prefix}") for k in types.LOGICAL_TYPES],
     )
 
 
@@ -237,7 +238,6 @@ def distinct_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ordered_column_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the ids of this mapping lead with the line number, one stretch of 10^17 each
     return columns.ordered_text(
         rows.raw_column_rows(active(spark, sf_dir)),
         "config_id",
@@ -245,7 +245,6 @@ def ordered_column_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.quote_identifier(F.col("source_column_name"), "bracket"),
         ", ",
         "column_list",
-        chunk=10**17,
     )
 
 
@@ -258,7 +257,6 @@ def joined_column_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source_column_name"),
         ",",
         "column_list",
-        chunk=10**17,
     )
 
 
@@ -334,7 +332,7 @@ def explode_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def component_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cw.component_rejects(inputs.packages(spark, sf_dir)).drop("ssis_file_path")
+    return cw.component_rejects(inputs.packages(spark, sf_dir, cut=True)).drop("ssis_file_path")
 
 
 @query
@@ -380,16 +378,53 @@ def apply_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def convert_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = cw.convert_packages(
-        cw.read_packages(spark, inputs.package_folder(spark, sf_dir)),
-        inputs.digest,
-        cw.ConversionLog(spark, staging_path(spark)),
-        api_provider="local",
-        model_name="digest",
-        prompt_prefix="Digest this",
-        system_prompt="You digest.",
-        partitions=spark.sparkContext.defaultParallelism,
-    )
-    name = F.regexp_extract("ssis_file_path", "ssis_file_name=([^/]+)/", 1)
-    return result.appended.withColumn("ssis_file_name", name).drop("ssis_file_path")
+    log = cw.ConversionLog(spark, staging_path(spark))
+    inputs.converted(spark, sf_dir, log)
+    return log.read().drop("ssis_file_path")
+
+
+@query
+def convert_without_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.converted(spark, sf_dir, None).appended.drop("ssis_file_path")
+
+
+@query
+def convert_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.converted(spark, sf_dir, None).failures.drop("ssis_file_path")
+
 
+@query
+def convert_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.converted(spark, sf_dir, None, cut=True).rejects.drop("ssis_file_path")
+
+
+@query
+def retry_conversion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.retried(spark, sf_dir).read()
+
+
+@query
+def compile_from_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cw.compile_mapping_arrays(inputs.mapping(spark, sf_dir))
+
+
+@query
+def mapping_rejects_from_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cw.mapping_rejects(inputs.mapping(spark, sf_dir))
+
+
+@query
+def mapping_rejects_of_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cw.mapping_rejects(inputs.faulty_mapping(spark, sf_dir))
+
+
+@query
+def compile_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    csv = read_mapping_csv(spark, sf_dir)
+    entries = items.bind_items(items.entry_items(cw.mapping_of_csv(csv), "source").withColumnRenamed("id", "pos"))
+    return entries.select(
+        "config_id",
+        F.col("slot").alias("transform_data_type"),
+        F.col("name").alias("source_column_name"),
+        F.col("text").alias("expression"),
+    )
