@@ -36,7 +36,7 @@ MAGIC = b"CWBITS01"
 TRAILER = "<6Q8s"
 BLOCK_IDS = 65_536
 #: Entries that a task keeps of the pieces it has encoded; the rest is encoded anew.
-PIECE_CACHE = 300_000
+PIECE_CACHE = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -75,7 +75,10 @@ class Pieces(dict):
         self.tokenize = model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        byte_form = piece.encode().decode("latin-1").translate(self.shown)
+        if piece.isascii() and piece.isprintable():  # the space alone is shown otherwise
+            byte_form = piece.replace(" ", self.shown[32])
+        else:
+            byte_form = piece.encode().decode("latin-1").translate(self.shown)
         encoded = array("I", [token.id for token in self.tokenize(byte_form)]).tobytes()
         self[piece] = encoded
         return encoded
@@ -147,6 +150,19 @@ class PieceEncoder:
         return encoded
 
 
+def worker_encoder(tokenizer_file: str) -> PieceEncoder:
+    """The encoder of this process, whose pieces outlive a task.
+
+    It hangs on the library's module: this one may be sent with each task anew.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_piece_encoders", {})
+    if tokenizer_file not in kept:
+        kept[tokenizer_file] = PieceEncoder(tokenizer_file)
+    return kept[tokenizer_file]
+
+
 def _write_file(target: str, documents: Iterator[tuple[int | None, bytes]], bits: int) -> tuple[int, int]:
     """Write one file under another name and move it into place, so that a repeated task is safe."""
     system, path = file_system(target)
@@ -261,7 +277,7 @@ def write_token_files(
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file)
         part = TaskContext.get().partitionId()
         target = f"{folder}/part-{part:06d}.bits"
 
