@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyarrow import fs
@@ -15,7 +16,7 @@ from colweave.plans.convert import Conversion, convert_packages
 from colweave.schemas import MAPPING
 from colweave.sources.log import ConversionLog
 from colweave.sources.packages import read_packages
-from colweave.sources.staging import staging_path
+from colweave.sources.staging import stage, staging_path
 
 NAMESPACE = "www.microsoft.com/SqlServer/Dts"
 
@@ -67,13 +68,14 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def packages(
     spark: SparkSession, sf_dir: str, key: str = "l_orderkey", cut: bool = False
 ) -> DataFrame:
     """One XML document per order or supplier, two nested components per line of it.
 
     With ``cut`` the text of every 97th document is cut off, so it is no XML. A document is one
-    value, as it is one file in a folder of packages.
+    value, as it is one file in a folder of packages. Made once in a session.
     """
     lines = table(spark, sf_dir, "lineitem").withColumn(
         "element",
@@ -92,18 +94,23 @@ def packages(
     )
     short = F.expr("substring(document, 1, length(document) - 5)")
     content = F.when(F.col(key) % 97 == 0, short).otherwise(F.col("document")) if cut else F.col("document")
-    return document.select(
+    made = document.select(
         F.lit("packages").alias("ssis_file_path"),
         F.concat(F.lit("pkg_"), F.col(key)).alias("ssis_file_name"),
         content.alias("content"),
     )
+    return stage(made)
 
 
 FOLDER = "batch 1+"
 
 
+@cache
 def package_folder(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
-    """The packages by supplier as files, in a folder and under names with signs; gives its parent."""
+    """The packages by supplier as files, in a folder and under names with signs; gives its parent.
+
+    Made once in a session.
+    """
     root = staging_path(spark)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
