@@ -114,6 +114,7 @@ def conversion_rows(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """The eight columns of a log row in their order, the constants of the run put in."""
+    # fixed values: the column names of the log
     as_column = lambda value: F.col(value) if isinstance(value, str) else value
     return rows.select(
         F.lit(api_provider).alias("api_provider"),

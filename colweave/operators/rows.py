@@ -8,6 +8,7 @@ from ..functions.binding import has_parameters
 from ..functions.text import null_cast_item, qualified_table_name, quote_identifier
 from ..functions.types import is_known_type, normalize_type
 
+# The audit column of current rows, and in the queries the value it has there.
 ACTIVE_ROW_COLUMN = "AUDIT_ACTIVE_ROW_IND"
 
 

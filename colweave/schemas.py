@@ -11,6 +11,7 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
 
 _STR, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
 
+# The column names of the tables that are read and written.
 MAPPING = _struct(
     ("config_id", _LONG, False),
     ("custom_column_mapping_id", _LONG, False),
