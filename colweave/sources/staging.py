@@ -56,6 +56,15 @@ def unstage(spark: SparkSession, name: str) -> None:
     files.delete(folder, True)
 
 
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder in the shared one for files of the caller's own; it goes with the application."""
+    path = f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+    files, folder = _file_system(spark, path)
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def staged_names(spark: SparkSession, prefix: str) -> list[str]:
     """The staged names that begin with ``prefix``."""
     files, folder = _file_system(spark, staging_root(spark))

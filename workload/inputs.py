@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,7 +17,7 @@ from colweave.plans.convert import Conversion, convert_packages
 from colweave.schemas import MAPPING
 from colweave.sources.log import ConversionLog
 from colweave.sources.packages import read_packages
-from colweave.sources.staging import stage, staging_path
+from colweave.sources.staging import scratch_folder, stage, staging_path
 
 NAMESPACE = "www.microsoft.com/SqlServer/Dts"
 
@@ -111,10 +112,10 @@ def package_folder(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
 
     Made once in a session.
     """
-    root = staging_path(spark)
+    root = scratch_folder(spark, "packages")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = fs.FileSystem.from_uri(root)
+        system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root))
         system.create_dir(f"{path}/{FOLDER}", recursive=True)
         for batch in batches:
             for name, content in zip(batch["ssis_file_name"], batch["content"]):
