@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.staging import shared_folder
+from ..sources.staging import scratch_folder
 from . import decontamination, exact_dedup, html_extraction, language_model, mixing, quality, secrets, simhash, token_files, toxicity
 
 
@@ -30,9 +30,7 @@ def tokenizer_file() -> str:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uuid import uuid4
-
-    folder = f"{shared_folder(spark)}/token-files-{uuid4().hex}"
+    folder = scratch_folder(spark, "token-files")  # only what is read back leaves this query
     files = token_files.write_token_files(documents(spark, sf_dir), folder, tokenizer_file())
     return token_files.read_token_files(files)
 
