@@ -35,8 +35,8 @@ from .text import whole_text
 MAGIC = b"CWBITS01"
 TRAILER = "<6Q8s"
 BLOCK_IDS = 65_536
-#: Entries that a task keeps of the pieces it has encoded; the rest is encoded anew.
-PIECE_CACHE = 600_000
+#: Entries of a generation of what a worker has encoded; it keeps the last two.
+PIECE_CACHE = 300_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -64,7 +64,27 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
-class Pieces(dict):
+class Kept(dict):
+    """Encoded texts in two generations, so that what is used again stays."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        encoded = self.before.get(text)
+        if encoded is None:
+            encoded = self.encoded(text)
+        self[text] = encoded
+        return encoded
+
+    def age(self) -> None:
+        if len(self) > PIECE_CACHE:
+            self.before = dict(self)
+            self.clear()
+
+
+class Pieces(Kept):
     """Ids of pieces, encoded when first asked for."""
 
     def __init__(self, model):
@@ -74,17 +94,15 @@ class Pieces(dict):
         self.shown = {byte: chr(256 + k) for k, byte in enumerate(rest)}  # byte-level alphabet
         self.tokenize = model.tokenize
 
-    def __missing__(self, piece: str) -> bytes:
+    def encoded(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():  # the space alone is shown otherwise
             byte_form = piece.replace(" ", self.shown[32])
         else:
             byte_form = piece.encode().decode("latin-1").translate(self.shown)
-        encoded = array("I", [token.id for token in self.tokenize(byte_form)]).tobytes()
-        self[piece] = encoded
-        return encoded
+        return array("I", [token.id for token in self.tokenize(byte_form)]).tobytes()
 
 
-class Chunks(dict):
+class Chunks(Kept):
     """Ids of what stands between two spaces, the space before it included."""
 
     def __init__(self, pieces: Pieces, find):
@@ -94,11 +112,10 @@ class Chunks(dict):
     def of(self, chunk: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
 
-    def __missing__(self, word: str) -> bytes:
+    def encoded(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise KeyError(word)
-        encoded = self[word] = self.of(" " + word)
-        return encoded
+        return self.of(" " + word)
 
 
 class PieceEncoder:
@@ -144,9 +161,8 @@ class PieceEncoder:
             encoded = self.chunks.of(first) + b"".join(map(self.chunks.__getitem__, words))
         except KeyError:  # white space next to white space: cut the text as a whole
             encoded = self.chunks.of(text)
-        for cache in (self.chunks, self.known):
-            if len(cache) > PIECE_CACHE:
-                cache.clear()
+        self.chunks.age()
+        self.known.age()
         return encoded
 
 
