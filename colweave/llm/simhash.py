@@ -187,9 +187,11 @@ def near_links(distinct: DataFrame, reach: int = RADIUS) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, by: str = "id") -> DataFrame:
     """Rows (fp, id): the smallest id of the group, for each fingerprint that has a link.
 
+    With ``by`` "key" rows (fp, label), the fingerprint of that id.
+
     ``nodes`` holds (fp, id). The least (id, fp) spreads over the links, and each round also takes
     over the label of the fingerprint that a label names, so long chains shorten by half. Each round
     is written to the shared folder.
@@ -210,7 +212,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         changed = jumped.join(old, "fp").where(F.col("label") != F.col("_old"))
         labels = jumped
         if changed.isEmpty():
-            return labels.select("fp", F.col("label.id").alias("id"))
+            return labels.select("fp", F.col("label.id").alias("id") if by == "id" else F.col("label.fp").alias("label"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
