@@ -91,7 +91,8 @@ def find_leaks(
     punctuation go. Windows of five template words meet in a hash join. A window counts where its
     slots agree: at one offset of item and document, a value of the item may stand for one value of
     the document only, so a question asked with other numbers is found, and a chance mixture of
-    values is not. An item is held where at least ``cover`` of its windows count. All windows of all
+    values is not. Windows that hold a value with two readings do not count, unless all their slots
+    are those of the item to the letter. An item is held where at least ``cover`` of its windows count. All windows of all
     documents are compared.
 
     Null texts are empty and hold nothing; an item without words is never found. Rows that share an
@@ -120,7 +121,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, co
         .distinct()
     )
     place = ["_id", "_form", "_item", "_offset"]
-    # offsets at which one value of the item stands for two of the document
+    # by offset, the values of the item that stand for two of the document
     pairs = hits.where("_slots != ''").select(
         *place, F.explode(F.arrays_zip(F.split("_slots", " ").alias("a"), F.split("_ours", " ").alias("b"))).alias("_pair")
     )
@@ -128,13 +129,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, co
         pairs.groupBy(*place, "_pair.a")
         .agg((F.min("_pair.b") != F.max("_pair.b")).alias("_torn"))
         .where("_torn")
-        .select(*(F.col(c).alias(f"{c}_") for c in place))
-        .distinct()
+        .groupBy(*place)
+        .agg(F.collect_set("a").alias("_values"))
+        .select(*(F.col(c).alias(f"{c}_") for c in place), "_values")
     )
     same = F.lit(True)
     for c in place:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    whole = hits.join(torn, same, "left_anti")
+    agrees = (F.col("_slots") == F.col("_ours")) | ~F.arrays_overlap(F.split("_slots", " "), "_values")
+    whole = hits.join(torn, same, "left").where(F.col("_values").isNull() | agrees)
     return (
         whole.select("_id", "_form", "_item", "_item_id", "_whole", "_at")
         .distinct()
