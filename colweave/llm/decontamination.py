@@ -25,16 +25,21 @@ UNITS = "mm cm m km mg g kg t ml l s min h kb mb gb kw w v % ° € $ £ percent
 def _marked(text: Column) -> Column:
     """Lower-case words without punctuation; a slot is one word: the mark, its type and its value."""
     name = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}[\p{L}'’-]*"  # a capital inside a sentence
-    named = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), name, f"{MARK}a$0")
+    spaced = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), rf"[\x09-\x0D]{SPACE}*|\x20{SPACE}+", " ")
+    named = F.regexp_replace(spaced, name, f"{MARK}a$0")
     number = rf"(?<!\p{{L}})[$€£]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|(?<={SPACE})(?:{'|'.join(NUMBER_WORDS.split())})(?={SPACE})"
-    numbered = F.regexp_replace(F.lower(named), number, f"{MARK}n$0")
+    folded = F.replace(F.replace(F.lower(named), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))  # as their capitals
+    numbered = F.regexp_replace(folded, number, f"{MARK}n$0")
     units = "|".join(sorted((rf"\Q{u}\E" for u in UNITS.split()), key=len, reverse=True))
     measured = F.regexp_replace(numbered, rf"({MARK}n{NO_SPACE}*?\p{{Nd}})\x20?({units})(?![\p{{L}}\p{{N}}])", f"$1 {MARK}u$2")
     return F.regexp_replace(measured, rf"[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D{MARK}%°€$£]+", "")
 
 
 def _windows(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """A row per window of ``_text``: ``keep``, position, hash of the template, slot values in order."""
+    """A row per window of ``_text``: ``keep``, position, hash of the template, slot values in order.
+
+    A window with slots has one more row, with the hash of its words and no slot values.
+    """
     tokens = rows.select(*keep, _marked(F.col("_text")).alias("_marked"))
     plain = F.regexp_replace("_marked", f"{MARK}(.){NO_SPACE}*", f"{MARK}$1")
     split = lambda c: F.filter(F.split(c, SPACE + "+", -1), lambda t: t != "")
@@ -42,18 +47,21 @@ def _windows(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
         F.contains("_marked", F.lit(MARK)),
         F.transform(split(F.col("_marked")), lambda t: F.when(t.startswith(MARK), t)),
     )
-    tokens = tokens.select(*keep, split(plain).alias("_plain"), slotted.alias("_slots"))
+    words = F.when(F.contains("_marked", F.lit(MARK)), split(F.regexp_replace("_marked", f"{MARK}.", "")))
+    tokens = tokens.select(*keep, split(plain).alias("_plain"), slotted.alias("_slots"), words.alias("_words"))
+
+    none = F.array().cast("array<int>")
+
+    def window(n: int, k: Column, of: str, slots: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), k.alias("at"), F.xxhash64(F.slice(of, k, n)).alias("hash"), slots.alias("slots"))
 
     def of(n: int) -> Column:
         starts = F.when(F.size("_plain") >= n, F.sequence(F.lit(1), F.size("_plain") - n + 1))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda k: F.struct(
-                F.lit(n).alias("n"),
-                k.alias("at"),
-                F.xxhash64(F.slice("_plain", k, n)).alias("hash"),
-                F.array_join(F.slice("_slots", k, n), " ").alias("slots"),
-            ),
+        slots = lambda k: F.array_join(F.slice("_slots", k, n), " ")
+        held = F.coalesce(F.when(F.col("_words").isNotNull(), F.filter(starts, lambda k: slots(k) != "")), none)
+        return F.concat(
+            F.transform(F.coalesce(starts, none), lambda k: window(n, k, "_plain", F.coalesce(slots(k), F.lit("")))),
+            F.transform(held, lambda k: window(n, k, "_words", F.lit(""))),
         )
 
     return tokens.select(*keep, F.explode(F.concat(*map(of, lengths)) if len(lengths) > 1 else of(lengths[0])).alias("w"))
@@ -87,9 +95,10 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, matched, whole, coverage.
 
-    Texts become templates: numbers, names and units turn into typed placeholders, case and
-    punctuation go. Windows of five template words meet in a hash join. A window counts where its
-    slots agree: at one offset of item and document, a value of the item may stand for one value of
+    Case, punctuation and the kind of white space go. Texts become templates, in which numbers, names
+    and units turn into typed placeholders. Windows of five words meet in a hash join, as templates
+    and as the words that they are. A window counts where its words are the same, which does not
+    depend on what is taken for a name, or where the templates are and the slots agree: at one offset of item and document, a value of the item may stand for one value of
     the document only, so a question asked with other numbers is found, and a chance mixture of
     values is not. Windows that hold a value with two readings do not count, unless all their slots
     are those of the item to the letter. An item is held where at least ``cover`` of its windows count. All windows of all

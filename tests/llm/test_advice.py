@@ -19,3 +19,22 @@ def test_one_edit_of_a_repeated_number_keeps_the_item(spark):
     edited = "15".join(item.rsplit("12", 1))
     found = leaks(spark, [(1, f"start here {edited} and on"), (2, " ".join(words[::-1]))], [(7, item)])
     assert set(found) == {(1, 7)} and found[1, 7] == 53 / 58
+
+
+def test_verbatim_copies_in_another_form(spark, sf_dir):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(40).collect()]
+    items.append((-1, "In the spring of 1962 Anna Weber and Boris Lange met near Lake Constance. They walked to Bregenz with Clara Fink, "
+                      "who bought three maps for $20 from Otto Braun. Later Anna drove 15 km to Lindau."))
+    forms = {
+        "lower": str.lower,
+        "upper": str.upper,
+        "wrapped": lambda t: "\n ".join(t.split()),
+        "bare": lambda t: "".join(c for c in t if c.isalnum() or c.isspace() or c in "%°€$£"),
+    }
+    docs, of = [], {}
+    for k, (item, text) in enumerate(items):
+        for n, form in enumerate(forms):
+            docs.append((k * 10 + n, "something before it " + forms[form](text) + " and something after it"))
+            of[k * 10 + n] = (item, form)
+    found = leaks(spark, docs, items)
+    assert [of[i] for i in of if (i, of[i][0]) not in found] == []
