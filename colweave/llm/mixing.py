@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +16,10 @@ from ..sources.staging import stage
 from .text import whole_text
 
 BLOCK_CHARS = 65_536
-#: Slots of a period: weights are kept as whole parts of it.
+#: Slots of a period of rounded weights; ``mix`` takes the weights as they are.
 QUANTA = 1_000
+#: Blocks of a source whose slots go to the tasks as one row.
+CHUNK = 4_096
 #: Rows of a source that share a stretch of its order, about.
 STRETCH_ROWS = 4_096
 #: Weights where none are given: shares of the characters to this power.
@@ -31,27 +37,46 @@ def whole_parts(weights: Mapping[str, float], quanta: int = QUANTA) -> dict[str,
     return parts
 
 
-def period(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period, earliest deadline first among released blocks.
+def schedule(shares: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, array]:
+    """The slots of each source, earliest deadline first among released blocks.
 
-    Of q parts in a period of Q slots, block j (from 0) is released at floor(j Q / q) and due by
-    ceil((j + 1) Q / q). All parts together fill the period, so every deadline is met and each
-    source stays within one block of its share at any slot.
+    Of a share w (its part of all), block j (from 0) is released at floor(j / w) and due by
+    ceil((j + 1) / w), in whole numbers throughout. The shares fill all slots, so every deadline is
+    met and each source stays within one block of its share at any slot. It ends where a source has
+    had all of its ``blocks``; without them, after one period.
     """
-    length = sum(parts.values())
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(length):
-        due = [
-            (-(-(len(slots[s]) + 1) * length // q), str(s), s)
-            for s, q in parts.items()
-            if len(slots[s]) < q and len(slots[s]) * length // q <= t
-        ]
-        slots[min(due)[2]].append(t)
+    total = sum(shares.values())
+    names = sorted(shares, key=str)
+    slots = {s: array("q") for s in names}
+    waiting: list[tuple[int, int]] = [(0, k) for k in range(len(names))]
+    ready: list[tuple[int, int]] = []
+    for t in itertools.count() if blocks else range(total):
+        while waiting and waiting[0][0] <= t:
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(slots[names[k]]) + 1) * total // shares[names[k]]), k))
+        _, k = heapq.heappop(ready)
+        own = slots[names[k]]
+        own.append(t)
+        if blocks and len(own) == blocks[names[k]]:
+            break
+        heapq.heappush(waiting, (len(own) * total // shares[names[k]], k))
     return slots
 
 
-def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[tuple]:
-    """Rows (source, first block, end block, first slot, period, parts, slots).
+def period(parts: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of each source in one period, of as many slots as there are parts."""
+    return {s: list(slots) for s, slots in schedule(parts).items()}
+
+
+def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple]:
+    """Rows (source, first block, end block, first slot, slots of the phase, blocks, slots).
 
     A phase lasts until a source has no block left; the next one shares the slots among the rest in
     the same proportions. There are at most as many phases as sources.
@@ -59,20 +84,27 @@ def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[tuple]:
     left = {s: n for s, n in blocks.items() if n > 0}
     used, start, rows = dict.fromkeys(left, 0), 0, []
     while left:
-        own = {s: parts[s] for s in left}
-        length, slots = sum(own.values()), period(own)
-        end = 1 + min((n - 1) // own[s] * length + slots[s][(n - 1) % own[s]] for s, n in left.items())
-        for s in list(left):
-            taken = end // length * own[s] + sum(t < end % length for t in slots[s])
-            rows.append((s, used[s], used[s] + taken, start, length, own[s], slots[s]))
-            used[s] += taken
-            left[s] -= taken
+        slots = schedule(exact_shares({s: weights[s] for s in left}), left)
+        end = sum(map(len, slots.values()))
+        for s, own in slots.items():
+            if own:
+                rows.append((s, used[s], used[s] + len(own), start, end, len(own), own))
+            used[s] += len(own)
+            left[s] -= len(own)
             if not left[s]:
                 del left[s]
         start += end
     return rows
 
 
+def slot_table(rows: list[tuple]) -> list[tuple]:
+    """Rows (source, n, slots) of the phases' rows: the slots of blocks n CHUNK to (n + 1) CHUNK."""
+    slots: dict[str, array] = {}
+    for s, _, _, start, _, _, own in rows:
+        slots.setdefault(s, array("q")).extend(start + t for t in own)
+    return [(s, k // CHUNK, own[k : k + CHUNK].tolist()) for s, own in slots.items() for k in range(0, len(own), CHUNK)]
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
@@ -86,14 +118,14 @@ def mix(
 
     Each source is put in a fixed shuffled order and cut into blocks of ``block`` characters; a
     document belongs to the block in which it starts, and a block inside a long document holds none.
-    Blocks get slots by ``period`` and ``phases``: while all sources last, each has had its weighted
-    share of any first slots to within less than one block; once one is used up, the rest share its
+    Blocks get slots by ``schedule`` and ``phases``, from the weights as they are: while all sources
+    last, each has had its weighted share of any first slots to within less than one block; once one is used up, the rest share its
     slots in proportion. All rows stay. ``place`` is the number of characters before the document in
     its block.
 
     ``weights`` gives positive target weights; a source without one gets the smallest of them, and
     None takes the shares of the characters to the power TEMPER. Sources are few: their names, sizes
-    and schedule, at most their number squared times a period of slots, are all that passes the driver.
+    and schedule, a number for each block, are all that passes the driver.
 
     A null source is a source of its own, a null text empty. Repeated rows and ids keep their rows;
     their order among each other is open. With ``keep`` the columns of ``docs`` come as a struct
@@ -114,7 +146,7 @@ def mix(
         weights = {s: n**TEMPER for s, (n, _) in sizes.items()}
     least = min(weights.values(), default=1.0)
     weights = {s: weights.get(s, least) for s in sizes}
-    schedule = phases({s: -(-n // block) for s, (n, _) in sizes.items()}, whole_parts(weights) if sizes else {})
+    table = slot_table(phases({s: -(-n // block) for s, (n, _) in sizes.items()}, weights))
 
     # characters before each document: by stretches of the order, then inside a stretch
     rows = rows.withColumn("_stretch", F.shiftrightunsigned("_key", 64 - bits))
@@ -137,15 +169,12 @@ def mix(
         F.floor(at / block).cast("long").alias("block"),
         (at % block).alias("place"),
     )
-    plan = docs.sparkSession.createDataFrame(
-        schedule, "_s string, _from long, _to long, _start long, _length long, _parts long, _slots array<int>"
-    )
-    due = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to"))
-    nth = F.col("block") - F.col("_from")
-    slot = F.col("_start") + F.floor(nth / F.col("_parts")) * F.col("_length") + F.get("_slots", (nth % F.col("_parts")).cast("int"))
-    scheduled = blocks.join(F.broadcast(plan), due)  # bounded by the sources and QUANTA
+    plan = docs.sparkSession.createDataFrame(table, "_s string, _chunk long, _slots array<long>")
+    due = F.col("_source").eqNullSafe(F.col("_s")) & (F.floor(F.col("block") / CHUNK) == F.col("_chunk"))
+    slot = F.get("_slots", (F.col("block") % CHUNK).cast("int"))
+    scheduled = blocks.join(F.broadcast(plan), due)  # eight bytes a block
     head = ["row"] if keep else ["doc_id", F.col("_source").alias("source")]
-    return scheduled.select(*head, "block", slot.cast("long").alias("slot"), "place")
+    return scheduled.select(*head, "block", slot.alias("slot"), "place")
 
 
 def mixed_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK_CHARS) -> DataFrame:

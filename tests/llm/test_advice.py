@@ -1,8 +1,9 @@
 """Cases of the second round of advice."""
 
-import random
+import numpy as np
+import pytest
 
-from colweave.llm import decontamination
+from colweave.llm import decontamination, mixing
 
 
 def leaks(spark, docs, items):
@@ -38,3 +39,19 @@ def test_verbatim_copies_in_another_form(spark, sf_dir):
             of[k * 10 + n] = (item, form)
     found = leaks(spark, docs, items)
     assert [of[i] for i in of if (i, of[i][0]) not in found] == []
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [dict.fromkeys("abc", 1.0), {f"s{k}": (900 if k == 0 else k) ** 0.5 for k in range(20)}, {"a": 0.0004, "b": 0.9996}, {"a": 0.1, "b": 0.7, None: 0.2}],
+)
+def test_given_weights_hold_within_a_block(weights):
+    rows = mixing.phases(dict.fromkeys(weights, 30_000), weights)
+    end, total = rows[0][4], sum(weights.values())
+    assert end >= 30_000
+    for s, first, _, start, _, _, slots in rows[: len(weights)]:
+        assert (first, start) == (0, 0)
+        had = np.searchsorted(np.array(slots), np.arange(end), "right")
+        assert (np.abs(had - weights[s] / total * (np.arange(end) + 1)) < 1 + 1e-6).all()
+    placed = [t for s, _, own in mixing.slot_table(rows) for t in own]
+    assert sorted(placed) == list(range(30_000 * len(weights)))
