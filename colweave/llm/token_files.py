@@ -123,16 +123,18 @@ class PieceEncoder:
 
     Byte-level BPE never merges across the pieces of its pre-tokenizer, so a piece is encoded once
     and its ids are kept. The pieces are cut here only where the class of every character is
-    settled, up to U+024F; any other text is encoded in one call.
+    settled, up to U+024F; any other text is encoded in one call, and so is one that holds the
+    string of an added token.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         with open(tokenizer_file, encoding="utf-8") as f:
-            form = json.load(f)["pre_tokenizer"]
+            known = json.load(f)
+        form = known["pre_tokenizer"]
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token["content"] for token in known.get("added_tokens", [])]
         self.known = Pieces(self.tokenizer.model)
         self.simple = form.get("type") == "ByteLevel" and form["use_regex"] and not form["add_prefix_space"]
         kinds: dict[str, str] = {"L": "", "N": ""}
@@ -150,7 +152,8 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.simple or self.unsettled.search(text) or self.odd_space.search(text):
+        whole = not self.simple or self.unsettled.search(text) or self.odd_space.search(text)
+        if whole or any(token in text for token in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
         # a space between two characters that are none starts a piece

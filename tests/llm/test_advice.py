@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from colweave.llm import decontamination, mixing
+from colweave.llm import decontamination, mixing, queries, token_files
 
 
 def leaks(spark, docs, items):
@@ -55,3 +55,14 @@ def test_given_weights_hold_within_a_block(weights):
         assert (np.abs(had - weights[s] / total * (np.arange(end) + 1)) < 1 + 1e-6).all()
     placed = [t for s, _, own in mixing.slot_table(rows) for t in own]
     assert sorted(placed) == list(range(30_000 * len(weights)))
+
+
+def test_added_tokens_in_a_text_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(queries.tokenizer_file())
+    encoder = token_files.PieceEncoder(queries.tokenizer_file())
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext", "plain text"]:
+        ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+        assert ids == untouched.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
