@@ -17,7 +17,10 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-HIDDEN = "script|style|noscript|template|textarea|head|svg|math|object|canvas|iframe"
+HIDDEN = "script|style|noscript|template|textarea|svg|object|canvas|iframe"
+#: Elements inside a head, with content and without; anything else ends it, a text too.
+HEAD_HIDDEN = "title script style noscript template".split()
+HEAD_VOID = "meta|link|base|basefont|bgsound"
 #: Opening the first closes an open element of the second kind, unless one of the third lies between.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")),
@@ -28,8 +31,16 @@ CLOSES = {
     "tr": ("tr", ("table",)),
     "option": ("option", ("select",)),
 }
+_END = r"(?=[\s/>])"  # of an element's name
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+_IN_HEAD = "|".join(
+    [r"\s+", _COMMENT, rf"<(?:{HEAD_VOID}){_END}{_REST}", *(rf"<{e}{_END}{_REST}.*?(?:</{e}\s*>|\Z)" for e in HEAD_HIDDEN)]
+)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"{_COMMENT}|<head{_END}{_REST}(?:{_IN_HEAD})*(?:</head\s*>)?"
+    rf"|<svg{_END}(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>"  # closed at once
+    rf"|<({HIDDEN}){_END}{_REST}.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -64,8 +75,8 @@ def split_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: character references decoded, white space runs one space.
 
     Block-level elements and their ends cut; inline elements do not, a line break is white space.
-    Comments, scripts, styles and other hidden content are dropped. Broken markup is read on as far
-    as it goes.
+    Comments, scripts, styles and other hidden content are dropped; a head ends where something
+    stands that cannot be in it. Broken markup is read on as far as it goes.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []

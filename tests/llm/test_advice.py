@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from colweave.llm import decontamination, mixing, queries, token_files
+from colweave.llm import decontamination, html_blocks, mixing, queries, token_files
 
 
 def leaks(spark, docs, items):
@@ -66,3 +66,21 @@ def test_added_tokens_in_a_text_are_the_library_s():
         ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
         assert ids == untouched.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><meta charset=u><body><p>One</p><p>Two", ["One", "Two"]),
+        ("<head>\n<script>var a = '<p>no</p>';</script><!-- x --><link rel=a><p>One</p>", ["One"]),
+        ("<head><title>T</title><noscript><p>x</p></noscript></head><p>One", ["One"]),
+        ("<head><title>T</title>Bare text<p>One", ["Bare text", "One"]),
+        ("<header>Top</header><p>One", ["Top", "One"]),
+        ("<p>One <svg width='1' height=2 /> two</p><p>Three <svg><path d='m'/><text>no</text></svg>four", ["One two", "Three four"]),
+        ("<template-card>In</template-card><p>One <svg-icon>icon</svg-icon> two", ["In", "One icon two"]),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", ["Where x=2 holds"]),
+        ("<p>a<script>b</script>c<template><p>d</p></template>e", ["ace"]),
+    ],
+)
+def test_hidden_elements_end_where_they_end(page, texts):
+    assert [b.text for b in html_blocks.split_blocks(page)] == texts
