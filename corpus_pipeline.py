@@ -16,34 +16,52 @@ from colweave.llm.decontamination import drop_leaks
 from colweave.llm.mixing import mixed_rows
 from colweave.llm.quality import keep_good, train_quality
 from colweave.llm.queries import tokenizer_file
-from colweave.llm.similar_texts import drop_similar
+from colweave.llm.simhash import RADIUS, drop_near_duplicates
 from colweave.llm.token_files import read_token_files, write_token_files
 from colweave.sources.staging import shared_folder, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, learned from the labels, does not reject."""
+    """Documents that the rule ensemble, learned from the labels, does not reject.
+
+    A null or empty text is scored like any other and repeated rows stay or go together. Without
+    labels the score is constant and nothing is rejected. No rows give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, train_quality(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word similarity 0.8 or more the document of the smallest id."""
-    return drop_similar(docs)
+    """Of each component of SimHash links the document of the smallest id.
+
+    Fingerprints are of three-word shingles and link at ``RADIUS`` differing bits or fewer. Texts
+    without words, null ones too, share fingerprint zero. A null id counts as the largest; of rows
+    that share the smallest id one stays. No rows give no rows.
+    """
+    return drop_near_duplicates(docs, reach=RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows stay or go together. Without items all rows stay.
+    """
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: of the files by name, and of the rows in a file."""
+    """All documents in the order of the mixture: of the files by name, and of the rows in a file.
+
+    A null source is a source of its own; null texts and repeated rows stay. No rows give no rows.
+    """
     return mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document, read back from the token files, which follow the order of the mixture."""
+    """One row per document, read back from the token files, which follow the order of the mixture.
+
+    A null or empty text has the end id alone; null ids and repeated rows stay. No rows give no rows.
+    """
     folder = f"{shared_folder(spark)}/token-files-{uuid4().hex}"
     files = write_token_files(docs, folder, tokenizer_file(), order_by=row_order(docs))
     return read_token_files(files)
