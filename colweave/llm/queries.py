@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.staging import scratch_folder
-from . import decontamination, exact_dedup, html_extraction, language_model, mixing, quality, secrets, simhash, token_files, toxicity
+from . import (
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    language_model,
+    licenses,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    token_files,
+    toxicity,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +81,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
@@ -80,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_license_scan": op11_license_scan,
 }
 
 ORACLES: dict[str, str] = {
