@@ -14,6 +14,7 @@ from . import (
     language_model,
     licenses,
     mixing,
+    prefix_trie,
     quality,
     secrets,
     simhash,
@@ -85,6 +86,14 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(conversations(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
     "op11_license_scan": op11_license_scan,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +120,51 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(form) AS text_sha256
         FROM forms JOIN groups USING (form)
     """,
+    "op12_prefix_trie": r"""
+        WITH RECURSIVE turns AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS letter
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT c, CAST(c AS VARCHAR) AS s, count(*) AS n FROM turns GROUP BY c
+        ), crc(c, s, i, v) AS (
+            SELECT c, s, 0, CAST(4294967295 AS BIGINT) FROM ids
+            UNION ALL
+            SELECT c, s, i + 1, CASE WHEN w & 1 = 1 THEN xor(w >> 1, CAST(3988292384 AS BIGINT)) ELSE w >> 1 END
+            FROM (SELECT c, s, i,
+                    CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(s, i // 8 + 1, 1)) AS BIGINT)) ELSE v END AS w
+                FROM crc WHERE i < 8 * length(s))
+        ), heads AS (
+            SELECT c, c - c % 5 AS b, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i = 8 * length(s)
+        ), rebuilt AS (
+            SELECT heads.c, t.pos AS d, t.letter, t.text FROM heads JOIN turns t ON t.c = heads.b WHERE t.pos <= h
+            UNION ALL
+            SELECT heads.c, least(h, coalesce(base.n, 0)) + t.pos - h, t.letter, t.text
+            FROM heads JOIN turns t ON t.c = heads.c LEFT JOIN ids base ON base.c = heads.b WHERE t.pos > h
+        ), members AS (
+            SELECT c, d, list(letter) OVER (PARTITION BY c ORDER BY d) AS path, octet_length(encode(text)) AS bytes,
+                d = max(d) OVER (PARTITION BY c) AS ends
+            FROM rebuilt
+            UNION ALL
+            SELECT c, 0, [], 0, c NOT IN (SELECT c FROM rebuilt) FROM ids
+        ), nodes AS (
+            SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM members GROUP BY d, path
+        ), children AS (
+            SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+        ), above AS (
+            SELECT unnest(range(0, d + 1)) AS k, path, (n_convs - 1) * bytes AS saved,
+                CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf
+            FROM nodes LEFT JOIN children USING (d, path)
+        ), subtrees AS (
+            SELECT k AS d, path[1:k] AS path, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM above GROUP BY ALL
+        )
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+            coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+            CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN subtrees USING (d, path) LEFT JOIN children USING (d, path)
+            LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+    """,
 }
