@@ -297,7 +297,8 @@ def returned_scores(written: DataFrame, counts: DataFrame) -> DataFrame:
         yield from done()
 
     postings = written.where("pair is not null").select("stretch", "pair", "unit", "n", "places", "bits")
-    met = postings.join(counts.select("pair", "n_docs", "best"), "pair")
+    # never broadcast: the table of pairs grows with the corpus
+    met = postings.join(counts.select("pair", "n_docs", "best").hint("merge"), "pair")
     dealt = met.select("stretch", "unit", "n_docs", "best", "places", "n", "bits").repartition("stretch")
     return dealt.sortWithinPartitions("stretch").mapInArrow(run, "stretch long, place int, n_best long, count_sum long")
 
