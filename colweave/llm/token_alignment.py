@@ -15,6 +15,8 @@ containers of a stretch add it up at the places of their documents.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,15 @@ from pyspark.sql import types as T
 
 from ..sources.staging import stage
 from .text import whole_text
-from .token_files import PieceEncoder
 
 #: A stretch ends with the document that brings its texts to so many characters, or its documents to
 #: what a place of 16 bits can number.
 STRETCH_CHARS = 16_000_000
 STRETCH_DOCS = 1 << 16
+# Fixed value: the pre-tokenizer of byte-level BPE.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: No token of the other side reaches over the start of a space.
+WORDS = " *[^ ]+| +"
 #: Rows of an Arrow batch that goes back to Spark.
 BATCH_ROWS = 100_000
 #: The id of the second tokenizer takes the low bits of a pair.
@@ -62,22 +67,72 @@ POSTING = T.StructType(
 WRITTEN = T.StructType([T.StructField("stretch", T.LongType()), *DOCUMENT.fields, *POSTING.fields])
 
 
+def byte_ranks(known: dict, shown: dict[str, int]) -> dict[bytes, int] | None:
+    """The tokens of a byte-level BPE by rank, where its ids ascend in the order of its merges.
+
+    ``shown`` is the byte that a character of the vocabulary stands for.
+    """
+    model, form = known["model"], known["pre_tokenizer"] or {}
+    plain = (
+        (model["type"], form.get("type")) == ("BPE", "ByteLevel")
+        and (form.get("use_regex", True), form.get("add_prefix_space")) == (True, False)
+        and not any(model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+        and not known["normalizer"]
+        and not model.get("ignore_merges")
+    )
+    special = {token["content"] for token in known["added_tokens"]}
+    ranks = {token: k for token, k in model["vocab"].items() if token not in special}
+    merged = [ranks[left + right] for left, right in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    ascending = all(a < b for a, b in zip(merged, merged[1:], strict=False))
+    if not (plain and ascending and len(ranks) == len(merged) + 256 and set("".join(ranks)) <= shown.keys()):
+        return None
+    return {bytes(map(shown.__getitem__, token)): k for token, k in ranks.items()}
+
+
+def piece_ranks(model, piece_bytes: list[bytes]) -> dict[bytes, int] | None:
+    """The pieces of a sentencepiece BPE by rank, for texts of characters of one or two bytes and single spaces.
+
+    Such a model joins the two neighbours whose piece scores best. With single bytes first, then the
+    characters of two bytes, then the pieces as they score, bytes are joined to characters before
+    anything else and pieces in the same order. None where pieces without two spaces score alike, one
+    reaches over the start of a space, or texts are normalised.
+    """
+    known = [(k, model.id_to_piece(k)) for k in range(model.get_piece_size())]
+    plain = [(k, p) for k, p in known if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
+    for text in ("  a  b  ", "".join(map(chr, range(1, 0x250)))):
+        if b"".join(piece_bytes[k] for k in model.encode(text)) != b" " + text.encode():
+            return None
+    joined = sorted((-model.get_score(k), piece_bytes[k]) for k, p in plain if len(p) > 1 and "▁▁" not in p)
+    if len({score for score, _ in joined}) < len(joined) or any(re.search("[^▁]▁", p) for _, p in plain):
+        return None
+    pairs = [p.encode() for _, p in plain if len(p) == 1 and len(p.encode()) == 2]
+    return {token: k for k, token in enumerate([*(bytes([b]) for b in range(256)), *pairs, *(p for _, p in joined)])}
+
+
 class Aligner:
-    """Two tokenizers and the bytes of their tokens."""
+    """Two tokenizers and the bytes of their tokens.
+
+    Texts of characters up to U+024F are encoded from the ranks of the tokens, all others by the
+    libraries that the files are made for; beyond that classes of characters differ by version.
+    """
 
     def __init__(self, a_file: str, b_file: str):
         import sentencepiece
-
-        self.a = PieceEncoder(a_file)
-        self.a.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        self.a.added = []
-        shown = {char: byte for byte, char in self.a.known.shown.items()}
-        plain = lambda char: shown.get(char, ord(char))
-        self.a_bytes = []
-        for k in range(self.a.tokenizer.get_vocab_size()):
-            token = self.a.tokenizer.id_to_token(k) or ""
-            known = all(plain(char) < 256 for char in token)
-            self.a_bytes.append(bytes(map(plain, token)) if known else token.encode())
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(a_file, encoding="utf-8") as f:
+            known = json.load(f)
+        self.tokenizer = Tokenizer.from_file(a_file)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [byte for byte in range(256) if byte not in printed]
+        shown = {chr(byte): byte for byte in printed} | {chr(256 + k): byte for k, byte in enumerate(rest)}
+        ranks = byte_ranks(known, shown)
+        self.a_fast = ranks and tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.unsettled = re.compile("[^\x00-\u024f]")
+        names = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
+        self.a_bytes = [bytes(map(shown.__getitem__, t)) if shown.keys() >= set(t) else t.encode() for t in names]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.b_bytes = [
             bytes([int(self.b.id_to_piece(k)[3:5], 16)])
@@ -85,6 +140,10 @@ class Aligner:
             else self.b.id_to_piece(k).replace("▁", " ").encode()
             for k in range(self.b.get_piece_size())
         ]
+        ranks = piece_ranks(self.b, self.b_bytes)
+        self.b_fast = ranks and tiktoken.Encoding("b", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        last = {token: k for k, token in enumerate(self.b_bytes)}  # of a byte and a character the character
+        self.b_ids = np.array([last[token] for token in ranks or ()], np.int64)
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         # an id in decimal and what follows it: in a list, at the end of the A or B part of a group
@@ -95,30 +154,54 @@ class Aligner:
         """The ids of both sides for a space and ``text``; None where either does not give its bytes."""
         if not text:
             return None
-        raw = b" " + text.encode()
-        a = np.frombuffer(self.a.encode(" " + text), "<u4").astype(np.int64)
-        b = np.array(self.b.encode(text), np.int64)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw:
-            return None
-        return (a, b) if b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw else None
+        text = " " + text
+        settled = not self.unsettled.search(text)
+        # tokens found by rank are the bytes they stand for; what else is encoded is compared
+        if settled and self.b_fast and "  " not in text:
+            b = self.b_ids[self.b_fast.encode_ordinary(text)]
+        else:
+            ids = self.b.encode(text[1:])
+            b = np.array(ids, np.int64)
+            if b"".join(map(self.b_bytes.__getitem__, ids)) != text.encode():
+                return None
+        if settled and self.a_fast:
+            ids = self.a_fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if b"".join(map(self.a_bytes.__getitem__, ids)) != text.encode():
+                return None
+        return np.array(ids, np.int64), b
 
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, str]:
         """The pair of every link in order, how many groups there are, and the hash of their listing."""
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        ends = np.union1d(a_ends, b_ends)
-        pairs = a[np.searchsorted(a_ends, ends)] << PAIR_BITS | b[np.searchsorted(b_ends, ends)]
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_upto = np.searchsorted(a_ends, shared, "right")  # tokens in the groups up to each
-        b_upto = np.searchsorted(b_ends, shared, "right")
-        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
-        b_before = np.concatenate([[0], b_upto])[a_group]
-        codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + b_before] = a
-        codes[np.arange(len(b)) + a_upto[b_group]] = b + 2 * len(self.a_bytes)
-        codes[a_upto - 1 + np.concatenate([[0], b_upto[:-1]])] += len(self.a_bytes)
-        codes[b_upto - 1 + a_upto] += len(self.b_bytes)
+        ends = np.concatenate([np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])])
+        order = np.argsort(ends, kind="stable")  # merges two ascending runs; A comes first where both end
+        ends, of_a = ends[order], order < len(a)
+        a_upto = np.cumsum(of_a)  # tokens that end here or before
+        b_upto = np.arange(1, len(ends) + 1) - a_upto
+        shared = np.concatenate([[False], ends[1:] == ends[:-1]])  # the B end of the two
+        own = ~shared
+        pairs = a[(a_upto - of_a)[own]] << PAIR_BITS | b[(b_upto - ~of_a)[own]]
+        group = np.cumsum(shared) - shared
+        a_cut, b_cut = a_upto[shared], b_upto[shared]
+        b_before = np.concatenate([[0], b_cut])
+        codes = np.empty(len(ends), np.int64)
+        codes[np.arange(len(a)) + b_before[group[of_a]]] = a
+        codes[np.arange(len(b)) + a_cut[group[~of_a]]] = b + 2 * len(self.a_bytes)
+        codes[a_cut - 1 + b_before[:-1]] += len(self.a_bytes)
+        codes[b_cut - 1 + a_cut] += len(self.b_bytes)
         listing = b"".join(map(self.shown.__getitem__, codes.tolist()))[:-1]
-        return pairs, len(shared), hashlib.sha256(listing).hexdigest()
+        return pairs, len(a_cut), hashlib.sha256(listing).hexdigest()
+
+
+def worker_aligner(a_file: str, b_file: str) -> Aligner:
+    """The aligner of this process, of a fixed size; it hangs on the library's module and outlives a task."""
+    import sentencepiece
+
+    kept = vars(sentencepiece).setdefault("_aligners", {})
+    if (a_file, b_file) not in kept:
+        kept[a_file, b_file] = Aligner(a_file, b_file)
+    return kept[a_file, b_file]
 
 
 class Stretch:
@@ -218,7 +301,7 @@ def write_postings(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_file, b_file)
+        aligner = worker_aligner(a_file, b_file)
         number = TaskContext.get().partitionId() << 32
         stretch = Stretch(number)
         for batch in batches:

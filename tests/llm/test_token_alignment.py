@@ -1,6 +1,7 @@
 """Alignment against brute force: byte ranges compared pair by pair with untouched tokenizers."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -144,3 +145,15 @@ def test_containers():
             for place in places.tolist():
                 found[r["pair"], place] += r["unit"]
     assert found == truth and kinds == {True, False}
+
+
+def test_ids_by_rank_are_those_of_the_libraries(sides):
+    draw = random.Random(1)
+    aligner = token_alignment.Aligner(tokenizer_file(), piece_file())
+    assert aligner.a_fast and aligner.b_fast
+    for k in range(3_000):
+        text = "".join(draw.choice("aeth \n\té ÿŁ\x00<>;\rɏ\x7f1 09xXßя中") for _ in range(draw.randrange(1, 40 if k else 5_000)))
+        expected, found = tokens_of(text, sides), aligner.encode(text)
+        assert (found is None) == (expected is None)
+        if found:
+            assert [ids.tolist() for ids in found] == [[k for k, _, _ in side] for side in expected]
