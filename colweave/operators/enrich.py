@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import render_prompt
+from ..sources.journal import Journal
 
 # Takes one prompt, gives its response; with a batch size: prompts, gives as many responses, where an
 # exception object in place of one fails that row only.
@@ -37,6 +39,7 @@ def enrich_rows(
     prompt: str = "prompt",
     batch_size: int | None = None,
     resend: bool = False,
+    journal: Journal | None = None,
     **arguments: str | None,
 ) -> DataFrame:
     """``rows`` with ``response`` and ``error``, exactly one of them NULL for a prompt that is not.
@@ -47,6 +50,11 @@ def enrich_rows(
     broken batch did, unless ``resend`` lets each be sent again alone. ``arguments`` are passed to it
     by name. A response that is no text is the error of its row. A NULL prompt is not sent and has
     neither.
+
+    With a ``journal`` answers are kept while they come, under the whole numbers of its key column.
+    They must be unique, ascend in each partition, and lie in the same partition in every attempt, as
+    after ``spread(rows, n, key)`` and ``sortWithinPartitions(key)``. A task that is run again sends
+    what its journal does not hold.
     """
     fields = [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     schema = T.StructType([*rows.schema.fields, *fields])
@@ -57,14 +65,30 @@ def enrich_rows(
             return [function(prompts[0], **arguments)]
         return list(function(prompts, **arguments))
 
+    place = rows.columns.index(journal.key) if journal else None
+
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = journal.of_task(TaskContext.get().partitionId()) if journal else None
         for batch in batches:
             prompts = batch.column(position).to_pylist()
-            sent = [text for text in prompts if text is not None]
+            keys = batch.column(place).to_pylist() if kept else [None] * len(prompts)
+            answers = [(None, None)] * len(prompts)
+            wanted = []
+            for n, (key, text) in enumerate(zip(keys, prompts)):
+                known = kept.recall(key) if kept and text is not None else None
+                if known is not None:
+                    answers[n] = known
+                elif text is not None:
+                    wanted.append(n)
             size = batch_size or 1
-            parts = (sent[start : start + size] for start in range(0, len(sent), size))
-            found = iter([answer for part in parts for answer in _call(send, part, resend)])
-            answers = [(None, None) if text is None else next(found) for text in prompts]
+            for start in range(0, len(wanted), size):
+                part = wanted[start : start + size]
+                for n, answer in zip(part, _call(send, [prompts[n] for n in part], resend)):
+                    answers[n] = answer
+                    if kept:
+                        kept.add(keys[n], answer)
+                if kept:
+                    kept.flush()
             responses, errors = zip(*answers) if answers else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(responses, pa.string()), pa.array(errors, pa.string())],

@@ -20,8 +20,11 @@ from ..operators.enrich import (
 )
 from ..operators.ids import MARK, PLACE_BITS, lay_out
 from ..schemas import CONVERSION_ROW
+from ..sources.journal import Journal
 from ..sources.log import ConversionLog
-from ..sources.staging import stage
+from ..sources.staging import drop_folder, scratch_folder, stage, staging_path
+
+WAVE = "_wave"
 
 
 class Conversion(NamedTuple):
@@ -46,6 +49,7 @@ def convert_packages(
     partitions: int | None = None,
     waves: int = 8,
     batch_size: int | None = None,
+    journal_seconds: float = 5.0,
     tag: str = TAG,
     namespace: str = NAMESPACE,
     run: str | None = None,
@@ -54,9 +58,13 @@ def convert_packages(
 
     ``function`` takes a prompt, or with a ``batch_size`` prompts, and ``system_prompt`` and
     ``model_name`` by name. Components are laid out in (file, index) order and staged before the
-    calls, so the calls run in ``partitions`` parallel tasks however the components are spread over
-    files. The calls are made in ``waves`` of those partitions, each written when it ends. With a
-    ``run`` name a repeated call takes up what was written: no prompt of a written wave is sent
+    calls, in ``waves`` stretches of that order. The calls of a wave run in ``partitions`` parallel
+    tasks, as many as there are cores by default, however the components are spread over files; each
+    wave reads its own stretch alone and is written when it ends.
+
+    With a ``run`` name a repeated call takes up what was written: no prompt of a written wave is sent
+    again. Inside a wave each task keeps its answers in a journal every ``journal_seconds``, so a task that
+    is lost, and with the same ``partitions`` a repeated call too, asks only for those of that time
     again. Without a log nothing is saved.
     """
     order = ("ssis_file_path", "ssis_file_name", "component_index")
@@ -81,17 +89,23 @@ def convert_packages(
     named = refuse_violations(packages, ("ssis_file_path", "ssis_file_name"))
     parsed = stage(parse_packages(named, tag, namespace), part("parsed"))
     rejects = stage(rejects_of(parsed), part("rejects"))
-    placed = stage(lay_out(components_of(parsed), *order, partitions=partitions), part("placed"))
+    spark = packages.sparkSession
+    tasks = partitions or spark.sparkContext.defaultParallelism
+    ranges = max(tasks, waves, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    laid = lay_out(components_of(parsed), *order, partitions=ranges)
+    wave_of = F.floor(F.shiftright(MARK, PLACE_BITS) * waves / ranges).cast("int")
+    placed = stage(laid.withColumn(WAVE, wave_of), part("placed"), partition_by=WAVE)
     staged = []
     for wave in range(waves):
-        # whole partitions of the layout, told apart by the upper part of the mark
-        own = placed.filter(F.pmod(F.shiftright(MARK, PLACE_BITS), F.lit(waves)) == wave)
-        size = max(1, (partitions or placed.rdd.getNumPartitions()) // waves)
+        name = part(f"journal{wave}-{tasks}")
+        folder = staging_path(spark, name) if name else scratch_folder(spark, "journal")
+        own = placed.filter(F.col(WAVE) == wave).drop(WAVE)
         prompts = render_prompts(own, "ssis_component", prompt_prefix, system_prompt)
         answered = enrich_rows(
-            spread(prompts.drop("system_prompt"), size, MARK),
+            spread(prompts.drop("system_prompt"), tasks, MARK).sortWithinPartitions(MARK),
             function,
             batch_size=batch_size,
+            journal=Journal(folder, MARK, journal_seconds),
             system_prompt=system_prompt,
             model_name=model_name,
         )
@@ -104,6 +118,7 @@ def convert_packages(
             carry=("component_index", "error", MARK),
         )
         staged.append(stage(rows, part(f"wave{wave}")))
+        drop_folder(spark, folder)
     answers = reduce(DataFrame.unionByName, staged)
     failures = answers.filter("error is not null").select(*order, "error")
     if log is None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+import warnings
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 FOLDER = "colweave-staging"
@@ -13,10 +16,21 @@ _unnamed: dict[str, list[str]] = {}  # by application
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
 
-    Every executor reaches both on a cluster.
+    Every executor must reach it. A warehouse is a folder of the driver's own unless it is set, so
+    on a cluster a local path of it is warned of.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/_colweave").rstrip("/")
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if re.match("(file:)?/", warehouse) and not spark.sparkContext.master.startswith("local"):
+        warnings.warn(f"spark.checkpoint.dir is not set; executors may not reach {warehouse}", stacklevel=2)
+    return f"{warehouse}/_colweave"
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """A file system for code that runs in a task, and the path of ``uri`` in it."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -27,16 +41,21 @@ def staging_path(spark: SparkSession, name: str | None = None) -> str:
     return f"{staging_root(spark)}/{name or uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+def stage(
+    df: DataFrame,
+    name: str | None = None,
+    schema: T.StructType | None = None,
+    partition_by: str | None = None,
+) -> DataFrame:
     """Write ``df`` and return the written rows. Under a ``name`` already written, only read them,
     with ``schema`` where it is not that of ``df``.
 
-    A copy without a name belongs to the application and goes when that ends.
+    The rows of each value of ``partition_by`` go to a folder of their own. A copy without a name belongs to the application and goes when that ends.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
     if name is None or not is_staged(spark, name):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
     if name is None:
         files, folder = _file_system(spark, path)
         files.deleteOnExit(folder)
@@ -52,7 +71,12 @@ def is_staged(spark: SparkSession, name: str) -> bool:
 
 def unstage(spark: SparkSession, name: str) -> None:
     """Delete what was written under ``name``, if anything."""
-    files, folder = _file_system(spark, staging_path(spark, name))
+    drop_folder(spark, staging_path(spark, name))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one, if it is there."""
+    files, folder = _file_system(spark, path)
     files.delete(folder, True)
 
 

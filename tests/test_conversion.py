@@ -1,6 +1,12 @@
 """Packages, enrichment, ids and the log on small hand-made data."""
 
+import os
+import time
+import uuid
+from unittest import mock
+
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from colweave import (
@@ -14,9 +20,11 @@ from colweave import (
     read_packages,
     release_staged,
 )
+from colweave.operators import enrich
 from colweave.operators.checks import log_violations, refuse_violations, split_violations
 from colweave.operators.ids import MARK, lay_out
 from colweave.schemas import CONVERSION_ROW, PACKAGES
+from colweave.sources.journal import Journal
 from colweave.sources.staging import staged_names, staging_path, unstage
 
 NS = "www.microsoft.com/SqlServer/Dts"
@@ -326,3 +334,105 @@ def test_mapping_csv(spark, tmp_path):
     (tmp_path / "bad.csv").write_text(head + "one,A,f,p,String\n")
     with pytest.raises(Exception):
         read_mapping_csv(spark, f"{tmp_path}/bad.csv").collect()
+
+
+def many_components(spark, n, files=1):
+    body = "".join(f'<D:Executable k="{k}"/>' for k in range(n))
+    document = f'<D:Executable xmlns:D="{NS}">{body}</D:Executable>'
+    return packages(spark, **{f"f{k}": document for k in range(files)})
+
+
+def test_as_many_calls_under_way_as_partitions(spark, tmp_path):
+    """With the default waves too: every call notes when it began and ended."""
+    folder = str(tmp_path)
+
+    def slow(prompt, **_):
+        began = time.time()
+        time.sleep(0.05)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+            file.write(f"{began} {time.time()}")
+        return "ok"
+
+    convert_packages(many_components(spark, 320), slow, None, partitions=8, **RUN)
+    calls = [tuple(map(float, file.read_text().split())) for file in tmp_path.iterdir()]
+    under_way = [sum(a <= began < b for a, b in calls) for began, _ in calls]
+    assert len(calls) == 320 and max(under_way) == 8
+    assert sum(under_way) / len(calls) > 4  # not only for a moment
+
+
+def test_a_wave_reads_its_own_components_alone(spark):
+    read = []
+
+    def noting(rows, *args, **kwargs):
+        read.append(rows)
+        return enrich.enrich_rows(rows, *args, **kwargs)
+
+    with mock.patch("colweave.plans.convert.enrich_rows", noting):
+        result = convert_packages(many_components(spark, 100), echo, None, waves=4, **RUN)
+    assert result.appended.count() == 100 and len(read) == 4
+    files = [set(rows.select("ssis_component", "_mark").inputFiles()) for rows in read]
+    parts = [{file.split("_wave=")[1].split("/")[0] for file in own} for own in files]
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in read]
+    assert all("PartitionFilters" in plan and f"_wave#" in plan for plan in plans)
+    scanned = [rows.count() for rows in read]
+    assert sum(scanned) == 100 and max(scanned) < 60 and set.union(*parts) == {"0", "1", "2", "3"}
+
+
+def test_a_lost_task_does_not_repeat_its_calls(spark, tmp_path):
+    """Each of two tasks dies once in the middle of its calls, the worker with it."""
+    folder = str(tmp_path)
+
+    def deadly(prompt, **_):
+        part = TaskContext.get().partitionId()
+        with open(f"{folder}/calls{part}", "a") as file:
+            file.write(prompt[-5:])
+        made = os.path.getsize(f"{folder}/calls{part}") // 5
+        if made == 20 and TaskContext.get().attemptNumber() == 0:
+            os._exit(1)
+        if prompt.endswith('"77" />'):
+            raise ValueError("seven")
+        return prompt[-12:]
+
+    result = convert_packages(many_components(spark, 100), deadly, None, partitions=2, waves=1, journal_seconds=0, **RUN)
+    rows = result.appended.collect()
+    assert len(rows) == 100 and all((r.llm_response or "") == r.ssis_component[-12:] or r.llm_response is None for r in rows)
+    assert [r.error for r in result.failures.collect()] == ["ValueError: seven"]
+    assert sum(os.path.getsize(f"{folder}/calls{part}") for part in (0, 1)) // 5 == 100 + 2  # the two that died
+
+
+def test_a_stopped_run_goes_on_inside_a_wave(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def stops(prompt, **_):
+        if not (tmp_path / "again").exists() and calls.exists() and calls.stat().st_size >= 30:
+            os._exit(1)  # however often it is tried
+        with open(calls, "a") as file:
+            file.write("x")
+        return "ok"
+
+    log = ConversionLog(spark, staging_path(spark))
+    frame = many_components(spark, 60)
+    settings = dict(partitions=1, waves=1, journal_seconds=0, run="day", **RUN)
+    with pytest.raises(Exception):
+        convert_packages(frame, stops, log, **settings)
+    (tmp_path / "again").touch()
+    convert_packages(frame, stops, log, **settings)
+    assert log.read().count() == 60 and calls.stat().st_size == 60
+    assert not [name for name in staged_names(spark, log.part("day", "")) if "journal" in name]
+
+
+def test_a_journal_is_read_in_step(tmp_path):
+    kept = Journal(str(tmp_path), "k", 0).of_task(3)
+    for key in (2, 5, 9):
+        kept.add(key, (f"r{key}", None))
+        kept.flush()
+    again = Journal(str(tmp_path), "k", 0).of_task(3)
+    assert [again.recall(key) for key in (1, 2, 4, 5)] == [None, ("r2", None), None, ("r5", None)]
+    again.add(7, (None, "e"))  # another attempt answered between
+    again.flush(now=True)
+    (tmp_path / "part-000003" / "broken.arrow.tmp").write_text("x")
+    third = Journal(str(tmp_path), "k", 100).of_task(3)
+    assert [third.recall(key) for key in (2, 5, 7, 9)] == [("r2", None), ("r5", None), (None, "e"), ("r9", None)]
+    third.add(11, ("late", None))
+    third.flush()  # not yet time
+    assert Journal(str(tmp_path), "k").of_task(3).recall(11) is None

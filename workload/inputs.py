@@ -139,7 +139,6 @@ def converted(spark: SparkSession, sf_dir: str, log: ConversionLog | None, cut:
         prompt_prefix="Digest this",
         system_prompt="You digest.",
         partitions=spark.sparkContext.defaultParallelism,
-        waves=2,
     )
 
 
