@@ -329,3 +329,25 @@ def test_apply_refuses_a_target_of_two_types(spark):
     frame = mapping(spark, {}, {"transform_func_data_type": "Boolean"})
     with pytest.raises(ValueError, match="more than one type"):
         apply_mapping(frame, source, 1)
+
+
+def test_csv_rows_are_in_the_order_of_the_file(spark, tmp_path):
+    """Two files, cut into many stretches; a compile gives their entries in the order of the lines."""
+    head = "config_id,source_column_name,f_definition,f_parameter_text,transform_data_type\n"
+    lines = [f"{n % 3},C{(n * 7919) % 997},f{n}(i0),,String" for n in range(3_000)]
+    (tmp_path / "b.csv").write_text(head + "\n".join(lines[2_000:]) + "\n")
+    (tmp_path / "a.csv").write_text(head + "\n".join(lines[:2_000]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = read_mapping_csv(spark, str(tmp_path), position="place")
+        read = spark.read.csv(str(tmp_path), header=True).rdd.getNumPartitions()
+        found = {r.place: r.f_definition for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read > 8 and found == {n + 1: f"f{n}(i0)" for n in range(3_000)}
+    records = compile_mapping_arrays(mapping_of_csv(rows, position="place"), key="source", return_length=0)
+    for record in records.collect():
+        own = [n for n in range(3_000) if n % 3 == record.config_id]
+        assert record.skeys.split(";") == [f"C{(n * 7919) % 997}" for n in own]
+        assert record.svals.split(";") == [f"f{n}(C{(n * 7919) % 997})" for n in own]

@@ -527,9 +527,17 @@ having bool_or(source_schema_name is null) or count(distinct source_table_name)
     # the file holds empty text for NULL parameters, so no row is left out for them
     "compile_from_csv": _select(
         ACTIVE.replace("from mapping where active_ind = 1", "from (select * replace ("
-        "coalesce(transformation_parameter_text, '') as transformation_parameter_text) from mapping)"),
-        f"select config_id, kind as transform_data_type, source_column_name, {_bound(True)} as expression"
-        " from active where transformation_function_id is not null"
-        " and kind in ('Boolean', 'Date', 'Timestamp', 'Numeric', 'String')",
+        "coalesce(transformation_parameter_text, '') as transformation_parameter_text) from mapping)"
+        " where transformation_function_id is not null")
+        + f""",
+in_file as (select *, row_number() over (order by custom_column_mapping_id desc, config_id) as place from active),
+source_entries as (
+  select config_id, kind, source_column_name as key, place as pos, {_bound(True)} as val
+  from in_file where kind in ('Boolean', 'Date', 'Timestamp', 'Numeric', 'String')
+),
+configs as (select distinct config_id from active)"""
+        + ","
+        + _lists(8, ";", entries="source_entries"),
+        f"select config_id, null::varchar as source_query, {_RECORD} from lists",
     ),
 }

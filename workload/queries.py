@@ -43,18 +43,26 @@ def scan_source_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.select("config_id", "source_database_name", "source_schema_name", "source_table_name")
 
 
-@query
-def read_mapping_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The transformed rows as CSV, those of great mapping ids first, in several files."""
     path = staging_path(spark)
-    written = rows.function_definitions(inputs.mapping(spark, sf_dir)).selectExpr(
+    mapping = rows.transformed_rows(inputs.mapping(spark, sf_dir))
+    written = mapping.orderBy(F.desc("custom_column_mapping_id"), "config_id").selectExpr(
         "cast(config_id as int) as config_id",
         "source_column_name",
-        "f_definition",
-        "coalesce(f_parameter_text, '') as f_parameter_text",
-        "transform_data_type",
+        "transformation_function_def as f_definition",
+        "coalesce(transformation_parameter_text, '') as f_parameter_text",
+        "transform_func_data_type as transform_data_type",
+    )
+    written.withColumn("transform_data_type", types.normalize_type(F.col("transform_data_type"))).write.csv(
+        path, header=True, escape='"'
     )
-    written.write.csv(path, header=True, escape='"')
-    return cw.read_mapping_csv(spark, path)
+    return path
+
+
+@query
+def read_mapping_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cw.read_mapping_csv(spark, written_csv(spark, sf_dir))
 
 
 @query
@@ -420,11 +428,5 @@ def mapping_rejects_of_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def compile_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    csv = read_mapping_csv(spark, sf_dir)
-    entries = items.bind_items(items.entry_items(cw.mapping_of_csv(csv), "source").withColumnRenamed("id", "pos"))
-    return entries.select(
-        "config_id",
-        F.col("slot").alias("transform_data_type"),
-        F.col("name").alias("source_column_name"),
-        F.col("text").alias("expression"),
-    )
+    csv = cw.read_mapping_csv(spark, written_csv(spark, sf_dir), position="place")
+    return cw.compile_mapping_arrays(cw.mapping_of_csv(csv, position="place"), key="source")
