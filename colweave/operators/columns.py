@@ -39,12 +39,12 @@ def ordered_text(
     keys = [F.col(column).alias(name) for column, name in zip(order, names)]
     laid = rows.select(by, *keys, item.alias("_item")).repartitionByRange(by, *names, "_item")
     placed = laid.withColumn("_part", F.spark_partition_id())
-    inside = F.expr(_listagg("_item", sep, ", ".join([*names, "_item"])))
+    inside = F.expr(listagg("_item", sep, ", ".join([*names, "_item"])))
     parts = placed.groupBy(by, "_part").agg(inside.alias("_item"))
-    return parts.groupBy(by).agg(F.expr(_listagg("_item", sep, "_part")).alias(alias))
+    return parts.groupBy(by).agg(F.expr(listagg("_item", sep, "_part")).alias(alias))
 
 
-def _listagg(item: str, sep: str, order: str) -> str:
+def listagg(item: str, sep: str, order: str) -> str:
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'")
     return f"listagg({item}, '{quoted}') within group (order by {order})"
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.columns import join_tables, source_columns, table_of
 from ..operators.items import (
     DERIVED,
+    KEYS,
     RAW,
     TABLE,
     all_items,
@@ -17,7 +18,14 @@ from ..operators.items import (
     last_item_wins,
     typed_lists,
 )
-from ..operators.lists import LIST_COLUMNS, joined_lists, padded_lists, quoted_lists
+from ..operators.lists import (
+    LIST_COLUMNS,
+    joined_lists,
+    laid_out_lists,
+    pad_joined,
+    padded_lists,
+    quoted_lists,
+)
 from ..operators.rows import (
     ACTIVE_ROW_COLUMN,
     active_mapping,
@@ -67,11 +75,22 @@ def compile_mapping_arrays(
 ) -> DataFrame:
     """The compiled record, one row per configuration with an active mapping row.
 
-    ``key="source"`` names entries by source column and keeps every one of them; with ``"target"``
-    the last mapping of a target and type wins. Without a config table the mapping rows name the
-    source table themselves. No job runs until the caller asks for rows.
+    ``key="source"`` names entries by source column and keeps every one of them, however many, in
+    lists that are joined part by part; with ``"target"`` the last mapping of a target and type wins.
+    Without a config table the mapping rows name the source table themselves. No job runs until the
+    caller asks for rows, but for a sample that places the parts of ``key="source"``.
     """
-    collected = collect_mapping(mapping, config_id, key, tables=config is None)
+    if key not in KEYS:
+        raise ValueError(f"unknown key {key!r}, expected one of {KEYS}")
+    if key == "source":
+        columns = column_items(_active(mapping, config_id), config is None)
+        collected = collect_items(bind_items(last_item_wins(columns)))
+        queries = _with_source_query(collected, config, config_id, order, style)
+        lists = laid_out_lists(source_entries(mapping, config_id), sep, quote)
+        # both sides are laid out by configuration; one without entries has padding alone
+        met = queries.select("config_id", "source_query").join(lists.hint("merge"), "config_id", "left")
+        return pad_joined(met, return_length, sep, quote).select(*RECORD_COLUMNS)
+    collected = collect_mapping(mapping, config_id, tables=config is None)
     lists = typed_lists(_with_source_query(collected, config, config_id, order, style))
     padded = padded_lists(lists, return_length, "source_query")
     if quote:
@@ -79,26 +98,27 @@ def compile_mapping_arrays(
     return joined_lists(padded, sep).select(*RECORD_COLUMNS)
 
 
+def source_entries(mapping: DataFrame, config_id: int | None = None) -> DataFrame:
+    """Every usable transformation as a row named by its source column: config_id, slot, pos, name, text."""
+    entries = entry_items(_active(mapping, config_id), "source")
+    return bind_items(entries.withColumnRenamed("id", "pos"))
+
+
 def collect_mapping(
     mapping: DataFrame,
     config_id: int | None = None,
-    key: str = "target",
     *,
     tables: bool = False,
     bind_style: str = "none",
 ) -> DataFrame:
-    """One row per configuration with the items of its columns and entries.
+    """One row per configuration with the items of its columns and entries, the last mapping of a target
+    and type winning.
 
     With ``tables`` the source tables that its mapping rows name are items too. ``bind_style``
-    quotes the column put in for ``i0``. With ``key="source"`` no entry supersedes another, so all
-    rows of a configuration meet in its one output row.
+    quotes the column put in for ``i0``.
     """
     active = _active(mapping, config_id)
-    if key == "target":
-        return collect_items(bind_items(last_item_wins(all_items(active, tables)), bind_style))
-    columns = last_item_wins(column_items(active, tables))
-    entries = entry_items(active, key).withColumnRenamed("id", "pos")
-    return collect_items(bind_items(columns.unionByName(entries), bind_style))
+    return collect_items(bind_items(last_item_wins(all_items(active, tables)), bind_style))
 
 
 def mapping_rejects(

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from colweave import apply_mapping, compile_mapping_arrays, mapping_rejects
 from colweave.operators.columns import attach_source_table, ordered_text
+from colweave.plans.compile import source_entries
+from colweave.schemas import MAPPING
 from workload import inputs
 
 
@@ -122,3 +124,31 @@ def test_a_hot_configuration_is_split_in_the_join(spark, sf_dir, settings):
     assert tasks > 3
     alone = one_salt.select(*key)
     assert salted.exceptAll(alone).count() == 0 and alone.exceptAll(salted).count() == 0
+
+
+def test_a_hot_configuration_is_listed_by_many_tasks(spark, sf_dir, settings):
+    """By source column every entry stays: a third of all rows belongs to one configuration."""
+    settings(spark_sql_adaptive_coalescePartitions_enabled="false")
+    frame = hot(spark, sf_dir).withColumn("active_ind", F.lit(1)).repartition(8)
+    laid = source_entries(frame).repartitionByRange("config_id", "slot", "pos", "name")
+    tasks = laid.filter("config_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 2
+    record = compile_mapping_arrays(frame, key="source", return_length=0).filter("config_id = 7").first()
+    alone = compile_mapping_arrays(frame, config_id=7, key="source", return_length=0).first()
+    assert record == alone
+    rows = sorted(source_entries(frame).filter("config_id = 7").collect(), key=lambda r: (r.pos, r.name, r.text))
+    assert len(rows) == sum(row["count"] for row in tasks) > 5_000
+    for prefix, kind in (("b", "Boolean"), ("d", "Date"), ("dt", "Timestamp"), ("n", "Numeric"), ("s", "String")):
+        own = [row for row in rows if row.slot == kind]
+        assert record[f"{prefix}keys"] == ";".join(row.name for row in own)
+        assert record[f"{prefix}vals"] == ";".join(row.text for row in own)
+
+
+def test_quoted_and_padded_lists_by_source_column(spark):
+    rows = [(1, n, "d", "s", "t", f"C{n}", "T", 1, 0, 1, "f(i0)", "", "String") for n in range(3)]
+    rows.append((2, 9, "d", "s", "t", "D", "T", 1, 0, None, None, None, None))
+    frame = spark.createDataFrame(rows, MAPPING)
+    found = {r.config_id: r for r in compile_mapping_arrays(frame, return_length=4, key="source", quote=True, sep="'|").collect()}
+    assert found[1].skeys == "'|".join(['"C0"', '"C1"', '"C2"', '"_s4"'])
+    assert found[1].svals == "'|".join(['"f(C0)"', '"f(C1)"', '"f(C2)"', '"toString(null())"'])
+    assert found[2].skeys == "'|".join(f'"_s{n}"' for n in range(1, 5)) and found[2].source_query is not None

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import colweave as cw
 from colweave.functions import binding, text, types
 from colweave.operators import checks, columns, enrich, items, lists, rows
-from colweave.plans.compile import collect_mapping
+from colweave.plans.compile import collect_mapping, source_entries
 from colweave.sources.staging import stage, staging_path
 
 from . import inputs
@@ -294,8 +294,10 @@ def last_mapping_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def joined_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = items.typed_lists(collect_mapping(inputs.mapping(spark, sf_dir), key="source"))
-    return lists.joined_lists(lists.padded_lists(typed, 5), ",")
+    mapping = inputs.mapping(spark, sf_dir)
+    configurations = active(spark, sf_dir).select("config_id").distinct()
+    joined = lists.laid_out_lists(source_entries(mapping), ",")
+    return lists.pad_joined(configurations.join(joined, "config_id", "left"), 5, ",")
 
 
 @query
