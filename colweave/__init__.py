@@ -8,7 +8,7 @@ from .plans.compile import compile_mapping_arrays, compile_source_query, mapping
 from .plans.convert import Conversion, convert_packages
 from .sources.log import ConversionLog
 from .sources.mapping import mapping_of_csv, read_mapping, read_mapping_csv, read_source_config
-from .sources.packages import read_packages
+from .sources.packages import read_package_bytes, read_packages
 from .sources.staging import release_staged
 
 __all__ = [
@@ -26,6 +26,7 @@ __all__ = [
     "mapping_rejects",
     "read_mapping",
     "read_mapping_csv",
+    "read_package_bytes",
     "read_packages",
     "read_source_config",
     "release_staged",

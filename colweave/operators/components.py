@@ -1,7 +1,9 @@
 """Package documents to one row per nested element.
 
 Only the parse itself is Python: a document is parsed in the task that holds its row, with the
-standard library, and Spark does the rest.
+standard library, and Spark does the rest. A document is fed to the parser piece by piece, and what is
+done is given out and forgotten: beside the document itself a task holds the open elements, the
+outermost open component, and a batch of rows.
 """
 
 from __future__ import annotations
@@ -10,9 +12,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
-from ..schemas import PACKAGES, conform
+from ..schemas import PACKAGES, PACKAGES_BYTES, conform
 
 # The namespace and tag of a component.
 NAMESPACE = "www.microsoft.com/SqlServer/Dts"
@@ -31,6 +33,7 @@ _ARROW = pa.schema(
         ("error", pa.string()),
     ]
 )
+_PIECE = 64 << 10
 _BATCH_CHARS = 8 << 20
 _BATCH_ROWS = 8 << 10
 
@@ -38,7 +41,7 @@ _BATCH_ROWS = 8 << 10
 def parse_packages(packages: DataFrame, tag: str = TAG, namespace: str = NAMESPACE) -> DataFrame:
     """Components of every readable document, and one row with the error of each other.
 
-    Components come in document order, numbered from 1. The root is none; a nested one has a row
+    The content may be text or, with the encoding that the document declares, bytes. Components come in document order, numbered from 1. The root is none; a nested one has a row
     of its own and is part of the text of those around it.
     """
     name = f"{{{namespace}}}{tag}" if namespace else tag
@@ -46,7 +49,7 @@ def parse_packages(packages: DataFrame, tag: str = TAG, namespace: str = NAMESPA
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, chars = [], 0
         for batch in batches:
-            for path, file, content in zip(*(column.to_pylist() for column in batch.columns)):
+            for path, file, content in (tuple(value.as_py() for value in row) for row in zip(*batch.columns)):
                 for index, text, error in _components(content, name):
                     rows.append((path, file, index, text, error))
                     chars += len(text or "")
@@ -57,22 +60,84 @@ def parse_packages(packages: DataFrame, tag: str = TAG, namespace: str = NAMESPA
         if rows:
             yield _to_batch(rows)
 
-    return conform(packages, PACKAGES, "packages").mapInArrow(parse, PARSED)
+    given = packages.schema["content"].dataType if "content" in packages.columns else None
+    declared = PACKAGES_BYTES if isinstance(given, T.BinaryType) else PACKAGES
+    return conform(packages, declared, "packages").mapInArrow(parse, PARSED)
 
 
-def _components(content: str | None, name: str) -> Iterator[tuple]:
+# what the parser raises: no XML, an encoding that it does not know, bytes that are not of it
+_UNREADABLE = (ElementTree.ParseError, LookupError, ValueError)
+
+
+def _components(content: str | bytes | None, name: str) -> Iterator[tuple]:
     if content is None:
         yield None, None, "no content"
         return
     try:
-        root = ElementTree.fromstring(content)
-    except ElementTree.ParseError as error:
+        if len(content) <= _PIECE:
+            found = ElementTree.fromstring(content).iterfind(f".//{name}")
+        else:
+            _read_through(content)  # nothing is given out of a document that breaks off
+            found = _streamed(content, name)
+    except _UNREADABLE as error:
         yield None, None, str(error)
         return
-    for index, element in enumerate(root.iterfind(f".//{name}"), start=1):
+    for index, element in enumerate(found, start=1):
         yield index, ElementTree.tostring(element, encoding="unicode"), None
 
 
+def _pieces(content: str | bytes) -> Iterator[str | bytes]:
+    for start in range(0, len(content), _PIECE):
+        yield content[start : start + _PIECE]
+
+
+class _Nothing:
+    """A parser target that keeps nothing."""
+
+    def close(self) -> None:
+        pass
+
+
+def _read_through(content: str | bytes) -> None:
+    parser = ElementTree.XMLParser(target=_Nothing())
+    for piece in _pieces(content):
+        parser.feed(piece)
+    parser.close()
+
+
+def _streamed(content: str | bytes, name: str) -> Iterator[ElementTree.Element]:
+    """The components of a document in its order, each with the text that follows it.
+
+    A component is whole at the first event after its end. Those inside it come with it; what is
+    done and in no open component is taken out of the tree after each piece.
+    """
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    opened: list[ElementTree.Element] = []
+    outermost, ended = None, None  # how many are open around the outermost open component; one just ended
+
+    def events() -> Iterator[tuple]:
+        for piece in _pieces(content):
+            parser.feed(piece)
+            yield from parser.read_events()
+            for element in opened if outermost is None else opened[:outermost]:
+                del element[:-1]
+        parser.close()
+        yield from parser.read_events()
+
+    for event, element in events():
+        if ended is not None:
+            yield from ended.iter(name)
+            ended = None
+        if event == "start":
+            if outermost is None and opened and element.tag == name:
+                outermost = len(opened)
+            opened.append(element)
+        else:
+            opened.pop()
+            if outermost == len(opened):
+                outermost, ended = None, element
+
+
 def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), _ARROW)]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)

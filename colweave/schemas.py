@@ -50,6 +50,8 @@ PACKAGES = _struct(
     ("content", _STR, True),
 )
 
+PACKAGES_BYTES = T.StructType([*PACKAGES.fields[:-1], T.StructField("content", T.BinaryType())])
+
 CONVERSION_ROW = _struct(
     ("api_provider", _STR, False),
     ("model_name", _STR, False),

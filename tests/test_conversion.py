@@ -1,9 +1,12 @@
 """Packages, enrichment, ids and the log on small hand-made data."""
 
 import os
+import random
 import time
+import tracemalloc
 import uuid
 from unittest import mock
+from xml.etree import ElementTree
 
 import pytest
 from pyspark import TaskContext
@@ -20,7 +23,7 @@ from colweave import (
     read_packages,
     release_staged,
 )
-from colweave.operators import enrich
+from colweave.operators import components, enrich
 from colweave.operators.checks import log_violations, refuse_violations, split_violations
 from colweave.operators.ids import MARK, lay_out
 from colweave.schemas import CONVERSION_ROW, PACKAGES
@@ -436,3 +439,51 @@ def test_a_journal_is_read_in_step(tmp_path):
     third.add(11, ("late", None))
     third.flush()  # not yet time
     assert Journal(str(tmp_path), "k").of_task(3).recall(11) is None
+
+
+def at_once(content, name):
+    """The components of a document by the whole tree."""
+    found = ElementTree.fromstring(content).iterfind(f".//{name}")
+    return [(n, ElementTree.tostring(element, encoding="unicode"), None) for n, element in enumerate(found, 1)]
+
+
+def made_up(draw, depth=0):
+    inner = "".join(made_up(draw, depth + 1) for _ in range(draw.randrange(4 if depth < 6 else 1)))
+    tag = draw.choice(["x", "y", "p:x", "p:z"])
+    return f'<{tag} a="{draw.randrange(99)}">é{draw.choice(["a", "b", "&amp;"])}{inner}</{tag}>{draw.choice(["", " tail ", "<!-- c -->"])}'
+
+
+@pytest.mark.parametrize("piece", [1, 7, 100, 10_000])
+def test_pieces_give_what_the_whole_tree_gives(monkeypatch, piece):
+    monkeypatch.setattr(components, "_PIECE", piece)
+    draw = random.Random(piece)
+    for _ in range(60):
+        text = f'<x xmlns:p="urn:p">{"".join(made_up(draw) for _ in range(3))}</x>'
+        for name in ("x", "{urn:p}x", "nothing"):
+            assert list(components._components(text, name)) == at_once(text, name)
+        declared = f'<?xml version="1.0" encoding="utf-16"?>{text}'.encode("utf-16")
+        assert list(components._components(declared, "x")) == at_once(text, "x")
+        broken = text[: draw.randrange(5, len(text) - 3)]
+        (index, _, error), = components._components(broken, "x")
+        assert index is None and error
+
+
+def test_unreadable_documents_are_rows(spark):
+    rows = [("d", "utf16", '<?xml version="1.0" encoding="utf-16"?><r><x>é</x></r>'.encode("utf-16"))]
+    rows += [("d", "odd", b'<?xml version="1.0" encoding="klingon"?><r><x/></r>'), ("d", "none", None), ("d", "empty", b"")]
+    rows += [("d", "wrong", b'<?xml version="1.0" encoding="utf-8"?><r><x>\xff</x></r>')]
+    frame = spark.createDataFrame(rows, "ssis_file_path string, ssis_file_name string, content binary")
+    found = explode_components(frame, tag="x", namespace="").collect()
+    assert [(r.ssis_file_name, r.ssis_component) for r in found] == [("utf16", "<x>é</x>")]
+    errors = {r.ssis_file_name: r.error for r in component_rejects(frame, tag="x", namespace="").collect()}
+    assert set(errors) == {"odd", "none", "empty", "wrong"} and all(errors.values())
+
+
+def test_a_large_document_is_not_held_as_a_tree():
+    body = "<g>" + "".join(f'<x a="{k}">some text<y/></x><z>{k}</z>' for k in range(1_000)) + "</g>"
+    content = ("<r>" + body * 100 + "</r>").encode()
+    tracemalloc.start()
+    n = sum(1 for _ in components._components(content, "x"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100_000 and peak < len(content)  # the tree alone would be many times that

@@ -107,10 +107,10 @@ FOLDER = "batch 1+"
 
 
 @cache
-def package_folder(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
+def package_folder(spark: SparkSession, sf_dir: str, cut: bool = False, encoded: bool = False) -> str:
     """The packages by supplier as files, in a folder and under names with signs; gives its parent.
 
-    Made once in a session.
+    With ``encoded`` two of three files are in UTF-16 or Latin-1, as they declare. Made once in a session.
     """
     root = scratch_folder(spark, "packages")
 
@@ -119,8 +119,11 @@ def package_folder(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
         system.create_dir(f"{path}/{FOLDER}", recursive=True)
         for batch in batches:
             for name, content in zip(batch["ssis_file_name"], batch["content"]):
+                encoding = ("utf-8", "utf-16", "iso-8859-1")[len(content) % 3] if encoded else "utf-8"
+                if encoding != "utf-8":
+                    content = f'<?xml version="1.0" encoding="{encoding}"?>{content}'
                 with system.open_output_stream(f"{path}/{FOLDER}/{name} 50%.dtsx") as file:
-                    file.write(content.encode())
+                    file.write(content.encode(encoding))
             yield batch[["ssis_file_name"]]
 
     rows = packages(spark, sf_dir, "l_suppkey", cut).select("ssis_file_name", "content")

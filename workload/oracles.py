@@ -392,6 +392,10 @@ names as (
         " filter (where derived is not null), [])), ', ') as source_columns from names group by config_id",
     ),
     "explode_components": _select(_packages("l_orderkey"), "select * from components"),
+    "explode_encoded_packages": _select(
+        _packages("l_suppkey", False, _FILE),
+        "select ssis_file_name, component_index, ssis_component from components",
+    ),
     "component_rejects": _select(
         _packages("l_orderkey"),
         f"select 'pkg_' || package as ssis_file_name, {_CUT_ERROR} as error from whole where package % 97 = 0",

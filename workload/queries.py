@@ -340,6 +340,12 @@ def explode_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cw.explode_components(inputs.packages(spark, sf_dir)).drop("ssis_file_path")
 
 
+@query
+def explode_encoded_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cw.read_package_bytes(spark, inputs.package_folder(spark, sf_dir, encoded=True))
+    return cw.explode_components(files).drop("ssis_file_path")
+
+
 @query
 def component_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cw.component_rejects(inputs.packages(spark, sf_dir, cut=True)).drop("ssis_file_path")
