@@ -3,7 +3,7 @@
 from .operators.components import component_rejects, explode_components
 from .operators.enrich import enrich_rows, render_prompts
 from .operators.ids import allocate_ids
-from .plans.apply import apply_mapping
+from .plans.apply import apply_mapping, apply_mappings
 from .plans.compile import compile_mapping_arrays, compile_source_query, mapping_rejects
 from .plans.convert import Conversion, convert_packages
 from .sources.log import ConversionLog
@@ -16,6 +16,7 @@ __all__ = [
     "ConversionLog",
     "allocate_ids",
     "apply_mapping",
+    "apply_mappings",
     "compile_mapping_arrays",
     "compile_source_query",
     "component_rejects",

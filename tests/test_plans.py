@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from colweave import apply_mapping, compile_mapping_arrays, mapping_rejects
+from colweave import apply_mapping, apply_mappings, compile_mapping_arrays, mapping_rejects
 from colweave.operators.columns import attach_source_table, ordered_text
 from colweave.plans.compile import source_entries
 from colweave.schemas import MAPPING
@@ -152,3 +152,24 @@ def test_quoted_and_padded_lists_by_source_column(spark):
     assert found[1].skeys == "'|".join(['"C0"', '"C1"', '"C2"', '"_s4"'])
     assert found[1].svals == "'|".join(['"f(C0)"', '"f(C1)"', '"f(C2)"', '"toString(null())"'])
     assert found[2].skeys == "'|".join(f'"_s{n}"' for n in range(1, 5)) and found[2].source_query is not None
+
+
+def test_all_configurations_are_applied_in_one_scan(spark, sf_dir, tmp_path):
+    inputs.source(spark, sf_dir).write.parquet(f"{tmp_path}/source")
+    source = spark.read.parquet(f"{tmp_path}/source")
+    frame = inputs.lineitem_mappings(spark)
+    plan = plan_of(apply_mappings(frame, source, [1, 3]))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "l_tax" not in plan
+    assert "EqualTo(AUDIT_ACTIVE_ROW_IND,Y)" in plan
+    # a column that one of them derives and the source has is another thing to it
+    assert plan_of(apply_mappings(frame, source, [1, 2, 3])).count("FileScan") == 2
+    stacked = apply_mappings(frame, source, [1, 2, 3, 3])
+    for config_id in (1, 2, 3):
+        alone = apply_mapping(frame, source, config_id)
+        own = stacked.filter(F.col("config_id") == config_id).select(*alone.columns)
+        assert own.schema.simpleString() == alone.schema.simpleString()
+        assert own.exceptAll(alone).count() == 0 and alone.exceptAll(own).count() == 0
+    assert apply_mappings(frame, source, [99]).collect() == []
+    with pytest.raises(ValueError, match="column l_orderkey is string"):
+        rows = [(4, 1, "d", "s", "t", "l_partkey", "l_orderkey", 1, 0, 1, "'a'", None, "String")]
+        apply_mappings(frame.unionByName(spark.createDataFrame(rows, MAPPING)), source, [1, 4])

@@ -241,3 +241,28 @@ def lineitem_mapping(spark: SparkSession) -> DataFrame:
         for n, (source_column, target, *rest) in enumerate(LINEITEM_MAPPING, start=1)
     ]
     return spark.createDataFrame(rows, MAPPING)
+
+
+# A second and a third configuration of it: the second derives a column that the source has.
+OTHER_MAPPINGS = {
+    2: [
+        ("l_orderkey", "l_orderkey", 0, None, None, None, None),
+        ("l_comment", "filled", 1, 1, "coalesce(i0, 'i1')", "hidden", "String"),
+        ("l_returnflag", "flags", 1, 2, "coalesce(i0, l_linestatus)", None, "String"),
+        ("l_quantity", "whole_quantity", 0, 3, "cast(i0 as int) * i1", "10", "Integer"),
+    ],
+    3: [
+        ("l_orderkey", "l_orderkey", 0, None, None, None, None),
+        ("l_linenumber", "line", 0, 1, "i0 + i1", "100", "Numeric"),
+        ("l_linenumber", "flags", 0, 2, "concat('#', i0)", None, "String"),
+    ],
+}
+
+
+def lineitem_mappings(spark: SparkSession) -> DataFrame:
+    rows = [
+        (config_id, n, "db", "s", "lineitem", source_column, target, 1, *rest)
+        for config_id, own in OTHER_MAPPINGS.items()
+        for n, (source_column, target, *rest) in enumerate(own, start=1)
+    ]
+    return lineitem_mapping(spark).unionByName(spark.createDataFrame(rows, MAPPING))

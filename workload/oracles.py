@@ -160,6 +160,17 @@ source_queries as (
   from selected left join tables using (config_id)
 )"""
 
+APPLIED = """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag,
+  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate, l_suppkey % 7 = 0 as is_near,
+  strftime(l_shipdate::date + 2, '%Y-%m-%d') as ship_day,
+  strftime(date_trunc('hour', l_shipdate), '%Y-%m-%d %H:%M') as ship_hour,
+  (l_extendedprice::decimal(18, 4) * 2)::decimal(18, 2)::double as net_price,
+  trunc(l_quantity)::bigint as whole_quantity,
+  l_returnflag || '/' || l_linestatus as flags,
+  null::varchar as "NOT_THERE", 'none' as filled
+from lineitem where l_linestatus = 'O'"""
+
 _RECORD = ", ".join(f"{prefix}{part}" for _, prefix, _ in _KINDS for part in ("keys", "vals"))
 
 
@@ -428,15 +439,15 @@ select config_id, null, null,
 from (select distinct config_id from active) left join tables using (config_id)
 where n is null or n > 1""",
     ),
-    "apply_mapping": """
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag,
-  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate, l_suppkey % 7 = 0 as is_near,
-  strftime(l_shipdate::date + 2, '%Y-%m-%d') as ship_day,
-  strftime(date_trunc('hour', l_shipdate), '%Y-%m-%d %H:%M') as ship_hour,
-  (l_extendedprice::decimal(18, 4) * 2)::decimal(18, 2)::double as net_price,
-  trunc(l_quantity)::bigint as whole_quantity,
-  l_returnflag || '/' || l_linestatus as flags,
-  null::varchar as "NOT_THERE", 'none' as filled
+    "apply_mapping": APPLIED,
+    "apply_mappings": f"""
+select 1::bigint as config_id, *, null::bigint as line from ({APPLIED})
+union all by name
+select 2::bigint as config_id, l_orderkey, l_quantity, 'hidden' as filled, l_linestatus as flags,
+  trunc(l_quantity)::bigint * 10 as whole_quantity, null::varchar as l_comment
+from lineitem where l_linestatus = 'O'
+union all by name
+select 3::bigint as config_id, l_orderkey, l_linenumber, l_linenumber::bigint + 100 as line, '#' || l_linenumber as flags
 from lineitem where l_linestatus = 'O'""",
     "convert_packages": _select(
         _packages("l_suppkey", False, _FILE) + "," + PROMPTS,

@@ -380,7 +380,11 @@ def mapping_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    applied = cw.apply_mapping(inputs.lineitem_mapping(spark), inputs.source(spark, sf_dir), 1)
+    return shown(cw.apply_mapping(inputs.lineitem_mapping(spark), inputs.source(spark, sf_dir), 1))
+
+
+def shown(applied: DataFrame) -> DataFrame:
+    """Times as text and numbers as plain ones, to be compared."""
     return applied.withColumns(
         {
             "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"),
@@ -392,6 +396,12 @@ def apply_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def apply_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    applied = cw.apply_mappings(inputs.lineitem_mappings(spark), inputs.source(spark, sf_dir), [1, 2, 3])
+    return shown(applied).withColumn("line", F.col("line").cast("bigint"))
+
+
 @query
 def convert_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = cw.ConversionLog(spark, staging_path(spark))
