@@ -17,7 +17,8 @@ from ..schemas import CONVERSION_LOG, CONVERSION_ROW, conform
 from .mapping import is_path
 from .staging import is_staged, stage, staged_names, unstage
 
-ATTEMPT = T.StructType([*CONVERSION_LOG.fields, T.StructField(MARK, T.LongType())])
+#: Which id an attempt gave to the row of a mark; the texts stay in the staged rows.
+ATTEMPT = T.StructType([T.StructField(MARK, T.LongType()), T.StructField("id", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -84,18 +85,21 @@ class ConversionLog:
             numbered = ids_of(marked.select(*CONVERSION_ROW.names, MARK), self.max_id())
             return self._write(numbered.select(*CONVERSION_LOG.names))
         done = self.part(run, "done")
-        if is_staged(self.spark, done):
-            return stage(self._none(), done)
         rows = marked.select(*CONVERSION_ROW.names, MARK)
+        if is_staged(self.spark, done):
+            return self._with_ids(rows, stage(self._none(), done, ATTEMPT))
         attempts = []
         while is_staged(self.spark, self.part(run, f"try{len(attempts)}")):
             attempts.append(stage(self._none(), self.part(run, f"try{len(attempts)}"), ATTEMPT))
         if not attempts:
-            wanted = self._attempt(run, 0, rows.withColumn("_key", F.col(MARK)))
+            start = self.max_id()
+            final = self._attempt(run, 0, rows.select(MARK, F.col(MARK).alias("_key")), start)
+            # the same ids again, where the rows are
+            self._write(ids_of(rows, start).select(*CONVERSION_LOG.names))
         else:
-            given = reduce(DataFrame.unionByName, attempts)
-            log = self.read().select([F.col(name).alias(f"_{name}") for name in CONVERSION_LOG.names])
             # text is compared where the ids meet, in a retry only
+            given = self._with_ids(rows, reduce(DataFrame.unionByName, attempts), MARK)
+            log = self.read().select([F.col(name).alias(f"_{name}") for name in CONVERSION_LOG.names])
             met = given.join(log.hint("merge"), F.col("id") == F.col("_id"))
             same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"_{n}")) for n in CONVERSION_ROW.names))
             written = stage(met.filter(same).select(MARK, "id").groupBy(MARK).agg(F.min("id").alias("id")))
@@ -106,19 +110,19 @@ class ConversionLog:
             if others.isEmpty() or absent.isEmpty():
                 wanted = absent
             else:
-                again = absent.drop("id").withColumnRenamed(MARK, "_key")
-                wanted = self._attempt(run, len(attempts), stage(lay_out(again, "_key")))
-        self._write(wanted.select(*CONVERSION_LOG.names))
-        final = wanted.select(MARK, "id")
-        if attempts:
-            final = final.unionByName(written)
-        return stage(rows.join(final, MARK).select(*CONVERSION_LOG.names), done)
-
-    def _attempt(self, run: str, n: int, rows: DataFrame) -> DataFrame:
-        """Number rows after the log as it is and record it; ``_key`` holds their marks in the run."""
-        numbered = ids_of(rows, self.max_id())
-        named = numbered.select(*CONVERSION_LOG.names, F.col("_key").alias(MARK))
-        return stage(named, self.part(run, f"try{n}"))
+                again = stage(lay_out(absent.select(F.col(MARK).alias("_key")), "_key"))
+                wanted = self._attempt(run, len(attempts), again, self.max_id())
+            self._write(self._with_ids(rows, wanted))
+            final = wanted.unionByName(written)
+        return self._with_ids(rows, stage(final, done))
+
+    def _attempt(self, run: str, n: int, rows: DataFrame, start: int) -> DataFrame:
+        """Number rows after ``start`` and record it; ``_key`` holds their marks in the run."""
+        numbered = ids_of(rows, start).select(F.col("_key").alias(MARK), "id")
+        return stage(numbered, self.part(run, f"try{n}"))
+
+    def _with_ids(self, rows: DataFrame, ids: DataFrame, *carry: str) -> DataFrame:
+        return rows.join(ids, MARK).select(*CONVERSION_LOG.names, *carry)
 
     def _write(self, rows: DataFrame) -> DataFrame:
         writer = rows.write.mode("append").format(self.format)
@@ -126,7 +130,7 @@ class ConversionLog:
         return rows
 
     def _none(self) -> DataFrame:
-        return self.spark.createDataFrame([], CONVERSION_LOG)
+        return self.spark.createDataFrame([], ATTEMPT)
 
     def part(self, run: str, name: str) -> str:
         """The name of a staged part of a run; runs of different logs share nothing."""
