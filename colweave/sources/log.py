@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..operators.checks import refuse_violations
 from ..operators.ids import MARK, ids_of, lay_out
 from ..schemas import CONVERSION_LOG, CONVERSION_ROW, conform
+from .claims import BROKEN, DONE, Claim, Claims
 from .mapping import is_path
-from .staging import is_staged, stage, staged_names, unstage
+from .staging import is_staged, move_files, stage, staged_names, unstage
 
 #: Which id an attempt gave to the row of a mark; the texts stay in the staged rows.
 ATTEMPT = T.StructType([T.StructField(MARK, T.LongType()), T.StructField("id", T.LongType())])
@@ -23,7 +25,12 @@ ATTEMPT = T.StructType([T.StructField(MARK, T.LongType()), T.StructField("id", T
 
 @dataclass(frozen=True)
 class ConversionLog:
-    """A log at a path or under a table name. One writer at a time; readers at any time."""
+    """A log at a path or under a table name. Writers and readers at any time.
+
+    Every append claims its ids before it writes (``claims``), so ids are unique whoever writes
+    beside it, and an append does not read the log to number its rows. Rows that were written
+    by something else than a ``ConversionLog`` must be there before its first append.
+    """
 
     spark: SparkSession
     location: str
@@ -50,8 +57,35 @@ class ConversionLog:
         return self.read().agg(F.coalesce(F.max("id"), F.lit(0)).alias("max_id"))
 
     def max_id(self) -> int:
+        """The greatest id: the last one claimed, where all claims are written, without reading the log."""
+        known = self.claims.known()
+        if known and all(claim.state == DONE for claim in known):
+            return known[-1].last
+        return self.high_water_mark().first()["max_id"]
+
+    @property
+    def claims(self) -> Claims:
+        if is_path(self.location):  # they go with the log; names with an underscore are no data
+            return Claims(self.spark, f"{self.location.rstrip('/')}/_claims")
+        name = hashlib.md5(self.location.encode()).hexdigest()
+        claims = Claims(self.spark, f"{self.spark.conf.get('spark.sql.warehouse.dir')}/_claims/{name}")
+        if not self.spark.catalog.tableExists(self.location):
+            claims.forget()  # those of a table that was dropped
+        return claims
+
+    def _mark(self) -> int:
         return self.high_water_mark().first()["max_id"]
 
+    def _put(self, claim: Claim, rows: DataFrame) -> DataFrame:
+        """Write the rows of a claim; one whose write fails is broken."""
+        try:
+            self._write(rows)
+        except BaseException:
+            self.claims.end(claim, BROKEN)
+            raise
+        self.claims.end(claim, DONE)
+        return rows
+
     def since(self, mark: int | None) -> DataFrame:
         """Rows appended after ``mark``, in id order; all of them for None."""
         return self.read().filter(F.col("id") > (mark or 0)).orderBy("id")
@@ -82,8 +116,9 @@ class ConversionLog:
         read after that.
         """
         if run is None:
-            numbered = ids_of(marked.select(*CONVERSION_ROW.names, MARK), self.max_id())
-            return self._write(numbered.select(*CONVERSION_LOG.names))
+            own = self.claims.claim(marked.count(), uuid.uuid4().hex, self._mark)
+            numbered = ids_of(marked.select(*CONVERSION_ROW.names, MARK), own.first - 1)
+            return self._put(own, numbered.select(*CONVERSION_LOG.names))
         done = self.part(run, "done")
         rows = marked.select(*CONVERSION_ROW.names, MARK)
         if is_staged(self.spark, done):
@@ -92,10 +127,10 @@ class ConversionLog:
         while is_staged(self.spark, self.part(run, f"try{len(attempts)}")):
             attempts.append(stage(self._none(), self.part(run, f"try{len(attempts)}"), ATTEMPT))
         if not attempts:
-            start = self.max_id()
-            final = self._attempt(run, 0, rows.select(MARK, F.col(MARK).alias("_key")), start)
+            own = self.claims.claim(rows.count(), run, self._mark)
+            final = self._attempt(run, 0, rows.select(MARK, F.col(MARK).alias("_key")), own.first - 1)
             # the same ids again, where the rows are
-            self._write(ids_of(rows, start).select(*CONVERSION_LOG.names))
+            self._put(own, ids_of(rows, own.first - 1).select(*CONVERSION_LOG.names))
         else:
             # text is compared where the ids meet, in a retry only
             given = self._with_ids(rows, reduce(DataFrame.unionByName, attempts), MARK)
@@ -103,19 +138,33 @@ class ConversionLog:
             met = given.join(log.hint("merge"), F.col("id") == F.col("_id"))
             same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"_{n}")) for n in CONVERSION_ROW.names))
             written = stage(met.filter(same).select(MARK, "id").groupBy(MARK).agg(F.min("id").alias("id")))
-            absent = attempts[-1].join(written.select(MARK), MARK, "left_anti")
-            before = attempts[0].agg(F.min("id")).first()[0]
-            others = self.read().filter(F.col("id") >= (before or 0)).select("id")
-            others = others.join(written.select("id"), "id", "left_anti")
-            if others.isEmpty() or absent.isEmpty():
-                wanted = absent
-            else:
-                again = stage(lay_out(absent.select(F.col(MARK).alias("_key")), "_key"))
-                wanted = self._attempt(run, len(attempts), again, self.max_id())
-            self._write(self._with_ids(rows, wanted))
-            final = wanted.unionByName(written)
+            absent = stage(attempts[-1].join(written.select(MARK), MARK, "left_anti"))
+            final = written
+            if not absent.isEmpty():
+                own, wanted = self._again(run, attempts, absent, written)
+                self._put(own, self._with_ids(rows, wanted))
+                final = wanted.unionByName(written)
         return self._with_ids(rows, stage(final, done))
 
+    def _again(
+        self, run: str, attempts: list[DataFrame], absent: DataFrame, written: DataFrame
+    ) -> tuple[Claim, DataFrame]:
+        """A claim for the absent rows, and their ids: those they had, where nobody else has any of them."""
+        before = attempts[0].agg(F.min("id")).first()[0]
+        had = absent.agg(F.min("id").alias("first"), F.max("id").alias("last")).first()
+        while True:
+            claims = self.claims
+            known = claims.known()
+            foreign = [c for c in known if c.state != BROKEN and c.owner != run and c.last >= before]
+            others = self.read().filter(F.col("id") >= before).select("id").join(written.select("id"), "id", "left_anti")
+            if foreign or not others.isEmpty():
+                own = claims.claim(absent.count(), run, self._mark)
+                again = stage(lay_out(absent.select(F.col(MARK).alias("_key")), "_key"))
+                return own, self._attempt(run, len(attempts), again, own.first - 1)
+            own = claims.take(known, had["first"], max(had["last"], *(c.last for c in known), 0), run)
+            if own is not None:
+                return own, absent
+
     def _attempt(self, run: str, n: int, rows: DataFrame, start: int) -> DataFrame:
         """Number rows after ``start`` and record it; ``_key`` holds their marks in the run."""
         numbered = ids_of(rows, start).select(F.col("_key").alias(MARK), "id")
@@ -126,7 +175,15 @@ class ConversionLog:
 
     def _write(self, rows: DataFrame) -> DataFrame:
         writer = rows.write.mode("append").format(self.format)
-        writer.save(self.location) if is_path(self.location) else writer.saveAsTable(self.location)
+        if not is_path(self.location):
+            writer.saveAsTable(self.location)
+        elif self.format != "parquet":
+            writer.save(self.location)
+        else:
+            # written apart and moved: two appends to one folder would clear each other's unfinished files
+            apart = f"{self.location.rstrip('/')}/_claims/rows-{uuid.uuid4().hex}"
+            writer.save(apart)
+            move_files(self.spark, apart, self.location)
         return rows
 
     def _none(self) -> DataFrame:

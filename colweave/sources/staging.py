@@ -57,7 +57,7 @@ def stage(
     if name is None or not is_staged(spark, name):
         df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
     if name is None:
-        files, folder = _file_system(spark, path)
+        files, folder = hadoop_path(spark, path)
         files.deleteOnExit(folder)
         _unnamed.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema or df.schema).parquet(path)
@@ -65,7 +65,7 @@ def stage(
 
 def is_staged(spark: SparkSession, name: str) -> bool:
     """Whether the write under ``name`` was committed; one that broke off does not count."""
-    files, marker = _file_system(spark, f"{staging_path(spark, name)}/_SUCCESS")
+    files, marker = hadoop_path(spark, f"{staging_path(spark, name)}/_SUCCESS")
     return files.exists(marker)
 
 
@@ -76,14 +76,14 @@ def unstage(spark: SparkSession, name: str) -> None:
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared one, if it is there."""
-    files, folder = _file_system(spark, path)
+    files, folder = hadoop_path(spark, path)
     files.delete(folder, True)
 
 
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """A new folder in the shared one for files of the caller's own; it goes with the application."""
     path = f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
-    files, folder = _file_system(spark, path)
+    files, folder = hadoop_path(spark, path)
     files.mkdirs(folder)
     files.deleteOnExit(folder)
     return path
@@ -91,7 +91,7 @@ def scratch_folder(spark: SparkSession, prefix: str) -> str:
 
 def staged_names(spark: SparkSession, prefix: str) -> list[str]:
     """The staged names that begin with ``prefix``."""
-    files, folder = _file_system(spark, staging_root(spark))
+    files, folder = hadoop_path(spark, staging_root(spark))
     if not files.exists(folder):
         return []
     names = (status.getPath().getName() for status in files.listStatus(folder))
@@ -101,10 +101,25 @@ def staged_names(spark: SparkSession, prefix: str) -> list[str]:
 def release_staged(spark: SparkSession) -> None:
     """Delete the copies without a name now. What reads them cannot be read after that."""
     for path in _unnamed.pop(spark.sparkContext.applicationId, []):
-        files, folder = _file_system(spark, path)
+        files, folder = hadoop_path(spark, path)
         files.delete(folder, True)
 
 
-def _file_system(spark: SparkSession, path: str):
+def move_files(spark: SparkSession, source: str, target: str) -> None:
+    """Move the data files of a finished write to another folder of the same file system."""
+    files, folder = hadoop_path(spark, source)
+    _, into = hadoop_path(spark, target)
+    files.mkdirs(into)
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            _, moved = hadoop_path(spark, f"{target.rstrip('/')}/{name}")
+            if not files.rename(status.getPath(), moved):
+                raise OSError(f"{name} could not be moved to {target}")
+    files.delete(folder, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of ``path``, as the driver sees it, and the path in it."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location

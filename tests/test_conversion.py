@@ -5,6 +5,7 @@ import random
 import time
 import tracemalloc
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from unittest import mock
 from xml.etree import ElementTree
 
@@ -27,6 +28,7 @@ from colweave.operators import components, enrich
 from colweave.operators.checks import log_violations, refuse_violations, split_violations
 from colweave.operators.ids import MARK, lay_out
 from colweave.schemas import CONVERSION_ROW, PACKAGES
+from colweave.sources.claims import BROKEN, Claims
 from colweave.sources.journal import Journal
 from colweave.sources.staging import staged_names, staging_path, unstage
 
@@ -487,3 +489,68 @@ def test_a_large_document_is_not_held_as_a_tree():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 100_000 and peak < len(content)  # the tree alone would be many times that
+
+
+def test_interleaved_appends_have_their_own_ids(spark, monkeypatch):
+    """One writer appends while another is about to write, with and without a run."""
+    one, two = (ConversionLog(spark, path) for path in [staging_path(spark)] * 2)
+    write = ConversionLog._write
+
+    def between(log, rows):
+        monkeypatch.setattr(ConversionLog, "_write", write)
+        two.append(rows_of(spark, "B1", "B2"), ["ssis_file_name"])
+        return write(log, rows)
+
+    for run in (None, "day"):
+        monkeypatch.setattr(ConversionLog, "_write", between)
+        one.append(rows_of(spark, "A1", "A2", "A3"), ["ssis_file_name"], run=run)
+    found = [(r.id, r.ssis_file_name[0]) for r in one.since(0).collect()]
+    assert found == list(enumerate("AAABBAAABB", start=1))
+    assert one.max_id() == 10
+
+
+def test_appends_at_the_same_time(spark):
+    path = staging_path(spark)
+
+    def append(k):
+        log = ConversionLog(spark, path)
+        for n in range(3):
+            log.append(rows_of(spark, *(f"{k}-{n}-{m}" for m in range(4))), ["ssis_file_name"])
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(append, range(4)))
+    rows = ConversionLog(spark, path).read().collect()
+    assert sorted(r.id for r in rows) == list(range(1, 49))
+    assert len({r.ssis_file_name for r in rows}) == 48
+
+
+def test_an_append_does_not_read_the_log(spark, monkeypatch):
+    log = ConversionLog(spark, staging_path(spark))
+    log.append(rows_of(spark, "a", "b"), ["ssis_file_name"])
+
+    def unread(log):
+        raise AssertionError("the log is read")
+
+    monkeypatch.setattr(ConversionLog, "read", unread)
+    log.append(rows_of(spark, "c"), ["ssis_file_name"])
+    log.append(rows_of(spark, "d"), ["ssis_file_name"], run="day")
+    assert log.max_id() == 4
+    monkeypatch.undo()
+    assert [(r.id, r.ssis_file_name) for r in log.since(0).collect()] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_rows_from_before_the_claims_are_counted(spark):
+    log = ConversionLog(spark, staging_path(spark))
+    log._write(rows_of(spark, "old").selectExpr("100L as id", "*"))
+    log.append(rows_of(spark, "new"), ["ssis_file_name"])
+    assert [r.id for r in log.since(0).collect()] == [100, 101]
+
+
+def test_only_one_writer_makes_a_claim(spark):
+    claims = Claims(spark, staging_path(spark))
+    nothing = claims.known()
+    assert claims.take(nothing, 1, 5, "a") and claims.take(nothing, 1, 7, "b") is None
+    later = claims.claim(3, "b", lambda: pytest.fail("looked up"))
+    assert (later.first, later.last) == (6, 8)
+    claims.end(later, BROKEN)  # from where the log is, but above what another is at
+    assert claims.claim(1, "c", lambda: 2).first == 6 and claims.claim(1, "c", lambda: 0).first == 7
