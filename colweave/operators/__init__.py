@@ -1,5 +1,5 @@
 """Operators: they take and give DataFrames.
 
-None starts a job but ``columns.attach_source_table``, which counts a side before it broadcasts it,
-and ``ids.allocate_ids``, which stages its rows.
+None starts a job but ``columns.attach_source_table``, which looks for hot configurations, and
+``ids.allocate_ids``, which stages its rows.
 """

@@ -105,6 +105,23 @@ def config_tables(config: DataFrame) -> DataFrame:
     return names.select("config_id", table.alias("source_table"), reject.alias("table_reject"))
 
 
+#: At most so many configurations are looked for, and so many counters kept for each of them.
+HOT, COUNTERS = 1_000, 100
+
+
+def hot_configurations(rows: DataFrame) -> list[int]:
+    """The configurations that hold more rows than a task should get, found by one pass over their ids.
+
+    That share is one of ``spark.sql.shuffle.partitions``, so there are no more of them than of those,
+    and at most ``HOT``. A frequent-items sketch of a fixed size, merged from the tasks, counts them: with
+    ``COUNTERS`` for each none of that share is missed.
+    """
+    most = max(1, min(HOT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sketch = F.expr(f"approx_top_k(config_id, {most}, {most * COUNTERS})")
+    found = rows.agg(sketch.alias("frequent"), F.count("config_id").alias("n")).first()
+    return sorted(item["item"] for item in found["frequent"] or () if item["count"] * most >= found["n"])
+
+
 def attach_source_table(
     rows: DataFrame,
     config: DataFrame,
@@ -113,14 +130,20 @@ def attach_source_table(
 ) -> DataFrame:
     """Each row with the table of its configuration and, if there is none, the reason.
 
-    The config table grows with the configurations, so both sides are exchanged under
-    ``(config_id, salt)``, the salt taken from ``spread_by``. A configuration of very many rows then
-    goes to several tasks, and adaptive execution can split its partitions further.
+    The config table grows with the configurations, so both sides are exchanged. The rows of a hot
+    configuration are exchanged under a salt too, taken from ``spread_by``, and its config row is
+    copied for each; all other config rows are exchanged once. Adaptive execution can split what is
+    left of skew, and with one salt all of it. The hot ones are counted when the plan is made.
     """
     tables = config_tables(config)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    every_salt = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = salted.join(every_salt.hint("merge"), ["config_id", "_salt"], "left")
+    hot = hot_configurations(rows) if salts > 1 else None
+    if hot == []:
+        return _with_reject(rows.join(tables.hint("merge"), "config_id", "left"))
+    is_hot = F.lit(True) if hot is None else F.col("config_id").isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    every = tables.withColumn("_salt", F.explode(copies))
+    joined = rows.withColumn("_salt", salt).join(every.hint("merge"), ["config_id", "_salt"], "left")
     return _with_reject(joined.drop("_salt"))
 
 

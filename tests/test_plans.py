@@ -1,10 +1,13 @@
 """What the plans look like, and that one very large configuration changes neither plan nor result."""
 
+from unittest import mock
+
 import pytest
 from pyspark.sql import functions as F
 
 from colweave import apply_mapping, apply_mappings, compile_mapping_arrays, mapping_rejects
-from colweave.operators.columns import attach_source_table, ordered_text
+from colweave.operators import columns
+from colweave.operators.columns import attach_source_table, hot_configurations, ordered_text
 from colweave.plans.compile import source_entries
 from colweave.schemas import MAPPING
 from workload import inputs
@@ -173,3 +176,44 @@ def test_all_configurations_are_applied_in_one_scan(spark, sf_dir, tmp_path):
     with pytest.raises(ValueError, match="column l_orderkey is string"):
         rows = [(4, 1, "d", "s", "t", "l_partkey", "l_orderkey", 1, 0, 1, "'a'", None, "String")]
         apply_mappings(frame.unionByName(spark.createDataFrame(rows, MAPPING)), source, [1, 4])
+
+
+def test_only_hot_configurations_are_salted(spark, sf_dir):
+    frame, tables = hot(spark, sf_dir).repartition(8), inputs.config(spark, sf_dir)
+    assert hot_configurations(frame) == [7] and hot_configurations(inputs.mapping(spark, sf_dir)) == []
+    assert hot_configurations(frame.limit(0)) == []
+    plan = plan_of(attach_source_table(inputs.mapping(spark, sf_dir), tables))
+    assert "_salt" not in plan  # none is hot, no config row is copied
+    copied = []
+    with mock.patch.object(columns, "_with_reject", lambda joined: copied.append(joined) or joined):
+        attach_source_table(frame, tables)
+    right = copied[0]._jdf.queryExecution().analyzed().toString()
+    assert "_salt" in right
+    key = ["config_id", "custom_column_mapping_id", "source_table", "table_reject"]
+    salted, plain = attach_source_table(frame, tables).select(*key), attach_source_table(frame, tables, salts=1).select(*key)
+    assert salted.count() == frame.count() and salted.exceptAll(plain).count() == 0
+    # a config row for each configuration, and seven more of the hot one if it has any
+    every = attach_source_table(frame, tables)
+    known = tables.filter("active_ind = 1").select("config_id").distinct()
+    rows = known.count() + (7 if known.filter("config_id = 7").count() else 0)
+    assert set(exchanged_rows(every)) <= {frame.count(), known.count(), rows}
+
+
+def exchanged_rows(df):
+    """The rows that each exchange of the plan was sent."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    found = []
+
+    def visit(node):
+        name = node.nodeName()
+        if "ShuffleQueryStage" in name:
+            found.append(node.shuffle().metrics().apply("shuffleRecordsWritten").value())
+            visit(node.plan().child() if hasattr(node.plan(), "child") else node.plan())
+            return
+        children = node.children()
+        for k in range(children.size()):
+            visit(children.apply(k))
+
+    visit(plan)
+    return found
