@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,8 @@ BLOCKS = frozenset(
     "section select summary table tbody td tfoot th thead tr ul button label".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
+#: Elements whose content is no text of the page; what an object or canvas shows where it cannot be
+#: drawn is none either.
 HIDDEN = "script|style|noscript|template|textarea|svg|object|canvas|iframe"
 #: Elements inside a head, with content and without; anything else ends it, a text too.
 HEAD_HIDDEN = "title script style noscript template".split()
@@ -32,16 +34,18 @@ CLOSES = {
     "option": ("option", ("select",)),
 }
 _END = r"(?=[\s/>])"  # of an element's name
-_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+# a quote begins a value only after an equals sign; one anywhere else is a character like others
+_VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*')"
+_REST = rf"(?>{_VALUE}|[^>])*+>"
 _COMMENT = r"<!--.*?(?:-->|\Z)"
 _IN_HEAD = "|".join(
     [r"\s+", _COMMENT, rf"<(?:{HEAD_VOID}){_END}{_REST}", *(rf"<{e}{_END}{_REST}.*?(?:</{e}\s*>|\Z)" for e in HEAD_HIDDEN)]
 )
 TOKEN = re.compile(
     rf"{_COMMENT}|<head{_END}{_REST}(?:{_IN_HEAD})*(?:</head\s*>)?"
-    rf"|<svg{_END}(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>"  # closed at once
+    rf"|<svg{_END}(?>{_VALUE}|[^>/]|/(?!>))*+/>"  # closed at once
     rf"|<({HIDDEN}){_END}{_REST}.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>{_VALUE}|[^>])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 NAMED = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -79,7 +83,9 @@ def split_blocks(page: str) -> list[Block]:
     stands that cannot be in it. Broken markup is read on as far as it goes.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[str] = []
+    paths: list[tuple[int, ...]] = []  # the names down to each open element, shared where none is new
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked, in_link = 0, 0
     known: dict[tuple[str, str], tuple[int, ...]] = {}
@@ -89,19 +95,21 @@ def split_blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                path = tuple(dict.fromkeys(slot for _, slots in stack for slot in slots))
-                blocks.append(Block(path, text, min(linked, len(text))))
+                blocks.append(Block(paths[-1] if paths else (), text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def close(names: tuple[str, ...], within: tuple[str, ...]) -> None:
         nonlocal in_link
+        if not any(opened[name] for name in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                in_link -= sum(name == "a" for name, _ in stack[k:])
-                del stack[k:]
+            if stack[k] in names:
+                in_link -= stack[k:].count("a")
+                opened.subtract(stack[k:])
+                del stack[k:], paths[k:]
                 return
-            if stack[k][0] in within:
+            if stack[k] in within:
                 return
 
     at = 0
@@ -118,8 +126,7 @@ def split_blocks(page: str) -> list[Block]:
         if cuts:
             flush()
         if m[2] or m[5]:
-            if any(name == tag for name, _ in stack):
-                close((tag,), ())
+            close((tag,), ())
             continue
         if tag == "br":
             pieces.append(" ")
@@ -140,7 +147,11 @@ def split_blocks(page: str) -> list[Block]:
             key = (tag, "")
         if key not in known:
             known[key] = _names(*key)
-        stack.append((tag, known[key]))
+        path = paths[-1] if paths else ()
+        new = tuple(slot for slot in dict.fromkeys(known[key]) if slot not in path)
+        stack.append(tag)
+        paths.append(path + new if new else path)
+        opened[tag] += 1
     if at < len(page):
         pieces.append(page[at:])
     flush()

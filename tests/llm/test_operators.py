@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -373,3 +374,36 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds == {1: [], 2: ["access", "secret"], 3: ["access"], 4: ["id", "secret", "endpoint"], 5: []}
     start = texts[3][1].index(key)
     assert f"secret:{start}:{start + 40}" in spans[4]
+
+
+ODD_QUOTES = [
+    "<a title='it's'>link</a>",
+    "<div data-x=a'b></div>",
+    '<i data-x=a"b>x</i>',
+    "<b 'quoted name'>x</b>",
+    '<span ">x</span>',
+    "<img alt='it's > that'>",
+    '<em title="a > b" lang=\'x\'>x</em>',
+    "<em title = 'a > b'>x</em>",
+    "<u title=>x</u>",
+    '<u title="don\'t">x</u>',
+    "<u title='say \"no\"'>x</u>",
+    "<u a=b=c'd>x</u>",
+    '<svg path=a"b/>',
+    "<script type='it's'>if (a > b) {}</script>",
+]
+
+
+@pytest.mark.parametrize("odd", ODD_QUOTES)
+def test_odd_quotes_lose_no_paragraph(odd):
+    page = f"<p>One</p>{odd}<p>Two don't see</p>{odd}<p>Three \"it's\" here</p>"
+    texts = [block.text for block in html_blocks.split_blocks(page)]
+    assert [t for t in texts if t not in ("x", "link", "x that'>", "that'>", "that'&gt;")] == ["One", "Two don't see", 'Three "it\'s" here']
+
+
+@pytest.mark.parametrize("page", ["<div><p>x</p>" * 8_000, "<div>" * 8_000 + "</i>" * 8_000, "<i>" * 8_000 + "<p>x</p>" * 8_000,
+    "".join(f"<div class=c{k}>x" for k in range(8_000)), "<a href='" * 8_000, "<a b='c' " * 8_000, "<svg /" * 8_000])
+def test_deep_and_broken_pages_take_little_time(page):
+    start = time.perf_counter()
+    html_blocks.split_blocks(page)
+    assert time.perf_counter() - start < 0.5
