@@ -32,6 +32,8 @@ WEAK = (
 ROLE_OF = {"access": "id", "assign": "secret", "id": "id", "secret": "secret", "endpoint": "endpoint"}
 #: Roles that must stand near a weak part for it to be reported.
 NEEDS = {"id": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}
+#: Matches that are walked at a time, so that no long array is copied for each of them.
+STEPS = 256
 #: Code points that may lie between two parts of one credential.
 SCOPE = 200
 
@@ -56,8 +58,20 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         )
         return F.struct((start + x["n"]).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step)
-    kept = F.filter(walked["spans"], lambda s: s["size"] >= least)
+    # an element of an array is worked out once, however often the function of it needs it
+    once = lambda value, function: F.transform(F.array(value), function)[0]
+
+    def walk(all_steps: Column) -> Column:
+        def piece(state: Column, k: Column) -> Column:
+            start = F.struct(state["at"], nothing.alias("spans"))
+            part = F.aggregate(F.slice(all_steps, k * STEPS + 1, F.lit(STEPS)), start, step)
+            return once(part, lambda x: F.struct(x["at"], F.concat(state["parts"], F.array(x["spans"])).alias("parts")))
+
+        pieces = F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / STEPS).cast("int"))
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.slice(F.array(nothing), 1, 0).alias("parts")), piece)
+
+    walked = once(steps, walk)
+    kept = F.filter(F.flatten(walked["parts"]), lambda s: s["size"] >= least)
     return F.when(text.rlike(pattern), kept).otherwise(nothing)
 
 
@@ -89,15 +103,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = len(BASE)
     base = F.array_sort(F.concat(*(F.col(f"_{k}") for k in range(n))))
     weak = F.concat(*(F.col(f"_{k}") for k in range(n, len(kinds))))
-    apart = lambda w, b: (w["end"] <= b["start"]) | (b["end"] <= w["start"])
     # staged: the patterns run once, and the row numbers given here stay
     rows = stage(
-        found.select("_id", base.alias("_base"), weak.alias("_weak")).select(
-            F.monotonically_increasing_id().alias("_row"),
-            "_id",
-            "_base",
-            F.filter("_weak", lambda w: F.forall("_base", lambda b: apart(w, b))).alias("_weak"),
-        )
+        found.select(F.monotonically_increasing_id().alias("_row"), "_id", base.alias("_base"), weak.alias("_weak"))
     )
     linked = (
         _linked(rows, scope)
@@ -115,18 +123,25 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _linked(rows: DataFrame, scope: int) -> DataFrame:
-    """Rows (_row, part): the weak parts whose complements lie within ``scope``."""
+    """Rows (_row, part): the weak parts outside all plain ones whose complements lie within ``scope``."""
     role = F.create_map(*(F.lit(x) for pair in ROLE_OF.items() for x in pair))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope))).alias("_cell")
     own = rows.where(F.size("_weak") > 0)
-    weak = own.select("_row", F.explode("_weak").alias("part"))
-    parts = own.select("_row", F.explode(F.concat("_base", "_weak")).alias("other"))
+    every = own.select("_row", F.explode("_weak").alias("part"))
+    plain = own.select("_row", F.explode("_base").alias("other"))
+    # what overlaps lies in a cell of both
+    inside = every.select("*", cells(F.col("part.start"), F.col("part.end") - 1))
+    over = plain.select("*", cells(F.col("other.start"), F.col("other.end") - 1))
+    overlap = (F.col("part.start") < F.col("other.end")) & (F.col("other.start") < F.col("part.end"))
+    covered = inside.join(over, ["_row", "_cell"]).where(overlap).select("_row", "part").distinct()
+    weak = every.join(covered, ["_row", "part"], "left_anti")
+    parts = plain.unionByName(weak.withColumnRenamed("part", "other"))
     parts = parts.where(F.col("other.kind").isin(*ROLE_OF)).select(
         "_row",
         F.col("other.start").alias("_start"),
         F.col("other.end").alias("_end"),
         role[F.col("other.kind")].alias("_role"),
     )
-    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope))).alias("_cell")
     near = weak.select("*", cells(F.col("part.start") - scope, F.col("part.end") + scope))
     placed = parts.select("*", cells(F.col("_start"), F.col("_end")))
     within = (F.col("_start") <= F.col("part.end") + scope) & (F.col("_end") >= F.col("part.start") - scope)

@@ -376,6 +376,51 @@ def test_weak_parts_need_their_complements(spark):
     assert f"secret:{start}:{start + 40}" in spans[4]
 
 
+def linked_spans(text):
+    """All spans by the letter of the docstring, part against part."""
+    either = lambda words: re.compile(words, re.I | re.A)
+    between = r"""["']?\x20*[:=]\x20*["']?"""
+    base = [(int(a), rank, int(b), kind) for rank, name in enumerate(("assign", "access", "hex"))
+            for kind, a, b in (x.split(":") for x in base_spans(text).split(",") if x) if kind == name]
+    names = either(f"((client|user|account|key)[_-]?(id|name)){between}([A-Za-z0-9@._-]+)")
+    weak = [(m.start(), 3, m.end(), "id") for m in names.finditer(text) if len(m[4]) >= 3]
+    weak += [(m.start(), 4, m.end(), "secret") for m in re.finditer("(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", text)]
+    weak += [(m.start(), 5, m.end(), "endpoint") for m in re.finditer("https?://[A-Za-z0-9.-]+(:[0-9]+)?", text) if len(m[0]) >= 10]
+    weak = [w for w in weak if all(w[2] <= b[0] or b[2] <= w[0] for b in base)]
+    roles = {"access": "id", "assign": "secret", "id": "id", "secret": "secret", "endpoint": "endpoint"}
+    parts = [(a, b, roles[kind]) for a, _, b, kind in base + weak if kind in roles]
+    needs = {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}
+    kept = [
+        w for w in weak
+        if needs[w[3]] <= {r for a, b, r in parts if r != w[3] and a <= w[2] + 200 and b >= w[0] - 200}
+    ]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(base + kept))
+
+
+def test_linked_parts_against_brute_force(spark):
+    draw = random.Random(5)
+    pieces = [
+        "AKIA" + "Q7" * 8, "b" * 40, "Ab1/" * 10, "client_id: robot7", "user-name = 'someone'", "password=abcdefgh1",
+        "token: \"" + "Z/9a" * 10 + "\"", "https://api.example.com:80/x", "0123456789abcdef" * 2, "é", " . " * 30, " . " * 90,
+        "accountid=AKIA" + "X" * 16, "https://a.bc", "\n",
+    ]
+    rows = [(k, " ".join(draw.choice(pieces) for _ in range(draw.randrange(1, 40)))) for k in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: linked_spans(text) for k, text in rows}
+    assert sum("secret:" in x or "id:" in x for x in got.values()) > 20
+
+
+def test_very_many_secrets_in_one_text(spark):
+    text = "".join(f"api_key=abcdefgh{k} https://api.example.com/{k} client_id: robot{k} " for k in range(30_000))
+    rows = spark.createDataFrame([(1, text), (2, "secret=abcdefgh " * 100_000)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(rows).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1]["n_assign"] == 30_000 and got[2]["n_assign"] == 100_000
+    assert got[1]["spans"].count("endpoint:") == got[1]["spans"].count(",id:") == 30_000
+    assert got[2]["spans"] == ",".join(f"assign:{16 * k}:{16 * k + 15}" for k in range(100_000))
+
+
 ODD_QUOTES = [
     "<a title='it's'>link</a>",
     "<div data-x=a'b></div>",
