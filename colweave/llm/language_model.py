@@ -1,15 +1,18 @@
-"""Log probability of texts: context mixing for spellings, counts for words, a cache for each text.
+"""Log probability of texts: hashed contexts mixed bit by bit, along the text and inside new words.
+
+A text is read word by word. Frequent words, and an escape for all others, have a prefix code; its
+bits are predicted by hashed contexts and mixed online (``context_mixing``). What an escape stands for
+is a rarer word: counts of whole words take over where there are any, discounted, with the mass taken
+from them given to the spelling. Among its escapes a text's own rare words become likelier: a Chinese
+restaurant process, averaged over several concentrations.
 
 A word is spelled bit by bit. Predictors with hashed contexts of one to five bytes each give a
 probability; a logistic mixer with weights chosen by how much the longest contexts have seen combines
 them, and a final table refines the result. Mixer and table learn online, word after word, each word
 left out of the counts that predict it.
 
-On top, counts of whole words take over where there are any, those of the corpus and of the style of
-the text (its language, or its kind of noise), each discounted, with the mass taken from them given to
-the level below. The style gates which counts apply; naming it is part of the cost. Within a text the
-words it has used become likelier: a Chinese restaurant process, averaged over several
-concentrations, so each text weighs its own repetition.
+Mixers and tables learn from all training texts and words: each task learns along its own, and what
+the tasks have learned is averaged.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .context_mixing import FLUSH, Codes, Mixer, add_bits, lay_out_bits, pieces_of, table_bits
 from .text import remainder, whole_text
 
 MODULUS, HELD = 7, 2
@@ -35,17 +39,17 @@ ORDERS = (1, 2, 3, 4, 5)
 SLOT_BITS = 18
 #: Slots that travel together when counts are added up.
 CHUNK = 4_096
-#: Distinct words that the mixer learns on, about; the counts cover all words.
-MIXER_WORDS = 50_000
-#: Words, at most, the most frequent ones, whose values go to every task; all others are joined.
+#: Words, at most, the most frequent ones, that have codes, in every task; all others are joined.
 FREQUENT = 65_536
+#: Context numbers of the other words start here.
+OTHERS = 1 << 20
+#: Words for each task that fills or learns with a context table, at least, beyond a task a core.
+TASK_WORDS = 1 << 25
 #: Concentrations of the cache, each with the same prior weight.
 ALPHAS = (10.0, 100.0, 1_000.0, 10_000.0, 100_000.0)
-#: Styles; the texts and the most frequent words that they are told apart by.
-STYLES, STYLE_TEXTS, STYLE_WORDS = 12, 3_000, 1_000
 STEP_BYTES = 16_384
-#: Bytes of spellings, and texts, that are counted at a time, and texts that are scored at a time.
-COUNT_BYTES, COUNT_TEXTS, SCORE_TEXTS = 262_144, 3_000, 500
+#: Bytes of spellings, and texts, that are counted at a time.
+COUNT_BYTES, COUNT_TEXTS = 262_144, 3_000
 LN10 = math.log(10)
 
 
@@ -141,6 +145,15 @@ class Speller:
         other.__dict__ = self.__dict__ | {"counts": None}
         return other
 
+    @property
+    def cells(self) -> np.ndarray:
+        """All that is learned, as one row."""
+        return np.concatenate([self.weights.ravel(), self.refine.ravel()])
+
+    def put(self, cells: np.ndarray) -> None:
+        cut = self.weights.size
+        self.weights, self.refine = cells[:cut].reshape(16, -1).copy(), cells[cut:].reshape(256, KNOTS).copy()
+
     def _combine(self, inputs: np.ndarray, gate: np.ndarray, partial: np.ndarray):
         w = self.weights.T.astype(np.float32)
         z = np.take(w[-1], gate)
@@ -193,150 +206,178 @@ class Speller:
         return total / LN10
 
 
-# --- styles -----------------------------------------------------------------------------------
-
-
-def numbered(counts: Counter, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each counted word, -1 for one without, and its count."""
-    at = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
-    return at, np.fromiter(counts.values(), np.int64, len(counts))
+# --- corpus -----------------------------------------------------------------------------------
 
 
-class Styles:
-    """A mixture over frequent words that names the style of a text."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """Rows (token, c): the count in training rows, 0 for words of other rows alone; the text end is the
+    empty token."""
 
-    def __init__(self, words: list[bytes], logs: np.ndarray, prior: np.ndarray):
-        self.place = {w: k for k, w in enumerate(words)}
-        self.logs, self.prior = logs, prior
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (part for whole in batches for part in in_pieces(whole, COUNT_TEXTS)):
+            tallies = Counter(), Counter()
+            for text, train in zip(batch["text"], batch["train"], strict=True):
+                tally = tallies[int(train)]
+                tally.update(split_words(text))
+                tally[b""] += 1
+            for train, tally in enumerate(tallies):
+                uses = np.fromiter(tally.values(), np.int64, len(tally))
+                words = [w.decode() for w in tally]
+                tally.clear()
+                yield from in_pieces(pd.DataFrame({"token": words, "c": uses * train}))
 
-    def __len__(self) -> int:
-        return len(self.prior)
+    rows = docs.select(whole_text("text").alias("text"), _trains().alias("train"))
+    return rows.mapInPandas(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
-    def of(self, counts: Counter) -> int:
-        at, times = numbered(counts, self.place)
-        known = at >= 0
-        return int(np.argmax(self.prior + self.logs[:, at[known]] @ times[known]))
 
+def _trains() -> Column:
+    return F.coalesce(remainder("doc_id", MODULUS) != HELD, F.lit(False))
 
-def fit_styles(docs: DataFrame, most: int = STYLE_TEXTS) -> Styles:
-    """EM on the counts of frequent words in at most ``most`` training texts, the ones of least hash."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                found = Counter(split_words(text))
-                frame = {"doc": doc, "token": [w.decode() for w in found], "times": list(found.values())}
-                yield from in_pieces(pd.DataFrame(frame))
-
-    chosen = docs.where(_trains()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc"), whole_text("text").alias("text"))
-    counts = stage(rows.mapInPandas(count, "doc long, token string, times long"))
-    top = counts.groupBy("token").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "token").limit(STYLE_WORDS)
-    words = [row["token"] for row in top.collect()]
-    if not words:
-        return Styles([], np.zeros((1, 0)), np.zeros(1))
-    numbered = docs.sparkSession.createDataFrame([(w, k) for k, w in enumerate(words)], "token string, at int")
-    met = counts.join(F.broadcast(numbered), "token").groupBy("doc", "at").agg(F.sum("times").cast("int").alias("n"))
-    cells = met.toPandas().sort_values(["doc", "at"])
-    doc, _ = pd.factorize(cells["doc"])
-    x = np.zeros((doc.max() + 1, len(words)), np.float32)
-    x[doc, cells["at"]] = cells["n"]
-    k = min(STYLES, len(x))
-    draw = np.random.default_rng(0)
-    shares = x / x.sum(axis=1, keepdims=True)
-    seeds = [0]  # far apart: each next one where the nearest seed is farthest, drawn by that distance
-    near = np.full(len(x), np.inf)
-    for _ in range(k - 1):
-        near = np.minimum(near, np.abs(shares - shares[seeds[-1]]).sum(axis=1))
-        seeds.append(int(draw.choice(len(x), p=near**2 / (near**2).sum())) if near.any() else int(draw.integers(len(x))))
-    resp = np.zeros((len(x), k))
-    resp[np.arange(len(x)), np.argmin([np.abs(shares - shares[s]).sum(axis=1) for s in seeds], axis=0)] = 1
-    for _ in range(30):
-        mass = resp.T @ x + 0.1
-        logs = np.log(mass / mass.sum(axis=1, keepdims=True))
-        prior = np.log((resp.sum(axis=0) + 1) / (len(x) + k))
-        fit = x @ logs.T + prior
-        resp = np.exp(fit - fit.max(axis=1, keepdims=True))
-        resp /= resp.sum(axis=1, keepdims=True)
-    return Styles([w.encode() for w in words], logs, prior)
+def _added(parts: DataFrame, kind: type) -> DataFrame:
+    """Sums of the arrays of ``kind`` in ``counts``, as 64-bit numbers, by chunk."""
 
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in group["counts"])
+        return pd.DataFrame({"chunk": group["chunk"][:1], "counts": [total.tobytes()]})
 
-# --- corpus -----------------------------------------------------------------------------------
+    return parts.groupBy("chunk").applyInPandas(add, "chunk long, counts binary")
 
 
-def count_words(docs: DataFrame, styles: Styles) -> DataFrame:
-    """Rows (token, c, uses, styles, counts): the count in training rows and in all rows, and the former
-    by the style of the text; the text end is the empty token."""
+def _chunks(counts: np.ndarray) -> pd.DataFrame:
+    pieces = counts.reshape(-1, CHUNK * 2)
+    used = np.flatnonzero(pieces.any(axis=1))
+    return pd.DataFrame({"chunk": used, "counts": [pieces[k].tobytes() for k in used]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (part for whole in batches for part in in_pieces(whole, COUNT_TEXTS)):
-            tallies = [(Counter(), Counter()) for _ in range(len(styles))]
-            for text, train in zip(batch["text"], batch["train"], strict=True):
-                found = Counter(split_words(text))
-                style = styles.of(found)
-                found[b""] += 1
-                tallies[style][int(train)].update(found)
-            for style, pair in enumerate(tallies):
-                for train, tally in enumerate(pair):
-                    uses = np.fromiter(tally.values(), np.int64, len(tally))
-                    words = [w.decode() for w in tally]
-                    tally.clear()
-                    yield from in_pieces(pd.DataFrame({"token": words, "style": style, "c": uses * train, "uses": uses}))
 
-    rows = docs.select(whole_text("text").alias("text"), _trains().alias("train"))
-    partial = rows.mapInPandas(run, "token string, style int, c long, uses long")
-    by_style = partial.groupBy("token", "style").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
-    seen = F.collect_list(F.when(F.col("c") > 0, F.struct("style", "c")))  # one for each style at most
-    words = by_style.groupBy("token").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"), seen.alias("seen"))
-    return words.select("token", "c", "uses", F.col("seen.style").alias("styles"), F.col("seen.c").alias("counts"))
+def _averaged(rows: DataFrame, cells: np.ndarray) -> np.ndarray:
+    """What tasks learned, rows (size, cells), by the size of what they learned from."""
+    each = rows.select("size", F.posexplode("cells").alias("at", "x"))
+    mean = each.groupBy("at").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("x")).collect()
+    out = cells.copy()
+    for row in mean:
+        out[row["at"]] = row["x"]
+    return out
 
 
-def _trains() -> Column:
-    return F.coalesce(remainder("doc_id", MODULUS) != HELD, F.lit(False))
+LEARNED = "size long, cells array<double>"
 
 
-def fit_speller(vocabulary: DataFrame) -> Speller:
-    """Count every distinct training word into the predictors, and learn the mixer on a sample of them.
+def fit_speller(words: DataFrame) -> Speller:
+    """Count every word of ``words`` into the predictors, and learn the mixer on all of them.
 
     Counts are added up by chunks of slots, so a task holds one table and no word list; the table of
     fixed size is what reaches the driver.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, words, size = None, [], 0
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+        words, size = [], 0
         for batch in batches:
             words += [t.encode() for t in batch["token"]]
             size += int(batch["token"].str.len().sum())
             if size > COUNT_BYTES:
-                own = spelling_counts(words)
-                counts = own if counts is None else counts + own
+                yield words
                 words, size = [], 0
         if words:
+            yield words
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = None
+        for words in pieces(batches):
             own = spelling_counts(words)
             counts = own if counts is None else counts + own
         if counts is not None:
-            pieces = counts.reshape(-1, CHUNK * 2)
-            used = np.flatnonzero(pieces.any(axis=1))
-            yield pd.DataFrame({"chunk": used, "counts": [pieces[k].tobytes() for k in used]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
-        return pd.DataFrame({"chunk": group["chunk"][:1], "counts": [total.tobytes()]})
+            yield _chunks(counts)
 
-    kind = "chunk long, counts binary"
-    learned = vocabulary.where("c > 0").select("token")
-    chunks = learned.mapInPandas(count, kind).groupBy("chunk").applyInPandas(add, kind).collect()
+    learned = words.select("token")
     counts = np.zeros((len(ORDERS) * 2**SLOT_BITS // CHUNK, CHUNK * 2), np.int64)
-    for row in chunks:
+    for row in _added(learned.mapInPandas(count, "chunk long, counts binary"), np.int64).collect():
         counts[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    speller = Speller(counts.reshape(len(ORDERS), 2**SLOT_BITS, 2))
-    every = max(1, learned.count() // MIXER_WORDS)
-    sample = learned.where(F.pmod(F.xxhash64("token"), F.lit(every)) == 0).collect()
-    sample = sorted((row["token"].encode() for row in sample), key=zlib.crc32)
-    speller.learn(sample)
+    counts = counts.reshape(len(ORDERS), 2**SLOT_BITS, 2)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, size = Speller(counts), 0
+        for words in pieces(batches):
+            own.learn(sorted(words, key=zlib.crc32))
+            size += len(words)
+        if size:
+            yield pd.DataFrame({"size": [size], "cells": [own.cells]})
+
+    speller = Speller(counts)
+    speller.put(_averaged(learned.mapInPandas(learn, LEARNED), speller.cells))
     return speller
 
 
+class Words:
+    """Numbers of the words that have codes; the escape comes after them."""
+
+    def __init__(self, words: list[str]):
+        self.place = {w.encode(): k for k, w in enumerate(words)}
+        self.escape = len(words)
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], int]:
+        """Codes and context numbers of the words of a text and of its end, the words without a code,
+        and the number of bytes, with one for each end."""
+        found = split_words(text)
+        size = sum(map(len, found)) + len(found) + 1
+        found.append(b"")
+        context = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
+        at = np.flatnonzero(context < 0)
+        others = [found[k] for k in at.tolist()]
+        code = context.copy()
+        code[at] = self.escape
+        context[at] = [OTHERS + zlib.crc32(w) for w in others]
+        return code, context, others, size
+
+
+def fit_contexts(texts: DataFrame, words: Words, codes: Codes, tokens: int) -> Mixer:
+    """Count the bits of all training texts into the context tables, and learn the mixer along all of them.
+
+    ``texts`` has the column text. The tables have slots by the number of words, up to a size that every
+    task can hold; counts stop at 65,535. A task takes at least TASK_WORDS words beyond a task a core, so
+    what the tasks send does not outgrow the texts. A text is left out of the counts that predict it.
+    """
+    bits = table_bits(tokens)
+    session = texts.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, -(-tokens // TASK_WORDS))
+    rows = texts.select("text").coalesce(tasks)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        group, size = [], 0
+        for text in (text for batch in batches for text in batch["text"]):
+            code, context, _, _ = words.read(text)
+            for piece in pieces_of(code, context):
+                group.append(piece)
+                size += len(piece[0])
+                if size > FLUSH:
+                    yield group
+                    group, size = [], 0
+        if group:
+            yield group
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = np.zeros((2, 2 << bits), np.uint32)
+        for group in pieces(batches):
+            add_bits(tables, lay_out_bits(codes, group))
+        yield _chunks(np.minimum(tables, 65_535).astype(np.uint16))
+
+    tables = np.zeros((2 * 2**bits // CHUNK, CHUNK * 2), np.uint16)
+    for row in _added(rows.mapInPandas(count, "chunk long, counts binary"), np.uint16).toLocalIterator():
+        tables[row["chunk"]] = np.minimum(np.frombuffer(row["counts"], np.int64), 65_535)
+    mixer = Mixer(codes, tables.reshape(2, -1))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = 0
+        for group in pieces(batches):
+            mixer.read(group, np.ones(len(group), bool), learn=True)
+            size += sum(len(p[0]) for p in group)
+        if size:
+            yield pd.DataFrame({"size": [size], "cells": [mixer.cells]})
+
+    mixer.put(_averaged(rows.mapInPandas(learn, LEARNED), mixer.cells))
+    return mixer
+
+
 @dataclass(frozen=True)
 class Totals:
     """Tokens N and distinct tokens V of some training rows, and the discount of their counts."""
@@ -367,26 +408,17 @@ def _tally() -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2)]
 
 
-def score_words(vocabulary: DataFrame, speller: Speller, totals: Totals, by_style: list[Totals]) -> DataFrame:
-    """Rows (token, c, uses, lp, styles, lps): the log10 probability of each token before any text is
-    read, and in each style whose training rows have it."""
+def score_words(words: DataFrame, speller: Speller, totals: Totals) -> DataFrame:
+    """Rows (token, c, lp): the log10 probability of each word among those that have no code, before
+    any text is read."""
     small = speller.for_scoring()
-    n, v, discount = np.array([(t.n, t.v, t.discount) for t in by_style]).T
-    below = np.array([t.below for t in by_style])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spelled = 10 ** np.maximum(small.log10([t.encode() for t in batch["token"]]), -300)
-            own = totals.level(batch["c"].to_numpy(float), spelled)
-            sizes = np.array([len(x) for x in batch["styles"]], np.int64)
-            style = np.concatenate([np.zeros(0, np.int64), *batch["styles"]]).astype(np.int64)
-            count = np.concatenate([np.zeros(0, np.int64), *batch["counts"]])
-            in_style = np.maximum(count - discount[style], 0) / (n[style] + 1) + below[style] * np.repeat(own, sizes)
-            lps = np.split(np.log10(in_style), np.cumsum(sizes)[:-1]) if len(sizes) else []
-            yield batch[["token", "c", "uses"]].assign(lp=np.log10(own), styles=batch["styles"], lps=lps)
+            yield batch.assign(lp=np.log10(totals.level(batch["c"].to_numpy(float), spelled)))
 
-    kind = "token string, c long, uses long, lp double, styles array<int>, lps array<double>"
-    return vocabulary.mapInPandas(run, kind)
+    return words.select("token", "c").mapInPandas(run, "token string, c long, lp double")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -408,17 +440,17 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(product)
 
 
-def _least_uses(scored: DataFrame, most: int = FREQUENT) -> int:
-    """The least count that at most ``most`` words reach, to about a tenth."""
-    step = F.floor(F.log2("uses") * 8)
-    steps = scored.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("uses").alias("least"))
+def _least_count(vocabulary: DataFrame, most: int = FREQUENT) -> int:
+    """The least training count that at most ``most`` words reach, to about a tenth."""
+    step = F.floor(F.log2("c") * 8)
+    steps = vocabulary.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
     least = total = 0
     for row in sorted(steps.collect(), reverse=True):  # one for each eighth of a doubling
         total += row["n"]
         if total > most:
             return least or 2**62
         least = row["least"]
-    return least
+    return max(least, 1)
 
 
 REPEATS = tuple(f"repeat_{k}" for k in range(len(ALPHAS)))
@@ -431,109 +463,96 @@ def score_texts(docs: DataFrame) -> DataFrame:
     Learns from the rows outside the held-out fold (crc32 of the id, modulo 7, is 2) and scores all
     whole texts. base_score is the sum of log10((c + 1) / (N + V + 1)); score the model's. A null text
     is empty: its end alone is scored. Rows with a null id are scored, not learned from, and have
-    held_out null. Repeated rows and ids keep their rows. With nothing to learn from every bit has
+    held_out null. Repeated rows and ids keep their rows. With nothing to learn from every bit of a spelling has
     probability one half. bits_per_byte is over the bytes of the words and one for each end. Other
     columns are not read. No rows give no rows.
 
-    Frequent words are looked up in the tasks; what remains of each text, its rarer distinct words,
-    is joined with the word table, so no task holds that table and no word is hot in the join.
+    Bits of words that have a code are mixed along the text, with at most PIECE words of it in memory
+    at a time; a training text is left out of the contexts that predict it. The other words of each
+    text are joined with the word table, so no task holds that table and no word is hot in the join.
     """
-    styles = fit_styles(docs)
-    vocabulary = stage(count_words(docs, styles))
+    vocabulary = stage(count_words(docs))
     totals = Totals.of(*vocabulary.agg(*_tally()).first())
-    pairs = vocabulary.select("token", F.explode(F.arrays_zip("styles", "counts")).alias("p"))
-    each = pairs.select("token", F.col("p.styles").alias("style"), F.col("p.counts").alias("c")).groupBy("style").agg(
-        *_tally(), F.max(F.when(F.col("token") == "", F.col("c")))
+    least = _least_count(vocabulary)
+    top = vocabulary.where(F.col("c") >= least).orderBy(F.desc("c"), "token").toPandas()
+    others = vocabulary.where(F.col("c") < least)
+    among = Totals.of(*others.agg(*_tally()).first())
+    words = Words(top["token"].tolist())
+    counts = top["c"].tolist()
+    mixer = fit_contexts(
+        docs.where(_trains()).select(whole_text("text").alias("text")), words, Codes.of([*counts, totals.n - sum(counts) + 1]), totals.n
     )
-    by_style, texts = [Totals.of(0, 0, 0, 0) for _ in range(len(styles))], np.ones(len(styles))
-    for style, n, v, once, twice, ends in each.collect():
-        by_style[style] = Totals.of(n, v, once, twice)
-        texts[style] += ends or 0
-    name_cost = np.log10(texts / texts.sum())
-    below = np.log10([t.below for t in by_style])
-    scored = stage(score_words(vocabulary, fit_speller(vocabulary), totals, by_style))
-    top = scored.where(F.col("uses") >= _least_uses(scored)).toPandas()
-    place = {token.encode(): k for k, token in enumerate(top["token"])}
-    top_c = top["c"].to_numpy(float)
-    top_lp = top["lp"].to_numpy(float)[:, None] + below
-    for k, (own_styles, lps) in enumerate(zip(top["styles"], top["lps"], strict=True)):
-        top_lp[k, own_styles] = lps
-    del top
+    scored = score_words(others, fit_speller(others.where("c > 0")), among)
+    top_base = np.log10((np.array([*counts, -1], float) + 1) / totals.denominator, where=np.array([*counts, 0]) > 0, out=np.zeros(len(counts) + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (part for whole in batches for part in in_pieces(whole, SCORE_TEXTS)):
-            sizes, byte_sizes, style_of, rare_token = [], [], [], []
-            all_at, all_times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for text in batch["text"]:
-                found = split_words(text)
-                byte_sizes.append(sum(map(len, found)) + len(found) + 1)
-                counts = Counter(found)
-                style_of.append(styles.of(counts))
-                counts[b""] += 1
-                sizes.append(len(found) + 1)
-                at, times = numbered(counts, place)
-                all_at.append(at)
-                all_times.append(times)
-                rare_token += [word.decode() for word in compress(counts, (at < 0).tolist())]
-            many = len(sizes)
-            doc = np.repeat(np.arange(many), [len(at) for at in all_at[1:]])
-            word, every_times = np.concatenate(all_at), np.concatenate(all_times)
-            rare, frequent = word < 0, word >= 0
-            rare_doc, rare_times = doc[rare], every_times[rare]
-            doc, word, times = doc[frequent], word[frequent], every_times[frequent].astype(float)
-            style = np.array(style_of, np.int64)
-            c, lp = top_c[word], top_lp[word, style[doc]]
-            own = {
-                "row": batch["row"],
+        for batch in batches:
+            rows, group, size = [], [], 0
+            for row, doc_id, text, train in zip(batch["row"], batch["doc_id"], batch["text"], batch["train"], strict=True):
+                code, context, rare, n_bytes = words.read(text)
+                base = float(top_base.take(code).sum())
+                rows.append((row, doc_id, len(code), n_bytes, len(rare), base, rare))
+                for piece in pieces_of(code, context):
+                    group.append((len(rows) - 1, bool(train), piece))
+                    size += len(piece[0])
+                if size > FLUSH:
+                    yield from written(rows, group)
+                    rows, group, size = [], [], 0
+            if rows:
+                yield from written(rows, group)
+
+    def written(rows: list[tuple], group: list[tuple]) -> Iterator[pd.DataFrame]:
+        lp, low = np.zeros(len(rows)), 0
+        while low < len(group):  # pieces of a long text a few at a time
+            high, size = low, 0
+            while high < len(group) and size <= FLUSH:
+                size += len(group[high][2][0])
+                high += 1
+            at, train, pieces = zip(*group[low:high], strict=True)
+            np.add.at(lp, list(at), mixer.read(list(pieces), np.array(train)))
+            low = high
+        row, doc_id, n_tokens, n_bytes, n_rare, base, rare = map(list, zip(*rows, strict=True))
+        yield pd.DataFrame(
+            {
+                "row": row,
                 # a name that is no word, and spread like one
-                "token": [f" {row}" for row in batch["row"]],
+                "token": [f" {r}" for r in row],
                 "times": 0,
-                "style": style,
-                "doc_id": batch["doc_id"],
-                "n_tokens": sizes,
-                "n_bytes": byte_sizes,
-                "known": np.bincount(doc, times * (c > 0), many).astype(np.int64),
-                "base": np.bincount(doc, times * np.log10((c + 1) / totals.denominator), many),
-                "lp": np.bincount(doc, lp, many) + name_cost[style],
-                "distinct": np.bincount(doc, minlength=many),
+                "doc_id": doc_id,
+                "n_tokens": n_tokens,
+                "n_bytes": n_bytes,
+                "n_rare": n_rare,
+                "base": base,
+                "lp": lp / LN10,
             }
-            again = times > 1
-            share = 10 ** lp[again]
-            for name, alpha in zip(REPEATS, ALPHAS, strict=True):
-                rise = log_gamma(alpha * share + times[again]) - log_gamma(alpha * share + 1)
-                own[name] = np.bincount(doc[again], rise / LN10, many)
-            yield pd.DataFrame(own)
-            row = batch["row"].to_numpy()[rare_doc]
-            left = {"row": row, "token": rare_token, "times": rare_times, "style": style[rare_doc]}
-            yield from in_pieces(pd.DataFrame(left).reindex(columns=list(own)))
+        )
+        tallies = [(r, w.decode(), n) for r, own in zip(row, rare, strict=True) for w, n in Counter(own).items()]
+        if tallies:
+            left = pd.DataFrame(tallies, columns=["row", "token", "times"])
+            yield from in_pieces(left.reindex(columns=["row", "token", "times", "doc_id", "n_tokens", "n_bytes", "n_rare", "base", "lp"]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, token string, times long, style int, doc_id {kind}, n_tokens long, n_bytes long, known long, base double, lp double, distinct long, "
-    schema += ", ".join(f"{name} double" for name in REPEATS)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text("text").alias("text"))
+    schema = f"row long, token string, times long, doc_id {kind}, n_tokens long, n_bytes long, n_rare long, base double, lp double"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text("text").alias("text"), _trains().alias("train"))
     parts = rows.mapInPandas(run, schema)
-    words = scored.select(
-        "token", F.col("c").alias("_c"), F.col("lp").alias("_low"), F.map_from_arrays("styles", "lps").alias("_lps")
-    )
-    lower = F.get(F.lit(below.tolist()), F.col("style"))
-    joined = parts.join(words, "token", "left").withColumn(
-        "_lp", F.coalesce(F.try_element_at("_lps", F.col("style")), F.col("_low") + lower)
-    )
+    joined = parts.join(scored.select("token", F.col("c").alias("_c"), F.col("lp").alias("_lp")), "token", "left")
     c, times, share = F.col("_c"), F.col("times"), F.pow(F.lit(10.0), F.col("_lp"))
-    own = lambda name, else_: F.coalesce(F.col(name), else_, F.lit(0.0))
+    or_none = lambda x: F.coalesce(x, F.lit(0.0))
     base = times * F.log10((c + 1) / F.lit(float(totals.denominator)))
     rise = lambda a: F.when(times > 1, (_log_gamma(share * a + times) - _log_gamma(share * a + 1)) / LN10)
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
         F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.coalesce("known", F.when(c > 0, times), F.lit(0))).alias("n_known"),
-        F.sum(own("base", base)).alias("base_score"),
-        F.sum(own("lp", F.col("_lp"))).alias("_lp"),
-        F.sum(F.coalesce("distinct", F.lit(1))).alias("_distinct"),
-        *(F.sum(own(name, rise(a))).alias(name) for name, a in zip(REPEATS, ALPHAS, strict=True)),
+        F.max("n_rare").alias("_size"),
+        F.sum(F.when(c > 0, times).otherwise(0)).alias("_known"),
+        F.sum(or_none(F.coalesce("base", base))).alias("base_score"),
+        F.sum(or_none(F.col("lp"))).alias("_mixed"),
+        F.sum(or_none(F.col("_lp"))).alias("_lp"),
+        F.count_if(times > 0).alias("_distinct"),
+        *(F.sum(or_none(rise(a))).alias(name) for name, a in zip(REPEATS, ALPHAS, strict=True)),
     )
-    size = F.col("n_tokens").cast("double")
+    size = F.col("_size").cast("double")
     of = [
         F.col("_distinct") * math.log10(a) + F.col("_lp") + F.col(name) - (_log_gamma(size + a) - _log_gamma(F.lit(a))) / LN10
         for name, a in zip(REPEATS, ALPHAS, strict=True)
@@ -541,11 +560,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     final = sums.select("*", F.array(*of).alias("_of"))
     most = F.array_max("_of")
     mean = F.aggregate("_of", F.lit(0.0), lambda total, x: total + F.pow(F.lit(10.0), x - most)) / len(ALPHAS)
-    return final.select("*", (most + F.log10(mean)).alias("score")).select(
+    return final.select("*", (F.col("_mixed") + most + F.log10(mean)).alias("score")).select(
         "doc_id",
         (remainder("doc_id", MODULUS) == HELD).alias("held_out"),
         "n_tokens",
-        "n_known",
+        (F.col("n_tokens") - F.col("_size") + F.col("_known")).alias("n_known"),
         F.lit(totals.n).cast("long").alias("train_tokens"),
         "base_score",
         "score",
