@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Words of a text whose bits share a state of its mixer, and after which its own memory starts anew.
-BLOCK, PIECE = 64, 16_384
+BLOCK, PIECE = 64, 2_048
 #: Words that are laid out at a time.
 FLUSH = 8_192
 #: Slots of a context table as a power of two: least and most.

@@ -174,7 +174,7 @@ class Speller:
         for k in range(0, len(words), batch):
             for stretch in lay_out(words[k : k + batch]):
                 for slots, bit, partial in bits_of(stretch):
-                    own = np.array([self.counts[o][slots[o]] for o in range(len(ORDERS))])
+                    own = np.array([self.counts[o].take(slots[o], axis=0) for o in range(len(ORDERS))])
                     zeros = np.maximum(own[..., 0] - (1 - bit), 0)
                     ones = np.maximum(own[..., 1] - bit, 0)
                     inputs = _stretched(zeros, ones)

@@ -84,10 +84,11 @@ def test_a_text_is_left_out_of_its_own_counts(codes):
 
 
 def test_long_texts_in_pieces():
-    words = np.arange(40_000) % 7
+    size = context_mixing.PIECE
+    words = np.arange(2 * size + 9) % 7
     cut = list(context_mixing.pieces_of(words, words))
-    assert [len(p[0]) for p in cut] == [16_384, 16_384, 7_232]
-    assert cut[1][1][0] == context_mixing.pieces_of(words[16_383:], words[16_383:]).__next__()[1][1]
+    assert [len(p[0]) for p in cut] == [size, size, 9]
+    assert cut[1][1][0] == next(context_mixing.pieces_of(words[size - 1 :], words[size - 1 :]))[1][1]
 
 
 def test_order_of_words_counts(spark, sf_dir):
