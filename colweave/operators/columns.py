@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import null_cast_item, quote_identifier
 from .items import DERIVED, RAW, items_of
@@ -31,17 +36,77 @@ def ordered_text(
 ) -> DataFrame:
     """Text of all items of a group in the order of the ``order`` columns, duplicates kept.
 
-    Rows are laid out over ranges of group and order, the text of a group is made in each partition
-    that holds some of it, and the finished texts are joined in the order of the partitions. A group
-    of very many rows is so cut by their number, and the last step only joins its few texts.
+    Rows are exchanged once, without their items, and the text of a group is made in one pass over the
+    sorted partition that holds it; no text is exchanged. Groups that hold more rows than a task should
+    get are counted when the plan is made. Those alone are laid out over ranges of group and order and so
+    cut by their number, their text is made in each partition that holds some of it, and the finished texts
+    are joined in the order of the partitions.
     """
-    names = [f"_order{n}" for n in range(len(order))]
-    keys = [F.col(column).alias(name) for column, name in zip(order, names)]
-    laid = rows.select(by, *keys, item.alias("_item")).repartitionByRange(by, *names, "_item")
-    placed = laid.withColumn("_part", F.spark_partition_id())
-    inside = F.expr(listagg("_item", sep, ", ".join([*names, "_item"])))
-    parts = placed.groupBy(by, "_part").agg(inside.alias("_item"))
-    return parts.groupBy(by).agg(F.expr(listagg("_item", sep, "_part")).alias(alias))
+    found = hot_groups(rows, by)
+    named = [value for value in found if value is not None]
+    is_hot = F.col(by).isin(named) if named else F.lit(False)
+    is_hot = F.col(by).isNull() | is_hot if None in found else F.col(by).isNotNull() & is_hot
+    keys = (by, *order, item)
+    sorted_rows = lambda laid: laid.sortWithinPartitions(*keys).select(by, item.alias("_item"))
+    schema = T.StructType(
+        [rows.schema[by], T.StructField("_part", T.LongType()), T.StructField("_text", T.StringType())]
+    )
+    few = sorted_rows((rows.filter(~is_hot) if found else rows).repartition(by))
+    whole = few.mapInArrow(partial(_run_texts, sep=sep, whole=True), schema).select(by, F.col("_text").alias(alias))
+    if not found:
+        return whole
+    many = sorted_rows(rows.filter(is_hot).repartitionByRange(*keys))
+    parts = many.mapInArrow(partial(_run_texts, sep=sep, whole=False), schema)
+    return whole.unionByName(parts.groupBy(by).agg(F.expr(listagg("_text", sep, "_part")).alias(alias)))
+
+
+def _run_texts(batches: Iterator[pa.RecordBatch], sep: str, whole: bool) -> Iterator[pa.RecordBatch]:
+    """The joined texts of the runs of equal keys, NULL where all are.
+
+    A run that goes on in the next batch is kept until it ends if they are to be ``whole``; otherwise it
+    is given out with each batch, numbered in the order of partitions and batches.
+    """
+    first = TaskContext.get().partitionId() << 33
+    kept_key, kept = None, []  # the run at the end of what was read
+
+    def closed() -> list[tuple]:
+        texts = [text for text in kept if text is not None]
+        return [(kept_key, sep.join(texts) if texts else None)] if kept else []
+
+    for number, batch in enumerate(batches):
+        if not batch.num_rows:
+            continue
+        keys, texts = _joined_runs(*batch.columns, sep)
+        if whole:
+            before = []
+            if kept and keys[0].as_py() != kept_key:
+                before, kept = closed(), []
+            kept.append(texts[0].as_py())
+            kept_key = keys[0].as_py()
+            if len(keys) > 1:
+                before += closed()
+                kept_key, kept = keys[-1].as_py(), [texts[-1].as_py()]
+            keys = pa.concat_arrays([pa.array([key for key, _ in before], keys.type), keys[1:-1]])
+            texts = pa.concat_arrays([pa.array([text for _, text in before], pa.string()), texts[1:-1]])
+        yield _parts(batch.schema, keys, first + number, texts)
+    if whole and kept:
+        ((key, text),) = closed()
+        yield _parts(batch.schema, pa.array([key], batch.schema.types[0]), first, pa.array([text], pa.string()))
+
+
+def _joined_runs(keys: pa.Array, items: pa.Array, sep: str) -> tuple[pa.Array, pa.Array]:
+    runs = pc.run_end_encode(keys)
+    ends = np.asarray(runs.run_ends)
+    before = np.concatenate([[0], np.cumsum(items.is_valid().to_numpy(zero_copy_only=False))])
+    starts = before[np.concatenate([[0], ends])].astype(np.int32)  # among those that are not NULL
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), items.drop_null()), sep)
+    return runs.values, pc.if_else(pa.array(np.diff(starts) > 0), joined, pa.scalar(None, pa.string()))
+
+
+def _parts(schema: pa.Schema, keys: pa.Array, part: int, texts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [keys, pa.array(np.full(len(keys), part, np.int64)), texts], names=[schema.names[0], "_part", "_text"]
+    )
 
 
 def listagg(item: str, sep: str, order: str) -> str:
@@ -110,16 +175,25 @@ HOT, COUNTERS = 1_000, 100
 
 
 def hot_configurations(rows: DataFrame) -> list[int]:
-    """The configurations that hold more rows than a task should get, found by one pass over their ids.
+    """The configurations that hold more rows than a task should get, see ``hot_groups``."""
+    return [config_id for config_id in hot_groups(rows, "config_id") if config_id is not None]
+
+
+def hot_groups(rows: DataFrame, by: str) -> list:
+    """The values of ``by`` that hold more rows than a task should get, found by one pass over them; None first.
 
     That share is one of ``spark.sql.shuffle.partitions``, so there are no more of them than of those,
     and at most ``HOT``. A frequent-items sketch of a fixed size, merged from the tasks, counts them: with
     ``COUNTERS`` for each none of that share is missed.
     """
     most = max(1, min(HOT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sketch = F.expr(f"approx_top_k(config_id, {most}, {most * COUNTERS})")
-    found = rows.agg(sketch.alias("frequent"), F.count("config_id").alias("n")).first()
-    return sorted(item["item"] for item in found["frequent"] or () if item["count"] * most >= found["n"])
+    sketch = F.expr(f"approx_top_k(`{by}`, {most}, {most * COUNTERS})")
+    found = rows.agg(
+        sketch.alias("frequent"), F.count(by).alias("n"), F.count_if(F.col(by).isNull()).alias("unnamed")
+    ).first()
+    frequent = (item for item in found["frequent"] or () if item["item"] is not None)
+    named = sorted(item["item"] for item in frequent if item["count"] * most >= found["n"])
+    return [None, *named] if found["unnamed"] * most > found["n"] + found["unnamed"] else named
 
 
 def attach_source_table(

@@ -217,3 +217,25 @@ def exchanged_rows(df):
 
     visit(plan)
     return found
+
+
+def test_the_texts_of_small_groups_are_not_exchanged(spark, settings):
+    settings(spark_sql_execution_arrow_maxRecordsPerBatch="7")  # groups go on from batch to batch
+    frame = spark.range(4000).selectExpr(
+        "if(id % 100 = 3, null, id % 100) as g", "id % 9 as n", "if(id % 2 = 0, id, null) as v", "repeat('x', 99) as pad"
+    )
+    text = ordered_text(frame, "g", ("n",), F.concat("pad", F.col("v").cast("string")), ";", "text")
+    plan = plan_of(text)
+    assert plan.count("Exchange") == 1 and "listagg" not in plan
+    items = {}
+    for g, n, v, pad in sorted(frame.collect(), key=lambda r: (r.g or 0, r.n, f"{r.v}")):
+        items.setdefault(g, []).extend([] if v is None else [f"{pad}{v}"])
+    found = {r.g: r.text for r in text.collect()}
+    assert found == {g: ";".join(own) if own else None for g, own in items.items()} and None in found
+
+
+def test_a_hot_group_without_a_name_is_put_together_too(spark):
+    frame = spark.range(3000).selectExpr("if(id % 3 = 0, id % 5, null) as g", "id as n")
+    found = {r.g: r.text for r in ordered_text(frame, "g", ("n",), F.col("n").cast("string"), ",", "text").collect()}
+    assert found[None] == ",".join(str(n) for n in range(3000) if n % 3)
+    assert found[2] == ",".join(str(n) for n in range(0, 3000, 3) if n % 5 == 2) and len(found) == 6

@@ -78,15 +78,13 @@ def packages(
     With ``cut`` the text of every 97th document is cut off, so it is no XML. A document is one
     value, as it is one file in a folder of packages. Made once in a session.
     """
-    lines = table(spark, sf_dir, "lineitem").withColumn(
-        "element",
-        F.expr(
-            "concat('<D:Executable n=\"', l_linenumber, '\" p=\"', l_partkey,"
-            " '\"><D:Executable s=\"', l_suppkey, '\"/></D:Executable>')"
-        ),
+    lines = table(spark, sf_dir, "lineitem")
+    element = F.expr(
+        "concat('<D:Executable n=\"', l_linenumber, '\" p=\"', l_partkey,"
+        " '\"><D:Executable s=\"', l_suppkey, '\"/></D:Executable>')"
     )
     order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    whole = ordered_text(lines, key, order, F.col("element"), "", "body")
+    whole = ordered_text(lines, key, order, element, "", "body")
     document = whole.select(
         key,
         F.concat(
