@@ -554,3 +554,24 @@ def test_only_one_writer_makes_a_claim(spark):
     assert (later.first, later.last) == (6, 8)
     claims.end(later, BROKEN)  # from where the log is, but above what another is at
     assert claims.claim(1, "c", lambda: 2).first == 6 and claims.claim(1, "c", lambda: 0).first == 7
+
+
+def made_up_element(draw, depth=0):
+    namespaces = ["", "{urn:p}", '{a&"b}', "{http://www.w3.org/XML/1998/namespace}", "{http://www.w3.org/2001/XMLSchema}"]
+    texts = [None, "", " ", 'a&b<c>d"e\r\n\t', "ünï\U0001f600", "plain"]
+    element = ElementTree.Element(draw.choice(namespaces) + draw.choice("xy"))
+    for _ in range(draw.randrange(4)):
+        element.set(draw.choice(namespaces) + draw.choice("ab"), draw.choice(texts) or "")
+    element.text, element.tail = draw.choice(texts), draw.choice(texts)
+    element.extend(made_up_element(draw, depth + 1) for _ in range(draw.randrange(4 if depth < 4 else 1)))
+    return element
+
+
+def test_components_are_written_in_one_pass_as_the_library_does():
+    draw = random.Random(5)
+    for _ in range(300):
+        tree = made_up_element(draw)
+        for name in {element.tag for element in tree.iter()}:
+            texts = components._Texts(name)  # one for all of a document
+            for element in tree.iter(name):
+                assert texts.of(element) == ElementTree.tostring(element, encoding="unicode")
