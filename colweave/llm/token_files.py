@@ -37,6 +37,8 @@ TRAILER = "<6Q8s"
 BLOCK_IDS = 65_536
 #: Entries of a generation of what a worker has encoded; it keeps the last two.
 PIECE_CACHE = 300_000
+#: A piece of their own after letters, at the end of a chunk.
+MARKS = frozenset(",.;:!?")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -103,18 +105,30 @@ class Pieces(Kept):
 
 
 class Chunks(Kept):
-    """Ids of what stands between two spaces, the space before it included."""
+    """Ids of what stands between two spaces, the space before it included.
+
+    One of letters alone is a piece, and is kept here only; what it stands in is put together from it.
+    """
 
     def __init__(self, pieces: Pieces, find):
         super().__init__()
         self.pieces, self.find = pieces, find
 
     def of(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+        return b"".join(
+            [
+                self[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.pieces[piece]
+                for piece in self.find(chunk)
+            ]
+        )
 
     def encoded(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.pieces.encoded(" " + word)
         if not word or word[0].isspace() or word[-1].isspace():
             raise KeyError(word)
+        if word[-1] in MARKS and word[:-1].isalpha():
+            return self[word[:-1]] + self.pieces[word[-1]]
         return self.of(" " + word)
 
 

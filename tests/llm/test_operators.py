@@ -452,3 +452,12 @@ def test_deep_and_broken_pages_take_little_time(page):
     start = time.perf_counter()
     html_blocks.split_blocks(page)
     assert time.perf_counter() - start < 0.5
+
+
+def test_a_word_of_letters_is_kept_once_whatever_stands_beside_it():
+    encoder = token_files.PieceEncoder(queries.tokenizer_file())
+    text = "Zwei zwei zwei, (zwei) zwei.\nzwei été; été!? ª, x1 x1. it's Ǆa: zwei:"
+    whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole
+    assert not [piece for piece in encoder.known if piece[:1] == " " and piece[1:].isalpha()]
+    assert {"zwei", "été"} < set(encoder.chunks)
