@@ -100,9 +100,10 @@ def convert_packages(
         name = part(f"journal{wave}-{tasks}")
         folder = staging_path(spark, name) if name else scratch_folder(spark, "journal")
         own = placed.filter(F.col(WAVE) == wave).drop(WAVE)
-        prompts = render_prompts(own, "ssis_component", prompt_prefix, system_prompt)
+        laid = spread(own, tasks, MARK).sortWithinPartitions(MARK)
+        prompts = render_prompts(laid, "ssis_component", prompt_prefix, system_prompt)
         answered = enrich_rows(
-            spread(prompts.drop("system_prompt"), tasks, MARK).sortWithinPartitions(MARK),
+            prompts.drop("system_prompt"),
             function,
             batch_size=batch_size,
             journal=Journal(folder, MARK, journal_seconds),

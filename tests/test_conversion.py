@@ -575,3 +575,19 @@ def test_components_are_written_in_one_pass_as_the_library_does():
             texts = components._Texts(name)  # one for all of a document
             for element in tree.iter(name):
                 assert texts.of(element) == ElementTree.tostring(element, encoding="unicode")
+
+
+def test_prompts_are_made_behind_the_exchange_of_a_wave(spark):
+    read = []
+
+    def noting(rows, *args, **kwargs):
+        read.append(rows)
+        return enrich.enrich_rows(rows, *args, **kwargs)
+
+    with mock.patch("colweave.plans.convert.enrich_rows", noting):
+        convert_packages(many_components(spark, 20), echo, None, waves=2, **RUN)
+    plans = [rows._jdf.queryExecution().optimizedPlan().toString() for rows in read]
+    assert len(plans) == 2
+    for plan in plans:  # printed from the last step to the first
+        assert "AS prompt" in plan.split("RepartitionByExpression")[0]
+        assert "prompt" not in plan.split("RepartitionByExpression")[1]
