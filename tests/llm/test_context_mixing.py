@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colweave.llm import context_mixing, language_model
@@ -83,6 +84,57 @@ def test_a_text_is_left_out_of_its_own_counts(codes):
     assert mixer.read(text, np.zeros(1, bool)) > none
 
 
+def test_turns_learn_one_after_the_other(codes):
+    draw = random.Random(3)
+    texts = [[draw.randrange(len(NAMES)) for _ in range(n)] for n in (1500, 6000, 3, 900, 8300, 70, 400)]
+    text, tables = pieces(*texts), np.zeros((2, 2 << 14), np.uint16)
+    one, many = (context_mixing.Mixer(codes, tables) for _ in range(2))
+    parts = list(context_mixing.in_turns(text))
+    assert len(parts) == 3 and [p for part in parts for p in part] == text
+    apart = np.concatenate([many.read(p, np.zeros(len(p), bool), learn=True) for p in parts])
+    assert np.allclose(one.read(text, np.zeros(len(text), bool), learn=True), apart, rtol=1e-4)
+    assert np.allclose(one.cells, many.cells, atol=1e-4)
+
+
+def test_words_of_many_texts_are_told_apart_at_once():
+    texts = ["", "  a B\x0bc\n", "x\x0c\r\ty  ", " \t ", "\x1c\x85\u00c9 q\u00a0r \u0130 A", "a a", "b"]
+    for some in (texts, texts[4:5], [""], ["c"]):
+        tokens = language_model.Tokens.of(pa.array(some, pa.string()))
+        names = [n.encode() for n in tokens.names.to_pylist()]
+        assert len(set(names)) == len(names)
+        whole = [language_model.split_words(t) + [b""] for t in some]
+        got = [[names[k] for k in tokens.at[a:b]] for a, b in zip(tokens.first[:-1], tokens.first[1:], strict=True)]
+        assert got == whole
+        words = language_model.Words(["a", "", "q"])
+        code, context = words.numbered(tokens)
+        flat = [w for own in whole for w in own]
+        assert code.tolist() == [{b"a": 0, b"": 1, b"q": 2}.get(w, 3) for w in flat]
+        assert context.tolist() == [c if c < 3 else language_model.OTHERS + zlib.crc32(w) for c, w in zip(code, flat, strict=True)]
+
+
+def test_rows_are_read_some_bytes_at_a_time(monkeypatch):
+    monkeypatch.setattr(language_model, "READ_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (25, 3, 3, 3, 3, 0, 40, 1)], "row": list(range(8))})
+    parts = list(language_model.some_texts(iter([batch, batch.slice(0, 0)])))
+    assert [r for p in parts for r in p["row"].to_pylist()] == list(range(8))
+    assert len(parts) == 3
+    assert all(sum(map(len, p["text"].to_pylist()[1:])) <= 10 for p in parts)
+
+
+def test_equal_stretches_of_spellings_are_worked_out_once():
+    words = [b"abcab", b"abcab", b"bcabc", b"q"] * 50
+    (stretch,) = language_model.lay_out(words)
+    once, among, often = language_model.distinct(stretch)
+    assert len(once.byte) == len({(bytes(stretch.contexts[:, k]), b) for k, b in enumerate(stretch.byte)}) < 20
+    assert (once.byte[among] == stretch.byte).all() and (once.contexts[:, among] == stretch.contexts).all()
+    assert often.sum() == len(stretch.byte)
+    counts = np.zeros((len(language_model.ORDERS), 2**language_model.SLOT_BITS, 2), np.int64)
+    for slots, bit, _ in language_model.bits_of(stretch):
+        for k, own in enumerate(slots):
+            np.add.at(counts[k], (own, bit), 1)
+    assert (language_model.spelling_counts(words) == counts).all()
+
+
 def test_long_texts_in_pieces():
     size = context_mixing.PIECE
     words = np.arange(2 * size + 9) % 7
