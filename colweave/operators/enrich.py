@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import render_prompt
-from ..sources.journal import Journal
+from ..sources.journal import Journal, TaskJournal
 
 # Takes one prompt, gives its response; with a batch size: prompts, gives as many responses, where an
 # exception object in place of one fails that row only.
@@ -61,8 +61,6 @@ def enrich_rows(
     position = rows.columns.index(prompt)
 
     def send(prompts: list[str]) -> list:
-        if batch_size is None:
-            return [function(prompts[0], **arguments)]
         return list(function(prompts, **arguments))
 
     place = rows.columns.index(journal.key) if journal else None
@@ -71,25 +69,38 @@ def enrich_rows(
         kept = journal.of_task(TaskContext.get().partitionId()) if journal else None
         for batch in batches:
             prompts = batch.column(position).to_pylist()
-            keys = batch.column(place).to_pylist() if kept else [None] * len(prompts)
-            answers = [(None, None)] * len(prompts)
-            wanted = []
-            for n, (key, text) in enumerate(zip(keys, prompts)):
-                known = kept.recall(key) if kept and text is not None else None
-                if known is not None:
-                    answers[n] = known
-                elif text is not None:
-                    wanted.append(n)
-            size = batch_size or 1
-            for start in range(0, len(wanted), size):
-                part = wanted[start : start + size]
-                for n, answer in zip(part, _call(send, [prompts[n] for n in part], resend)):
-                    answers[n] = answer
-                    if kept:
-                        kept.add(keys[n], answer)
-                if kept:
-                    kept.flush()
-            responses, errors = zip(*answers) if answers else ((), ())
+            keys = batch.column(place).to_pylist() if kept else None
+            responses: list = [None] * len(prompts)
+            errors: list = [None] * len(prompts)
+            wanted = [n for n, text in enumerate(prompts) if text is not None]
+            if kept and kept.holds_more:
+                wanted = [n for n in wanted if not _recalled(kept, keys[n], n, responses, errors)]
+            noted = 0  # so many of the wanted are in the journal, or wait for it
+            if batch_size is None:
+                for done, n in enumerate(wanted, start=1):
+                    try:
+                        response = function(prompts[n], **arguments)
+                        if type(response) is str:
+                            responses[n] = response
+                        else:
+                            responses[n], errors[n] = _answer(response)
+                    except Exception as error:
+                        responses[n], errors[n] = _failed(error)
+                    if kept and kept.is_due():
+                        kept.keep(wanted[noted:done], keys, responses, errors)
+                        kept.flush()
+                        noted = done
+            else:
+                for start in range(0, len(wanted), batch_size):
+                    part = wanted[start : start + batch_size]
+                    for n, answer in zip(part, _call(send, [prompts[n] for n in part], resend)):
+                        responses[n], errors[n] = answer
+                    if kept and kept.is_due():
+                        noted, before = start + len(part), noted
+                        kept.keep(wanted[before:noted], keys, responses, errors)
+                        kept.flush()
+            if kept:
+                kept.keep(wanted[noted:], keys, responses, errors)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(responses, pa.string()), pa.array(errors, pa.string())],
                 names=schema.names,
@@ -98,6 +109,14 @@ def enrich_rows(
     return rows.mapInArrow(call, schema)
 
 
+def _recalled(kept: TaskJournal, key: int, n: int, responses: list, errors: list) -> bool:
+    """Take the answer of a key from the journal, if it holds one."""
+    known = kept.recall(key)
+    if known is not None:
+        responses[n], errors[n] = known
+    return known is not None
+
+
 def _call(send: Callable[[list[str]], list], prompts: list[str], resend: bool) -> list[tuple]:
     try:
         results = send(prompts)

@@ -58,9 +58,21 @@ class TaskJournal:
     def add(self, key: int, answer: Answer) -> None:
         self._waiting.append((key, *answer))
 
+    def keep(self, places: list[int], keys: list, responses: list, errors: list) -> None:
+        """Add the answers at some places of three lists."""
+        self._waiting.extend((keys[n], responses[n], errors[n]) for n in places)
+
+    @property
+    def holds_more(self) -> bool:
+        """Whether answers of an earlier attempt are left to recall."""
+        return self._next is not None
+
+    def is_due(self) -> bool:
+        return time.monotonic() - self._written >= self.seconds
+
     def flush(self, now: bool = False) -> None:
         """Write what waits, if it is time; under its last name only when it is whole."""
-        if not self._waiting or not (now or time.monotonic() - self._written >= self.seconds):
+        if not self._waiting or not (now or self.is_due()):
             return
         name = f"{self._waiting[0][0]:020d}-{uuid.uuid4().hex}{_SUFFIX}"
         rows = pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*self._waiting), _SCHEMA)], schema=_SCHEMA)
