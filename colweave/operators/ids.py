@@ -8,6 +8,8 @@ components is cut over partitions like any other stretch of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import stage
@@ -16,14 +18,19 @@ MARK = "_mark"
 PLACE_BITS = 33  # monotonically_increasing_id: partition above, place within it below
 
 
-def lay_out(rows: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
-    """``rows`` in order over range partitions, with a mark for ``ids_of``."""
+def lay_out(
+    rows: DataFrame,
+    *order: str,
+    partitions: int | None = None,
+    opened: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``rows`` in order over range partitions, with a mark for ``ids_of``.
+
+    ``opened`` makes several rows of each, such as those of an array, once they lie in order.
+    """
     ranges = (partitions, *order) if partitions else order
-    return (
-        rows.repartitionByRange(*ranges)
-        .sortWithinPartitions(*order)
-        .withColumn(MARK, F.monotonically_increasing_id())
-    )
+    laid = rows.repartitionByRange(*ranges).sortWithinPartitions(*order)
+    return (opened(laid) if opened else laid).withColumn(MARK, F.monotonically_increasing_id())
 
 
 def ids_of(marked: DataFrame, after: int | Column = 0, id_column: str = "id") -> DataFrame:

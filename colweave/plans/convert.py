@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.checks import refuse_violations
-from ..operators.components import NAMESPACE, TAG, components_of, parse_packages, rejects_of
+from ..operators.components import NAMESPACE, TAG, components_of_stretches, parse_stretches, rejects_of
 from ..operators.enrich import (
     BatchFunction,
     PromptFunction,
@@ -25,6 +25,8 @@ from ..sources.log import ConversionLog
 from ..sources.staging import drop_folder, scratch_folder, stage, staging_path
 
 WAVE = "_wave"
+#: Components are laid out in ranges of about so many at most, which a task sorts in its memory.
+RANGE_ROWS = 500_000
 
 
 class Conversion(NamedTuple):
@@ -87,13 +89,21 @@ def convert_packages(
             waves=str(waves),
         )
     named = refuse_violations(packages, ("ssis_file_path", "ssis_file_name"))
-    parsed = stage(parse_packages(named, tag, namespace), part("parsed"))
+    parsed = stage(parse_stretches(named, tag, namespace), part("stretches"))
     rejects = stage(rejects_of(parsed), part("rejects"))
     spark = packages.sparkSession
     tasks = partitions or spark.sparkContext.defaultParallelism
-    ranges = max(tasks, waves, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    laid = lay_out(components_of(parsed), *order, partitions=ranges)
-    wave_of = F.floor(F.shiftright(MARK, PLACE_BITS) * waves / ranges).cast("int")
+    most = max(tasks, waves, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = parsed.agg(F.sum("n_components")).first()[0] or 0
+    ranges = max(most, -(-total // RANGE_ROWS))
+    first = parsed.filter("component_index = 1")
+    if first.groupBy(*order[:2]).count().filter("count > 1").isEmpty():
+        # documents have names of their own, so whole stretches lie in the order of their components
+        laid = lay_out(parsed.filter("error is null"), *order, partitions=ranges, opened=components_of_stretches)
+    else:
+        laid = lay_out(components_of_stretches(parsed), *order, partitions=ranges)
+    # a range past the last, where something made more of them, is of the last wave
+    wave_of = F.least(F.floor(F.shiftright(MARK, PLACE_BITS) * waves / ranges), F.lit(waves - 1)).cast("int")
     placed = stage(laid.withColumn(WAVE, wave_of), part("placed"), partition_by=WAVE)
     staged = []
     for wave in range(waves):

@@ -591,3 +591,55 @@ def test_prompts_are_made_behind_the_exchange_of_a_wave(spark):
     for plan in plans:  # printed from the last step to the first
         assert "AS prompt" in plan.split("RepartitionByExpression")[0]
         assert "prompt" not in plan.split("RepartitionByExpression")[1]
+
+
+def test_stretches_hold_the_components_of_a_parse(spark):
+    frame = many_components(spark, 40, files=2).unionByName(packages(spark, nested=NESTED, bad="<a>", none=f'<a xmlns="{NS}"/>'))
+    stretches = components.parse_stretches(frame)
+    rows = stretches.collect()
+    assert sorted((r.ssis_file_name, r.component_index, r.n_components) for r in rows if r.error is None) == [
+        *((f"f{k}", first, n) for k in (0, 1) for first, n in ((1, 16), (17, 16), (33, 8))), ("nested", 1, 3)
+    ]
+    assert [(r.ssis_file_name, r.n_components) for r in components.rejects_of(stretches).join(stretches, "ssis_file_name").collect()] == [("bad", 0)]
+    opened = components.components_of_stretches(stretches)
+    expected = explode_components(frame)
+    assert opened.columns == expected.columns and sorted(opened.collect()) == sorted(expected.collect())
+
+
+def test_a_stretch_is_closed_by_its_size(spark):
+    text = "x" * 100_000
+    body = "".join(f'<D:Executable k="{k}">{text}</D:Executable>' for k in range(7))
+    frame = packages(spark, big=f'<D:Executable xmlns:D="{NS}">{body}</D:Executable>')
+    rows = components.parse_stretches(frame).orderBy("component_index").collect()
+    assert [(r.component_index, r.n_components) for r in rows] == [(1, 3), (4, 3), (7, 1)]
+
+
+@pytest.mark.parametrize("names", [["a", "b", "c"], ["a", "b", "a"]])
+def test_ids_follow_files_and_indices_over_stretches(spark, names):
+    """With two documents of one name too, whose components then lie between each other."""
+    body = "".join(f'<D:Executable k="{k}"/>' for k in range(50))
+    rows = [("dir", name, f'<D:Executable xmlns:D="{NS}">{body}</D:Executable>') for name in names]
+    log = ConversionLog(spark, staging_path(spark))
+    convert_packages(spark.createDataFrame(rows, PACKAGES), echo, log, waves=3, **RUN)
+    found = log.since(0).collect()
+    assert [r.id for r in found] == list(range(1, 151))
+    index = [(r.ssis_file_name, int(r.ssis_component.split('k="')[1].split('"')[0])) for r in found]
+    assert index == sorted((name, k) for name in names for k in range(50))
+
+
+def test_components_in_ranges_past_the_last_are_sent_too(spark):
+    """Where a repartition makes more ranges than it was asked for."""
+    kind = type(spark.range(0))
+    laid = kind.repartitionByRange
+    with mock.patch.object(kind, "repartitionByRange", lambda self, n, *by: laid(self, 40, *by)):
+        result = convert_packages(many_components(spark, 200, files=4), echo, None, waves=2, **RUN)
+    assert result.appended.count() == 800
+
+
+def test_nested_components_are_stretches_of_the_text_around_them():
+    draw = random.Random(6)
+    for _ in range(300):
+        tree = made_up_element(draw)
+        texts = components._Texts(tree.tag)
+        for _ in range(2):  # the names kept are the same the second time
+            assert list(texts.of_all(tree)) == [ElementTree.tostring(e, encoding="unicode") for e in tree.iter(tree.tag)]
