@@ -120,17 +120,19 @@ def convert_packages(
             system_prompt=system_prompt,
             model_name=model_name,
         )
-        rows = conversion_rows(
-            answered,
-            api_provider=api_provider,
-            model_name=model_name,
-            system_prompt=system_prompt,
-            prompt_prefix=prompt_prefix,
-            carry=("component_index", "error", MARK),
-        )
+        # what is the same in all rows is not written with them here
+        rows = answered.select(*order, "ssis_component", F.col("response").alias("llm_response"), "error", MARK)
         staged.append(stage(rows, part(f"wave{wave}")))
         drop_folder(spark, folder)
-    answers = reduce(DataFrame.unionByName, staged)
+    answers = conversion_rows(
+        reduce(DataFrame.unionByName, staged),
+        api_provider=api_provider,
+        model_name=model_name,
+        system_prompt=system_prompt,
+        prompt_prefix=prompt_prefix,
+        response="llm_response",
+        carry=("component_index", "error", MARK),
+    )
     failures = answers.filter("error is not null").select(*order, "error")
     if log is None:
         return Conversion(run, answers.select(*CONVERSION_ROW.names), failures, rejects)

@@ -636,6 +636,16 @@ def test_components_in_ranges_past_the_last_are_sent_too(spark):
     assert result.appended.count() == 800
 
 
+def test_what_all_rows_share_is_not_staged_with_them(spark):
+    log = ConversionLog(spark, staging_path(spark))
+    result = convert_packages(packages(spark, good=NESTED), echo, log, waves=1, run="day", **RUN)
+    staged = spark.read.parquet(staging_path(spark, log.part("day", "wave0")))
+    assert not {"api_provider", "model_name", "system_prompt", "prompt_prefix"} & set(staged.columns)
+    assert {(r.api_provider, r.model_name, r.system_prompt, r.prompt_prefix) for r in result.appended.collect()} == {
+        ("local", "m", "sys", "do")
+    }
+
+
 def test_nested_components_are_stretches_of_the_text_around_them():
     draw = random.Random(6)
     for _ in range(300):
